@@ -326,19 +326,22 @@ def extract_chunks(
     strategy: str = "auto",
     platforms: dict[str, Platform] | None = None,
     with_html: bool = False,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Chunks of pages(page_id, url, html): one row per chunk, key (page_id, chunk_pos).
 
     strategy "auto" tries the page's platform first and the generic selectors if
     that yields nothing; "regex" uses the generic selectors only.  The chunk's
     markup is added with with_html=True; leave it out of tables that are shuffled.
+    Page columns named in `carry` are kept on the chunks.
     """
+    carry = carry or []
     if strategy not in ("auto", "regex"):
         raise ValueError(strategy)
     platforms = PLATFORMS if platforms is None else platforms
     if strategy == "regex":
         platforms = {}
-    df = with_dom(pages.select("page_id", "url", "html"))
+    df = with_dom(pages.select("page_id", "url", "html", *carry))
     df = df.withColumns({
         "_on_feed": is_platform_host(F.coalesce("url", F.lit(""))),
         "platform": F.expr(platform_of(platforms)),
@@ -364,7 +367,7 @@ def extract_chunks(
         }).drop("by_platform")
     built = _with_details(df, platforms, with_html)
     # The outer form keeps Spark from evaluating all of the above again in a filter.
-    rows = built.select("page_id", "url", "platform", F.posexplode_outer("chunks").alias("chunk_pos", "x")).where(
+    rows = built.select("page_id", "url", *carry, "platform", F.posexplode_outer("chunks").alias("chunk_pos", "x")).where(
         "x is not null")
     url, origin = F.col("url"), url_origin(F.col("url"))
     own_title = F.coalesce(F.col("x.heading_title"), T.nullif_blank(T.collapse_space(F.col("x.found.heading"))))
@@ -378,6 +381,7 @@ def extract_chunks(
         "x.metadata", "x.xpath", "x.parent_classes", "x.target_url", F.col("x._sponsored").alias("sponsored"), "x.ad_root",
         *([F.col("x.chunk_html").alias("html")] if with_html else []),
         F.array_compact(F.array(F.col("x.content_tag"))).alias("tags"),
+        *carry,
     )
     return tag_chunks(flat)
 
