@@ -192,9 +192,9 @@ SQL["page_module_rollup"] = f"""{PAGE_MODULES} SELECT p.source, p.module, round(
 VERDICT = "CASE WHEN score > 0.7 THEN 'high-risk' WHEN score > 0.4 THEN 'caution' ELSE 'safe' END"
 SQL["page_verdict"] = f"""{PAGE_MODULES}, n AS (SELECT source, count(*) FILTER (problem_score >= 0.4) AS neutralised,
     count(*) AS n_chunks FROM summary GROUP BY source)
-    SELECT source, round(score + 1e-10, 6) AS score, {VERDICT} AS overall, round((1 - score) * 100, 1) AS safe_percent,
+    SELECT source, round(score + 1e-10, 6) AS score, {VERDICT} AS overall, round((1 - score) * 100 + 1e-9, 1) AS safe_percent,
     neutralised, n_chunks FROM pages_ JOIN n USING (source)"""
-SQL["result_table"] = f"""{PAGE_MODULES} SELECT source, module, round(problem_score * 100, 0)::INT AS score_percent,
+SQL["result_table"] = f"""{PAGE_MODULES} SELECT source, module, round(problem_score * 100 + 1e-9, 0)::INT AS score_percent,
     80 AS confidence_percent, CASE WHEN problem_score < 0.3 THEN 'low' WHEN problem_score < 0.6 THEN 'medium'
     ELSE 'high' END AS band FROM page_modules"""
 SQL["display_bands"] = f"""{CHUNK_CTES} SELECT doc_id, CASE WHEN problem_score < 0.3 THEN 'low'

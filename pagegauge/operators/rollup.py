@@ -187,14 +187,15 @@ def result_table(page_modules: DataFrame, page: list[str]) -> DataFrame:
     score = F.coalesce("problem_score", F.lit(0.0))
     return page_modules.select(
         *page, "module",
-        F.round(score * 100, 0).cast("int").alias("score_percent"),
+        # The small allowance makes halves go up, whatever order the mean was added in.
+        F.round(score * 100 + 1e-9, 0).cast("int").alias("score_percent"),
         F.round(F.coalesce("confidence", F.lit(0.0)) * 100, 0).cast("int").alias("confidence_percent"),
         display_band(score).alias("band"),
     )
 
 
 def safe_percent(page_score: Column) -> Column:
-    return F.round((F.lit(1.0) - F.coalesce(page_score, F.lit(0.0))) * 100, 1)
+    return F.round((F.lit(1.0) - F.coalesce(page_score, F.lit(0.0))) * 100 + 1e-9, 1)
 
 
 def ads_hidden(live: Column, analysed: Column) -> Column:
