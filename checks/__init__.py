@@ -1,0 +1,7 @@
+"""Queries that are checked against SQL, and the SQL."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -101,7 +101,8 @@ def first_json_object(col: Column) -> Column:
 
 
 def clamp01(col: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), col))
+    # greatest and least skip nulls, so a missing number is kept apart.
+    return F.when(col.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), col)))
 
 
 def format_count(col: Column) -> Column:

@@ -67,7 +67,8 @@ def model_replies(prompts: DataFrame, load: Callable[[], Callable[[list[str]], l
     load() is called once per Python worker and returns a function from a list of
     prompts to a list of replies. A failing batch gives rows with an error.
     """
-    schema = prompts.select(*key, F.lit("").alias("reply"), F.lit("").alias("error")).schema
+    none = F.lit(None).cast("string")
+    schema = prompts.select(*key, none.alias("reply"), none.alias("error")).schema
 
     def run(batches: Iterator) -> Iterator:
         model = load()

@@ -186,10 +186,12 @@ def match_saved_searches(
     Words of the chunks meet the words of the searches in one equi-join, so the
     cost grows with the hits, not with chunks times searches.
     """
-    tokens = F.array_remove(F.split(F.lower("query"), " +"), "")
-    op = F.when(F.array_contains(F.split("query", " +"), "OR"), "or").otherwise("and")
+    tokens = F.array_remove(F.split("query", " +"), "")
+    op = F.when(F.array_contains(tokens, "OR"), "OR").otherwise("AND")
     terms = queries.select(
-        "query_id", op.alias("op"), F.array_distinct(F.array_except(tokens, F.array(op))).alias("terms")
+        # Only the operator as written, in capitals, is no search word.
+        "query_id", op.alias("op"),
+        F.array_distinct(F.transform(F.array_except(tokens, F.array(op)), F.lower)).alias("terms")
     ).select("query_id", "op", F.size("terms").alias("n_terms"), F.explode("terms").alias("word"))
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
     pairs = [
@@ -199,5 +201,5 @@ def match_saved_searches(
     found = chunks.select(*key, F.explode_outer(bag).alias("word"))
     hits = salted_join(found, terms, ["word"], "inner")
     return hits.groupBy(*key, "query_id", "op", "n_terms").agg(F.count("*").alias("n")).where(
-        (F.col("op") == "or") | (F.col("n") == F.col("n_terms"))
+        (F.col("op") == "OR") | (F.col("n") == F.col("n_terms"))
     ).select(*key, "query_id")
