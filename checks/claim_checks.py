@@ -257,3 +257,16 @@ def summary_cleanup(spark, sf):
 
 _SHORT = flat("substr(text, 1, 90)")
 _OUT = lambda x: f"substr({flat(f'''regexp_replace(regexp_replace({x}, '^\\[+|\\]+$', '', 'g'), '^[\"\'\']|[\"\'\']$', '', 'g')''')}, 1, 60)"
+_HEAD = flat(TAGLESS.format("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)"))
+SQL["title_targets"] = f"""WITH p AS (SELECT page_id, lower(coalesce(nullif({_HEAD}, ''), '')) AS h, lower({TITLE}) AS t,
+      {u16(trim(TAGLESS.format("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")))} AS n FROM pages)
+    SELECT page_id, CASE WHEN contains(h, substr(t, 1, 40)) OR contains('other', substr(t, 1, 40)) THEN 'heading' END AS kind,
+      CASE WHEN contains(h, substr(t, 1, 40)) THEN 0 WHEN contains('other', substr(t, 1, 40)) THEN 1 END AS pos FROM p WHERE n >= 100"""
+_MADE = f"""CASE doc_id % 4 WHEN 0 THEN concat('[[', {_SHORT}, ']]') WHEN 1 THEN concat('"', replace({_SHORT}, '"', ''), '"')
+    WHEN 2 THEN concat(chr(10), '  ', chr(10), {_SHORT}, chr(10), 'more')
+    ELSE concat('Sure: {{"summary": "', regexp_replace({_SHORT}, '["\\\\{{}}]', '', 'g'), '", "explanation": "x"}}') END"""
+SQL["summary_cleanup"] = f"""WITH r AS (SELECT doc_id, {_MADE} AS reply FROM documents),
+    j AS (SELECT *, nullif(regexp_extract(reply, '(?s)\\{{.*\\}}'), '') AS obj,
+      list_filter(list_transform(string_split(reply, chr(10)), lambda x: {trim('x')}), lambda x: x <> '' AND NOT starts_with(x, '{{')) AS lines FROM r),
+    s AS (SELECT doc_id, coalesce(CASE WHEN json_valid(obj) THEN nullif({trim("(obj::JSON)->>'$.summary'")}, '') END, lines[1]) AS said FROM j)
+    SELECT doc_id, {_OUT('said')} AS summary FROM s"""

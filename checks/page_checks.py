@@ -442,7 +442,7 @@ SQL["ad_partition"] = _ADS.replace(
 
 @query
 def blocked_ads(spark, sf):
-    """Adverts hidden per page; one box around several counts once."""
+    """Adverts hidden per page, inside a box that itself looks like an advert."""
     item = F.concat(F.lit('<div class="post">'), esc(F.col("text")), F.lit("</div>"))
     pages = platform_pages(spark, sf, item, '<html><body><div class="promo">', "</div></body></html>", "https://plain.example.org/")
     _, ads = C.partition_ads(X.extract_chunks(pages, include_ads=True))
@@ -451,9 +451,50 @@ def blocked_ads(spark, sf):
 
 @query
 def site_results(spark, sf):
-    """The whole path: pages to verdict and status line."""
-    from pagegauge.plans.analysis import analyze
-    result = analyze(I.pages(spark, sf)).pages
+    """The whole path, as the job that writes each table once: pages to verdict and status line."""
+    from pagegauge.plans.analysis import run_analysis
+    from pagegauge.sources.tables import work_dir
+    result = run_analysis(I.pages(spark, sf), work_dir(spark, "site_results")).pages
     return result.select(
         "page_id", "site_enabled", F.round("score", 6).alias("score"), "overall", "neutralised", "n_chunks",
         "ads_hidden", "status", "badge", "color", "line")
+
+
+# --- SQL twins that need more than one step ------------------------------------------
+
+_WORDS = " OR ".join(f"contains(lower(text), {lit(w)})" for w in V.AD_TEXT_WORDS)
+SQL["blocked_ads"] = f"""SELECT page_id, count(DISTINCT xpath) AS ads_hidden
+    FROM ({_platform_sql("text", "NULL", "nr", "", "other")}) WHERE {_WORDS} GROUP BY page_id"""
+_PARA = trim(f"substr({flat('text')}, 1, 130)")
+SQL["packed_paragraphs"] = f"""WITH RECURSIVE p AS (SELECT doc_id // 10 AS page_id, t AS text, {u16('t')} AS n,
+      row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS i FROM (SELECT doc_id, {_PARA} AS t FROM ({I.CHUNKS})) WHERE t <> ''),
+    r AS (SELECT page_id, i, n AS chars, 0 AS g FROM p WHERE i = 1 UNION ALL
+      SELECT p.page_id, p.i, CASE WHEN r.chars >= 200 THEN p.n ELSE r.chars + 1 + p.n END, CASE WHEN r.chars >= 200 THEN r.g + 1 ELSE r.g END
+      FROM r JOIN p ON p.page_id = r.page_id AND p.i = r.i + 1),
+    c AS (SELECT page_id, g, string_agg(text, ' ' ORDER BY i) AS text FROM r JOIN p USING (page_id, i) GROUP BY page_id, g HAVING max(chars) >= 100),
+    d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY page_id, {SIGNATURE} ORDER BY g) = 1)
+    SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY g) - 1)::INT AS chunk_pos, text FROM d"""
+
+
+def site_results_sql() -> str:
+    from checks.oracle import RULES
+    def value(module: str) -> str:
+        return "(" + " + ".join(f"(CASE WHEN {c} THEN {w}::DOUBLE ELSE 0::DOUBLE END)" for _, w, c in RULES[module]) + ")"
+    heading = flat(TAGLESS.format(H1))
+    return f"""WITH p AS (SELECT page_id, {ARTICLE_TEXT} AS text, lower(coalesce(nullif({heading}, ''), {FIRST_SENTENCE(ARTICLE_TEXT)})) AS lt FROM pages),
+      b AS (SELECT page_id, lower(text) AS l, lt, {_WORDS} AS ad FROM p WHERE {u16('text')} >= 100),
+      s AS (SELECT page_id, 0.5::DOUBLE + {value('biasDetector')} + {value('defuseRagebait')} + {value('clickUnbait')} AS total FROM b WHERE NOT ad),
+      f AS (SELECT p.page_id, s.total / 5 AS score, CASE WHEN s.total IS NULL THEN 0 ELSE 1 END AS n,
+        (SELECT count(*) FROM b WHERE b.ad AND b.page_id = p.page_id) AS ads FROM p LEFT JOIN s USING (page_id)),
+      k AS (SELECT *, CASE WHEN score >= 0.4 THEN 1 ELSE 0 END AS hits, CASE WHEN n = 0 THEN 'no_chunks' ELSE 'completed' END AS status FROM f)
+      SELECT page_id, true AS site_enabled, round(score, 6) AS score,
+        CASE WHEN score IS NULL THEN NULL WHEN score > 0.7 THEN 'high-risk' WHEN score > 0.4 THEN 'caution' ELSE 'safe' END AS overall,
+        hits AS neutralised, CASE WHEN n > 0 THEN n END AS n_chunks, ads AS ads_hidden, status,
+        CASE WHEN n > 0 AND hits + ads > 0 THEN (hits + ads)::VARCHAR ELSE '' END AS badge,
+        CASE WHEN n = 0 THEN 'grey' WHEN score > 0.7 THEN 'red' WHEN score > 0.4 THEN 'orange' ELSE 'green' END AS color,
+        CASE WHEN n = 0 THEN 'Page check: no content to analyze' WHEN hits + ads = 0 THEN 'Page check: analysis complete, nothing flagged'
+          ELSE concat('Page check: ', concat_ws(', ', CASE WHEN hits > 0 THEN concat(hits, ' labelled') END,
+            CASE WHEN ads > 0 THEN concat(ads, ' ads hidden') END), ' on this page') END AS line FROM k"""
+
+
+SQL["site_results"] = site_results_sql()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import inputs as I
 from checks.oracle import BASE, RULES, SQL, conf, flat, lit, say, scored, trim, u16
-from checks.page_checks import HOST, PATH, joined
+from checks.page_checks import HOST, TITLE, joined
 from checks.queries import query
 from pagegauge import fixed_values as V
 from pagegauge.functions import text as T
@@ -552,3 +552,4 @@ _TOX = " + ".join(f"(CASE WHEN {c} THEN {w}::DOUBLE ELSE 0::DOUBLE END)" for _,
 SQL["conversation_toxicity"] = f"""WITH t AS (SELECT conv_id, turn, lower(concat(text, {I.ADDED_TEXT})) AS l
       FROM (SELECT *, conv_id * 31 + turn AS doc_id FROM conversations)), s AS (SELECT conv_id, turn, least(0::DOUBLE + {_TOX}, 1::DOUBLE) AS v FROM t)
     SELECT conv_id, round(max(v), 6) AS worst, first(turn ORDER BY v DESC, turn) AS worst_turn, count(*) AS n FROM s GROUP BY conv_id"""
+SQL["filter_pages"] = f"""SELECT page_id FROM pages WHERE contains(lower(url), 'er') OR contains(lower({TITLE}), 'er')"""
