@@ -183,8 +183,7 @@ def _bait(spark, sf):
         F.struct(F.lit("mailto:a@example.org").alias("url"), F.lit("mail").alias("text")),
         F.struct(F.concat(F.col("page_url"), F.lit("#here")).alias("url"), F.lit("same page again").alias("text")),
         F.struct(href.alias("url"), F.lit(" go ").alias("text")))
-    scored = S.with_scores(at.withColumn("links", links), ["clickUnbait"]).withColumn("s", F.get("scores", F.lit(0)))
-    return scored.select("doc_id", "page_id", "title", "text", "links", "page_url", "s.problem_score", "s.flags", "s.explanation")
+    return S.score(at.withColumn("links", links), "clickUnbait", ["doc_id", "page_id", "title", "text", "links", "page_url"])
 
 
 @query

@@ -21,14 +21,15 @@ from pagegauge.functions.urls import url_host
 
 @dataclass(frozen=True)
 class ChunkView:
-    """The columns a scorer may read. Missing chunk columns read as empty."""
+    """Names of the columns a scorer may read. Missing chunk columns read as empty."""
 
-    text: Column
-    lower: Column
-    title: Column
-    lower_title: Column
-    domain: Column
-    bad_link: Column
+    text: str = "_text"
+    lower: str = "_lower"
+    title: str = "_title"
+    lower_title: str = "_lower_title"
+    both: str = "_both"
+    domain: str = "_domain"
+    bad_link: str = "_bad_link"
 
 
 Rules = list[tuple[str, float, Column]]
@@ -42,8 +43,8 @@ class Scorer:
     confidence: Callable[[Column, Column], Column]
     explanation: Callable[[Column, Column, dict], Column]
     metadata: Callable[[dict], Column] = lambda hits: F.lit(None).cast("map<string,string>")
-    # Flags that follow from the score, added after those of the rules.
-    extra_flags: Callable[[Column], list[tuple[Column, str]]] = lambda score: []
+    # Flags that follow from the score, given by its column name, as SQL conditions.
+    extra_flags: Callable[[str], list[tuple[str, str]]] = lambda score: []
     # Weights without a flag: (weight, condition on the hits and the chunk).
     bonus: Callable[[ChunkView, dict], list[tuple[float, Column]]] = lambda view, hits: []
 
@@ -86,16 +87,17 @@ def _bad_link(links: Column) -> Column:
 
 
 def _manipulation_rules(v: ChunkView) -> Rules:
-    four_digits = F.rlike(v.domain, F.lit("[0-9]{4}"))
+    domain = F.col(v.domain)
     return [
         ("urgency_pressure", 0.3, T.count_phrases(v.lower, V.URGENCY_PHRASES) > 2),
         ("financial_scam_indicators", 0.4, T.count_phrases(v.lower, V.FINANCIAL_PHRASES) > 2),
-        ("suspicious_domain", 0.2, (v.domain != "") & (
-            _ends_or_contains(v.domain, V.SUSPICIOUS_HOST_ENDINGS, V.SUSPICIOUS_DOMAIN_PARTS) | four_digits)),
-        ("suspicious_links", 0.15, v.bad_link),
+        ("suspicious_domain", 0.2, (domain != "") & (
+            _ends_or_contains(domain, V.SUSPICIOUS_HOST_ENDINGS, V.SUSPICIOUS_DOMAIN_PARTS)
+            | F.rlike(domain, F.lit("[0-9]{4}")))),
+        ("suspicious_links", 0.15, F.col(v.bad_link)),
         ("personal_info_request", 0.35, T.count_phrases(v.lower, V.PERSONAL_INFO_PHRASES) > 1),
         ("poor_grammar_quality", 0.1,
-         ~T.longer_than(v.lower, 299) & T.contains_any(v.lower, V.SHORT_BAIT_PHRASES)),
+         ~T.longer_than(F.col(v.lower), 299) & T.contains_any(v.lower, V.SHORT_BAIT_PHRASES)),
     ]
 
 
@@ -104,7 +106,7 @@ def _manipulation_rules(v: ChunkView) -> Rules:
 _INSULTS = ["stupid", "idiots", "worthless", "trash", "scum"]
 
 
-def _group(lower: Column, patterns: list[str], needs: list[list[str]]) -> Column:
+def _group(lower: str, patterns: list[str], needs: list[list[str]]) -> Column:
     return T.any_of([T.matches(lower, p, n) for p, n in zip(patterns, needs, strict=True)])
 
 
@@ -124,9 +126,10 @@ def _toxicity_rules(v: ChunkView, caps: bool = False) -> Rules:
     ]
     if caps:
         # Counted on the text as written; off by default, where the rule never fires.
-        words = F.greatest(F.size(F.split(v.text, " ")), F.lit(1))
-        runs = F.regexp_count(v.text, F.lit("[A-Z]{3,}"))
-        rules.append(("excessive_caps", 0.1, (runs / words > 0.1) & T.longer_than(v.text, 100)))
+        text = F.col(v.text)
+        words = F.greatest(F.size(F.split(text, " ")), F.lit(1))
+        runs = F.regexp_count(text, F.lit("[A-Z]{3,}"))
+        rules.append(("excessive_caps", 0.1, (runs / words > 0.1) & T.longer_than(text, 100)))
     rules.append(("personal_attacks", 0.2, _group(low, V.ATTACK_PATTERNS, [
         ["idiot", "moron", "stupid", "dumb", "fool"], ["shut up", "go away", "get lost", "f**k off"]])))
     return rules
@@ -162,7 +165,7 @@ def _bias_rules(v: ChunkView) -> Rules:
         ("left_leaning_language", 0.2, left > right * 2),
         ("right_leaning_language", 0.2, right > left * 2),
         ("loaded_language", 0.15, T.count_phrases(v.lower, V.LOADED_PHRASES) > 3),
-        ("one_sided_argument", 0.1, T.longer_than(v.lower, 500) & ~T.contains_any(v.lower, V.BALANCE_PHRASES)),
+        ("one_sided_argument", 0.1, T.longer_than(F.col(v.lower), 500) & ~T.contains_any(v.lower, V.BALANCE_PHRASES)),
         ("excessive_emotional_language", 0.15, T.count_phrases(v.lower, V.EMOTIONAL_PHRASES) > 5),
     ]
 
@@ -200,20 +203,19 @@ _CLICKBAIT_NEEDS = {
 
 
 def _clickbait_rules(v: ChunkView) -> Rules:
-    both = F.concat(v.lower_title, F.lit(" "), v.lower)
     rules = []
     for flag, weight, pattern in V.CLICKBAIT_PATTERNS:
         if flag == "question_headline":
-            hit = F.endswith(both, F.lit("?"))
+            hit = F.endswith(v.both, F.lit("?"))
         else:
-            hit = T.matches(both, pattern, _CLICKBAIT_NEEDS[flag])
+            hit = T.matches(v.both, pattern, _CLICKBAIT_NEEDS[flag])
         rules.append((flag, weight, hit))
     return rules
 
 
 def _clickbait_bonus(v: ChunkView, hits: dict) -> list[tuple[float, Column]]:
     vague = T.matches(v.lower_title, V.VAGUE_TITLE_PATTERN, ["this", "these", "that"])
-    return [(0.1, T.any_of(list(hits.values())) & vague & ~T.longer_than(v.title, 79))]
+    return [(0.1, T.any_of(list(hits.values())) & vague & ~T.longer_than(F.col(v.title), 79))]
 
 
 def _clickbait_explanation(score: Column, flags: Column, hits: dict) -> Column:
@@ -238,7 +240,7 @@ register_scorer(Scorer(
     "clickUnbait", "clickbait", _clickbait_rules,
     lambda score, flags: F.when(F.size(flags) > 0, 0.65).otherwise(0.5),
     _clickbait_explanation,
-    extra_flags=lambda score: [(score >= V.CLICKBAIT_THRESHOLD, "clickbait")],
+    extra_flags=lambda score: [(f"{score} >= {V.CLICKBAIT_THRESHOLD}D", "clickbait")],
     bonus=_clickbait_bonus,
 ))
 
@@ -246,7 +248,8 @@ register_scorer(Scorer(
 # --- machine-written text (not part of the default modules) ----------------------
 
 def _ai_rules(v: ChunkView) -> Rules:
-    sentences = F.filter(F.split(v.text, "[.!?]+"), lambda s: T.utf16_length(T.js_trim(s)) > 10)
+    text = F.col(v.text)
+    sentences = F.filter(F.split(text, "[.!?]+"), lambda s: T.utf16_length(T.js_trim(s)) > 10)
     n = F.size(sentences)
     openers = F.transform(
         sentences, lambda s: F.lower(F.regexp_extract(T.js_trim(s), r"(?s)^(.*?)(?:" + T.SPACE_CLASS + r"|\z)", 1))
@@ -255,16 +258,16 @@ def _ai_rules(v: ChunkView) -> Rules:
     generic = T.count_phrases(v.lower, V.GENERIC_PHRASES)
     word = lambda w: T.matches(v.lower, "{b}" + w + "{b}", [w])
     transitions = sum((word(w).cast("int") for w in V.TRANSITION_WORDS), F.lit(0))
-    long_text = T.longer_than(v.text, 500)
+    long_text = T.longer_than(text, 500)
     return [
         ("repetitive_structure", 0.2, F.when(n > 3, repetition > 0.4).otherwise(False)),
         ("generic_language", 0.15, (n > 5) & (generic > n * F.lit(0.3))),
         ("lack_of_personal_voice", 0.1, long_text & ~T.any_of([word(p) for p in V.PERSONAL_PRONOUNS])),
         ("overly_perfect_grammar", 0.1,
-         (generic > 3) & T.longer_than(v.text, 300) & ~T.contains_any(v.lower, V.COMMON_TYPOS)),
+         (generic > 3) & T.longer_than(text, 300) & ~T.contains_any(v.lower, V.COMMON_TYPOS)),
         ("excessive_transitions", 0.15, (n > 5) & (transitions > n * F.lit(0.2))),
         ("lack_of_specific_details", 0.1,
-         long_text & ~T.any_of([F.rlike(v.text, F.lit(p)) for p in V.SPECIFIC_DETAIL_PATTERNS])),
+         long_text & ~T.any_of([F.rlike(text, F.lit(p)) for p in V.SPECIFIC_DETAIL_PATTERNS])),
     ]
 
 
@@ -305,38 +308,40 @@ def with_scores(
         _column(chunks, "domain", empty).alias("_domain"),
         # The one lambda; here, so that the rules below stay in whole-stage codegen.
         (_bad_link(F.col("links")) if "links" in chunks.columns else F.lit(False)).alias("_bad_link"),
-    )
-    view = ChunkView(*(F.col(c) for c in ("_text", "_lower", "_title", "_lower_title", "_domain", "_bad_link")))
+    ).withColumn("_both", F.concat("_lower_title", F.lit(" "), "_lower"))
+    view = ChunkView()
 
     conditions, names = [], {}
     for s in scorers:
         for flag, weight, cond in s.rules(view):
             name = f"_{s.module}_{flag}"
             conditions.append(F.coalesce(cond, F.lit(False)).alias(name))
-            names.setdefault(s.module, []).append((flag, weight, F.col(name)))
+            names.setdefault(s.module, []).append((flag, weight, name))
     hit = prepared.select("*", *conditions)
 
     scored = []
     for s in scorers:
-        rules = names[s.module]
-        hits = {flag: cond for flag, _, cond in rules}
-        weights = [(cond, w) for _, w, cond in rules] + [(c, w) for w, c in s.bonus(view, hits)]
-        score = F.least(T.weighted_sum(weights), F.lit(1.0))
-        scored.append(score.alias(f"_{s.module}_score"))
+        # 0 + w1 + w2 + ... over the rules that hold, always added in this order.
+        terms = [f"if({name}, {w}D, 0D)" for _, w, name in names[s.module]]
+        total = F.expr(f"0D + {' + '.join(terms)}")
+        hits = {flag: F.col(name) for flag, _, name in names[s.module]}
+        for weight, cond in s.bonus(view, hits):
+            total = total + F.when(cond, weight).otherwise(0.0)
+        scored.append(F.least(total, F.lit(1.0)).alias(f"_{s.module}_score"))
     totals = hit.select("*", *scored)
 
-    flagged = totals.select("*", *[
-        T.present(
-            [(cond, flag) for flag, _, cond in names[s.module]]
-            + s.extra_flags(F.col(f"_{s.module}_score"))
-        ).alias(f"_{s.module}_flags")
-        for s in scorers
-    ])
+    flags = []
+    for s in scorers:
+        own = [f"if({name}, '{flag}', '')" for flag, _, name in names[s.module]]
+        own += [f"if({cond}, '{flag}', '')" for cond, flag in s.extra_flags(f"_{s.module}_score")]
+        # array_remove rather than a lambda filter keeps the projection in codegen.
+        flags.append(F.expr(f"array_remove(array({', '.join(own)}), '')").alias(f"_{s.module}_flags"))
+    flagged = totals.select("*", *flags)
 
     structs = []
     for s in scorers:
         score, flags = F.col(f"_{s.module}_score"), F.col(f"_{s.module}_flags")
-        hits = {flag: cond for flag, _, cond in names[s.module]}
+        hits = {flag: F.col(name) for flag, _, name in names[s.module]}
         structs.append(F.struct(
             F.lit(s.module).alias("module"),
             F.lit(s.aspect).alias("aspect"),
