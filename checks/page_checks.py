@@ -154,7 +154,7 @@ SQL["limit_per_source"] = f"""SELECT source, doc_id FROM documents WHERE {u16('t
 @query
 def turn_sections(spark, sf):
     turns = I.table(spark, sf, "conversations")
-    numbered = C.section_number(turns, ["conv_id"], "turn", F.col("role") == "user")
+    numbered = C.section_number(turns, ["conv_id"], "turn", F.col("role") == "user", block=2)
     return numbered.groupBy("conv_id", "section").agg(
         F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
@@ -164,6 +164,46 @@ SQL["turn_sections"] = """SELECT conv_id, section, count(*) AS n, sum(length(tex
     FROM conversations) GROUP BY conv_id, section"""
 
 
+@query
+def chunk_tags(spark, sf):
+    """Content and advert tags by platform, on chunks with and without tags of their own."""
+    docs = I.chunks(spark, sf)
+    platform = F.element_at(F.array(*[F.lit(p) for p in ("google", "reddit", "none")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    own = F.when(F.col("doc_id") % 4 == 0, F.array(F.lit("comment"))).when(F.col("doc_id") % 4 == 1, F.array(F.lit("advert")))
+    tagged = C.tag_chunks(docs.select("doc_id", "text", platform.alias("platform"), own.alias("tags")))
+    return tagged.select("doc_id", joined("tags").alias("tags"))
+
+
+_OWN = "CASE doc_id % 3 WHEN 0 THEN 'search_result' WHEN 1 THEN 'post' ELSE 'other' END"
+_SPOKEN = " OR ".join(f"contains(lower(text), {lit(w)})" for w in V.AD_TEXT_WORDS)
+SQL["chunk_tags"] = f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN concat('comment', CASE WHEN {_SPOKEN} THEN ',advert' ELSE '' END)
+    WHEN doc_id % 4 = 1 THEN CASE WHEN doc_id % 3 = 2 THEN 'advert,other' ELSE concat({_OWN}, ',advert') END
+    ELSE concat({_OWN}, CASE WHEN {_SPOKEN} THEN ',advert' ELSE '' END) END AS tags FROM ({I.CHUNKS})"""
+
+
+@query
+def page_status(spark, sf):
+    """Status lines of pages whose counts and faults come from the key."""
+    from pagegauge.operators import rollup as R
+    n = F.col("page_id")
+    states = I.table(spark, sf, "pages").select(
+        "page_id", (n % 9 != 0).alias("site_enabled"), F.when(n % 7 == 0, "boom").alias("error"),
+        F.when(n % 5 > 0, n % 5).alias("n_chunks"), (n * n % 1100).alias("neutralised"),
+        R.ads_hidden(n % 3, F.when(n % 2 == 0, n % 4)).alias("ads_hidden"),
+        R.verdict((n % 11) / 10).alias("overall"), F.when(n % 13 == 0, "analyzing").alias("status"), (n % 100).alias("progress"))
+    return R.page_status(states).select("page_id", "status", "flagged", "badge", "color", "line")
+
+
+SQL["page_status"] = """WITH a AS (SELECT page_id AS n, greatest(page_id % 3, CASE WHEN page_id % 2 = 0 THEN page_id % 4 ELSE 0 END) AS ads, page_id * page_id % 1100 AS hits,
+      CASE WHEN page_id % 9 = 0 THEN 'excluded' WHEN page_id % 13 = 0 THEN 'analyzing' WHEN page_id % 7 = 0 THEN 'error' WHEN page_id % 5 = 0 THEN 'no_chunks' ELSE 'completed' END AS status FROM pages)
+    SELECT n AS page_id, status, hits + ads AS flagged, CASE status WHEN 'error' THEN '!' WHEN 'analyzing' THEN '…' WHEN 'completed' THEN
+        CASE WHEN hits + ads = 0 THEN '' WHEN hits + ads > 999 THEN '999+' ELSE (hits + ads)::VARCHAR END ELSE '' END AS badge,
+      CASE status WHEN 'error' THEN 'red' WHEN 'analyzing' THEN 'blue' WHEN 'completed' THEN CASE WHEN n % 11 > 7 THEN 'red' WHEN n % 11 > 4 THEN 'orange' ELSE 'green' END ELSE 'grey' END AS color,
+      concat('Page check', CASE status WHEN 'excluded' THEN ' is off for this site' WHEN 'error' THEN ': analysis failed' WHEN 'no_chunks' THEN ': no content to analyze'
+        WHEN 'analyzing' THEN concat(': analyzing page (', n % 100, '%)') ELSE CASE WHEN hits + ads = 0 THEN ': analysis complete, nothing flagged'
+          ELSE concat(': ', concat_ws(', ', CASE WHEN hits > 0 THEN concat(hits, ' labelled') END, CASE WHEN ads > 0 THEN concat(ads, ' ads hidden') END), ' on this page') END END) AS line FROM a"""
+
+
 # --- chunks from pages --------------------------------------------------------------
 
 @query

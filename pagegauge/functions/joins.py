@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SALTS = 8
+def default_salts(df: DataFrame) -> int:
+    """One task in 32 for a hot key, at least 8 and at most 64 tasks."""
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(8, min(64, partitions // 32))
 
 
 def salted_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int = SALTS
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int | None = None
 ) -> DataFrame:
     """Equi-join whose left rows of one key spread over `salts` tasks.
 
     `right` should be narrow: each of its rows is repeated `salts` times. If
     Spark's own size estimate lets it broadcast the right side, no row of the
     left side moves at all; otherwise a hot key is split instead of filling
-    one task.  Only inner, left, left_semi and left_anti joins are possible
-    this way, as every salt must see every right row.
+    one task, and adaptive execution splits what is still too large.  Only
+    inner, left, left_semi and left_anti joins are possible this way, as every
+    salt must see every right row.
     """
+    salts = salts or default_salts(left)
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"a {how} join cannot be salted on the left")
     # Structs and maps cannot all be hashed, so the salt comes from plain columns.

@@ -212,7 +212,21 @@ def list_view(chunks: DataFrame) -> DataFrame:
     )
 
 
-def section_number(elements: DataFrame, page: list[str], order: str, is_heading: Column) -> DataFrame:
-    """Running count of headings in page order: which section an element belongs to."""
-    w = W.partitionBy(*page).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    return elements.withColumn("section", F.sum(is_heading.cast("int")).over(w))
+def section_number(
+    elements: DataFrame, page: list[str], order: str, is_heading: Column, block: int = 10_000
+) -> DataFrame:
+    """Running count of headings in page order: which section an element belongs to.
+
+    `order` is a position, unique per page. A page is counted in blocks of positions,
+    so that a very long one is not one task's work: first the headings per block,
+    then the sum over the blocks before, then the count inside each block.
+    """
+    marked = elements.withColumns({
+        "_block": F.floor(F.col(order) / block), "_heading": F.coalesce(is_heading, F.lit(False)).cast("int")})
+    before = W.partitionBy(*page).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    offsets = marked.groupBy(*page, "_block").agg(F.sum("_heading").alias("_n")).select(
+        *page, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*page, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    counted = marked.withColumn("_inside", F.sum("_heading").over(inside))
+    return counted.join(offsets, [*page, "_block"]).withColumn(
+        "section", F.col("_before") + F.col("_inside")).drop("_block", "_heading", "_before", "_inside")

@@ -160,25 +160,24 @@ def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFr
     count once, and no group of texts is paired off against itself.
     Columns in: claim_key on both sides. Out: claim_key, match_key, similarity.
     """
-    sides = left.select("claim_key", F.lit("l").alias("side")).unionByName(
-        right.select("claim_key", F.lit("r").alias("side"))
-    ).distinct()
-    sets = sides.withColumn("words", word_set(F.col("claim_key"))).where(F.size("words") > 0)
-    words = sets.select("side", "claim_key", F.explode_outer("words").alias("word"))
-    ranks = words.groupBy("word").agg(F.count("*").alias("freq"))
-    ranked = salted_join(words, ranks, ["word"], "inner").groupBy("side", "claim_key").agg(
-        F.sort_array(F.collect_list(F.struct("freq", "word"))).alias("ranked")
-    )
-    n = F.size("ranked")
-    # ceil with a small allowance, so rounding never shortens the prefix.
-    prefix = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
-    probes = ranked.select(
-        "side", "claim_key",
-        F.transform("ranked", lambda x: x["word"]).alias("words"),
-        F.posexplode_outer(F.transform(F.slice("ranked", F.lit(1), prefix), lambda x: x["word"])).alias("at", "word"),
-    )
-    l = probes.where("side = 'l'").select("word", F.col("claim_key"), F.col("words").alias("lw"), F.col("at").alias("la"))
-    r = probes.where("side = 'r'").select("word", F.col("claim_key").alias("match_key"), F.col("words").alias("rw"), F.col("at").alias("ra"))
+    def words_of(side: DataFrame) -> DataFrame:
+        return side.select("claim_key").distinct().select(
+            "claim_key", F.explode_outer(word_set(F.col("claim_key"))).alias("word")).where("word is not null")
+
+    lefts, rights = words_of(left), words_of(right)
+    ranks = lefts.select("word").unionByName(rights.select("word")).groupBy("word").agg(F.count("*").alias("freq"))
+
+    def probes(words: DataFrame, key: str, held: str) -> DataFrame:
+        """The words of each text's prefix, each with the whole word list."""
+        ranked = salted_join(words, ranks, ["word"], "inner").groupBy("claim_key").agg(
+            F.sort_array(F.collect_list(F.struct("freq", "word"))).alias("ranked"))
+        listed = ranked.select(F.col("claim_key").alias(key), F.transform("ranked", lambda x: x["word"]).alias(held))
+        n = F.size(held)
+        # ceil with a small allowance, so rounding never shortens the prefix.
+        prefix = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
+        return listed.select(key, held, F.explode_outer(F.slice(held, F.lit(1), prefix)).alias("word"))
+
+    l, r = probes(lefts, "claim_key", "lw"), probes(rights, "match_key", "rw")
     both = F.size(F.array_intersect("lw", "rw"))
     similarity = both / (F.size("lw") + F.size("rw") - both)
     # A pair may meet on several words; it counts at the first word both share.

@@ -59,7 +59,11 @@ def resolve_feedback(feedback: DataFrame, chunks: DataFrame) -> tuple[DataFrame,
     chunks: chunk_id, fingerprint. The first chunk of a fingerprint counts. Feedback
     on a new chunk has a null chunk_id and is linked by its fingerprint.
     """
-    known = first_by(chunks.select("chunk_id", "fingerprint"), ["fingerprint"], ["chunk_id"]).select(
+    # Two columns of the chunk table, and of those only the fingerprints asked for:
+    # a small batch of feedback is broadcast and the chunk table is only scanned.
+    wanted = feedback.select(F.col("chunk_fingerprint").alias("fingerprint")).distinct()
+    asked = chunks.select("chunk_id", "fingerprint").join(wanted, "fingerprint", "left_semi")
+    known = first_by(asked, ["fingerprint"], ["chunk_id"]).select(
         F.col("fingerprint").alias("chunk_fingerprint"), "chunk_id")
     linked = salted_join(feedback, known, ["chunk_fingerprint"])
     return linked, stub_chunks(linked.where("chunk_id is null"))

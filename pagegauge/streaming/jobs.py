@@ -41,10 +41,20 @@ def feedback_sink(chunks: Callable[[], DataFrame], out: str) -> Callable[[DataFr
     so a restart neither loses nor doubles rows. `chunks` is read anew per batch.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         accepted, rejected = ingest_feedback(batch)
         linked, stubs = resolve_feedback(accepted, chunks())
         for name, rows in (("accepted", linked), ("rejected", rejected), ("stubs", stubs)):
             rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        batch.unpersist()
+    return write
+
+
+def change_log_sink(out: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function that keeps a change log, one folder per batch, so that a
+    batch run again replaces itself. store.apply_changes over the log gives the table."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
     return write
 
 
