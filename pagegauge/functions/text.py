@@ -139,6 +139,16 @@ def count_phrases(col: str, phrases: list[str]) -> Column:
     return F.expr("(" + " + ".join(f"int({c})" for c in _sql_contains(col, phrases)) + ")")
 
 
+def more_than(col: str, phrases: list[str], n: int) -> Column:
+    """More than n different phrases occur.
+
+    If none of the first len - n phrases is there, the rest cannot make it more
+    than n, so most texts are searched for those only.
+    """
+    first = contains_any(col, phrases[: len(phrases) - n])
+    return first & (count_phrases(col, phrases) > n)
+
+
 def matches(col: str, pattern: str, needs: list[str] | None = None) -> Column:
     """Regex test that runs only where one of the literals in `needs` occurs.
 

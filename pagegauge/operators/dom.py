@@ -141,6 +141,13 @@ def first(items: str, test: Test) -> str:
     return f"get({filter_(items, test)}, 0)"
 
 
+def first_lazy(items: str, test: Test, value: Test, kind: str) -> str:
+    """value of the first item that passes; a costly test is not run beyond it."""
+    acc, v = fresh(), fresh()
+    return (f"aggregate({items}, cast(null as {kind}), ({acc}, {v}) -> "
+            f"CASE WHEN {acc} IS NOT NULL THEN {acc} WHEN {test(v)} THEN {value(v)} END)")
+
+
 def below(e: str) -> str:
     """Descendants in document order."""
     return f"slice(elements, {e}.pos + 2, {e}.last - {e}.pos)"
@@ -172,24 +179,48 @@ def text_of(e: str) -> str:
     return f"array_join(slice(texts, {e}.t0 + 1, {e}.t1 - {e}.t0), '')"
 
 
+def _gaps(first: str, last: str, dropped: str, start: str, stop: str, cut: Callable[[str, str], str]) -> str:
+    """cut(from, to) for the ranges between `first` and `last` that no dropped element
+    covers. The dropped ones do not overlap and stand in document order, so this
+    takes one step per dropped element, however much lies between them."""
+    a, b = fresh(), fresh()
+    starts = f"concat(array({first}), {transform_(dropped, lambda d: f'greatest({d}.{stop}, {first})')})"
+    stops = f"concat({transform_(dropped, lambda d: f'least({d}.{start}, {last})')}, array({last}))"
+    return f"zip_with({starts}, {stops}, ({a}, {b}) -> {cut(a, f'greatest({b} - {a}, 0)')})"
+
+
+def texts_without(e: str, dropped: str) -> str:
+    """Text nodes below the element without those of the dropped elements."""
+    part = f"slice(texts, {e}.t0 + 1, {e}.t1 - {e}.t0)"
+    kept = _gaps(f"{e}.t0", f"{e}.t1", dropped, "t0", "t1", lambda a, n: f"slice(texts, {a} + 1, {n})")
+    return f"CASE WHEN size({dropped}) = 0 THEN {part} ELSE flatten({kept}) END"
+
+
 def text_without(e: str, dropped: str) -> str:
     """Text below the element without that of the dropped elements."""
-    x, i, d = fresh(), fresh(), fresh()
-    part = f"slice(texts, {e}.t0 + 1, {e}.t1 - {e}.t0)"
-    kept = f"filter({part}, ({x}, {i}) -> NOT exists({dropped}, {d} -> {i} + {e}.t0 >= {d}.t0 AND {i} + {e}.t0 < {d}.t1))"
-    return f"array_join(CASE WHEN size({dropped}) = 0 THEN {part} ELSE {kept} END, '')"
+    return f"array_join({texts_without(e, dropped)}, '')"
+
+
+def below_without(e: str, dropped: str) -> str:
+    """Descendants in document order without the dropped elements and theirs."""
+    kept = _gaps(f"({e}.pos + 1)", f"({e}.last + 1)", dropped, "pos", "next", lambda a, n: f"slice(elements, {a} + 1, {n})")
+    return f"CASE WHEN size({dropped}) = 0 THEN {below(e)} ELSE flatten({kept}) END"
 
 
 def html_without(e: str, dropped: str) -> str:
     """Inner markup without the dropped elements."""
-    outer = filter_(dropped, lambda d: "NOT " + exists_(
-        dropped, lambda o: f"{o}.pos < {d}.pos AND {o}.last >= {d}.last"))
-    a, b = fresh(), fresh()
-    def cut(rest: str) -> str:
-        starts = f"concat(array({e}.h0), {transform_(rest, lambda d: f'{d}.o1')})"
-        ends = f"concat({transform_(rest, lambda d: f'{d}.o0')}, array({e}.h1))"
-        return f"array_join(zip_with({starts}, {ends}, ({a}, {b}) -> substring(html, {a} + 1, greatest({b} - {a}, 0))), '')"
-    return let(outer, cut)
+    pieces = _gaps(f"{e}.h0", f"{e}.h1", dropped, "o0", "o1", lambda a, n: f"substring(html, {a} + 1, {n})")
+    return f"array_join({pieces}, '')"
+
+
+def dropped_of(e: str, unwanted: Test) -> str:
+    """Ranges of the unwanted descendants, outermost only, in document order."""
+    def outermost(x: str) -> str:
+        inner = exists_(f"{x}.path", lambda p: f"{p} > {e}.pos AND {unwanted(node(p))}")
+        return f"{unwanted(x)} AND NOT {inner}"
+    fields = {f: f for f in ("pos", "t0", "t1", "o0", "o1")}
+    return transform_(filter_(below(e), outermost), lambda d: struct(
+        next=f"{d}.last + 1", **{f: f"{d}.{f}" for f in fields}))
 
 
 def xpath(e: str) -> str:

@@ -68,18 +68,11 @@ def _nearest_ad(e: str) -> str:
 
 # --- pieces ---------------------------------------------------------------------
 
-def _dropped(e: str, unwanted: D.Test) -> str:
-    """Text and markup ranges of the unwanted descendants."""
-    return D.transform_(D.filter_(D.below(e), unwanted), lambda d: D.struct(
-        **{f: f"{d}.{f}" for f in ("pos", "last", "t0", "t1", "o0", "o1")}))
-
-
 def _use_piece(box: str, use) -> str:
     """use(Piece) for a struct<pos, marker, dropped>."""
     def with_element(e: str) -> str:
-        gone = lambda x: D.exists_(f"{box}.dropped", lambda d: f"{x}.pos >= {d}.pos AND {x}.pos <= {d}.last")
-        kept = f"CASE WHEN size({box}.dropped) = 0 THEN {D.below(e)} ELSE {D.filter_(D.below(e), D.no(gone))} END"
-        return D.let(kept, lambda inner: use(Piece(e, inner, f"{box}.dropped", D.node(f"{box}.marker"))))
+        return D.let(D.below_without(e, f"{box}.dropped"), lambda inner: use(
+            Piece(e, inner, f"{box}.dropped", D.node(f"{box}.marker"))))
     return D.let(D.node(f"{box}.pos"), with_element)
 
 
@@ -91,7 +84,7 @@ def _with_boxes(df: DataFrame, name: str, boxes: str, unwanted: D.Test) -> DataF
     """Add visible containers with the ranges that their text leaves out."""
     shown = df.withColumn(name, F.expr(D.filter_(boxes, lambda b: "NOT " + D.hidden(D.node(f"{b}.pos")))))
     return shown.withColumn(name, F.expr(D.transform_(name, lambda b: D.struct(
-        pos=f"{b}.pos", marker=f"{b}.marker", dropped=_dropped(D.node(f"{b}.pos"), unwanted)))))
+        pos=f"{b}.pos", marker=f"{b}.marker", dropped=D.dropped_of(D.node(f"{b}.pos"), unwanted)))))
 
 
 def _candidate(pos: str, text: str, kind: str, marker: str = "-1", heading: str = "cast(null as string)") -> str:
@@ -151,30 +144,30 @@ def _with_sections(df: DataFrame, into: str, needed: str, min_text: int) -> Data
         text=D.trim(D.text_of(p)), pos=f"{p}.pos"))
     df = df.withColumns({
         "_heads": F.expr(D.filter_(D.below("_main"), HEADINGS)),
-        "_code": F.expr(D.filter_(D.below("_main"), CODE)),
         "_paragraphs": F.expr(D.filter_(texts, lambda x: f"{x}.text <> ''")),
     })
     found = (
         f"CASE WHEN _main IS NULL THEN {NO_CANDIDATES} WHEN size(_heads) > 0 THEN {split_by_headings()} "
         f"ELSE {pack_paragraphs(min_text)} END")
     df = df.withColumn(into, F.expr(found))
-    return df.withColumn(into, F.expr(_long(into, min_text))).drop("_main", "_heads", "_code", "_paragraphs")
+    return df.withColumn(into, F.expr(_long(into, min_text))).drop("_main", "_heads", "_paragraphs")
 
 
 def split_by_headings() -> str:
     """Sections of _main: each starts at a heading and holds the text up to the next
     one, every text node once. The part before the first heading counts too."""
-    x, k, d = D.fresh(), D.fresh(), D.fresh()
     def section(i: str) -> str:
-        head = f"get(_heads, {i} - 1)"
-        start = f"(CASE WHEN {i} = 0 THEN _main.t0 ELSE {head}.t0 END)"
-        stop = f"coalesce(get(_heads, {i}).t0, _main.t1)"
-        leaves = (
-            f"filter(slice(texts, {start} + 1, {stop} - {start}), ({x}, {k}) -> "
-            f"NOT exists(_code, {d} -> {k} + {start} >= {d}.t0 AND {k} + {start} < {d}.t1))")
+        head, following = f"get(_heads, {i} - 1)", f"get(_heads, {i})"
+        own = lambda field: f"(CASE WHEN {i} = 0 THEN _main.{field} ELSE {head}.{field} END)"
+        # The stretch from this heading to the next one, in the shape of an element.
+        part = D.struct(
+            t0=own("t0"), t1=f"coalesce({following}.t0, _main.t1)",
+            pos=own("pos"), last=f"coalesce({following}.pos - 1, _main.last)")
+        def leaves(p: str) -> str:
+            code = D.let(D.dropped_of(p, CODE), lambda c: D.texts_without(p, c))
+            return f"array_join(array_remove({D.transform_(code, D.trim)}, ''), ' ')"
         return _candidate(
-            f"CASE WHEN {i} = 0 THEN _main.pos ELSE {head}.pos END",
-            f"array_join(array_remove({D.transform_(leaves, D.trim)}, ''), ' ')", "'section'",
+            own("pos"), D.let(part, leaves), "'section'",
             heading=f"CASE WHEN {i} > 0 THEN {D.trim(D.text_of(head))} END")
     return D.transform_("sequence(0, size(_heads))", section)
 
@@ -248,8 +241,8 @@ def _with_details(df: DataFrame, platforms: dict[str, Platform], with_html: bool
     element = lambda c: D.node(f"{c}.pos")
     df = df.withColumn("_boxes", F.expr(D.transform_("found", lambda c: D.struct(
         pos=f"{c}.pos", marker=f"{c}.marker", kind=f"{c}.kind",
-        dropped=f"CASE WHEN {c}.kind = 'element' THEN {_dropped(element(c), UNWANTED_IN_ARTICLES)} "
-                f"ELSE {_dropped(element(c), UNWANTED)} END"))))
+        dropped=f"CASE WHEN {c}.kind = 'element' THEN {D.dropped_of(element(c), UNWANTED_IN_ARTICLES)} "
+                f"ELSE {D.dropped_of(element(c), UNWANTED)} END"))))
 
     def per_box(use, empty: str) -> str:
         return D.transform_("_boxes", lambda b: f"CASE WHEN {b}.kind = 'section' THEN {empty} ELSE {use(b)} END")
@@ -416,7 +409,7 @@ def extract_page_metadata(pages: DataFrame) -> DataFrame:
         meta("article:published_time").alias("published_time"),
         meta("article:modified_time").alias("modified_time"), meta("og:site_name").alias("site_name"),
     )
-    main_text = D.trim(D.let(D.filter_(D.below("_main"), code), lambda gone: D.text_without("_main", gone)))
+    main_text = D.trim(D.let(D.dropped_of("_main", code), lambda gone: D.text_without("_main", gone)))
     absolute = F.transform("_anchors", lambda a: F.struct(
         _absolute(a["href"], url).alias("url"), F.substring(a["text"], 1, 100).alias("text")))
     web = F.slice(F.filter(absolute, lambda a: F.startswith(a["url"], F.lit("http"))), 1, V.MAX_LINKS_PER_PAGE)

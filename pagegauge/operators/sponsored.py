@@ -70,7 +70,7 @@ def post_root(e: str) -> str:
     def step(p: str) -> str:
         parent = D.node(f"get(reverse({D.node(p)}.path), 0)")
         return f"({AD_SHELL(D.node(p))} OR coalesce({FEED(parent)}, false))"
-    walked = D.first(f"slice({D.up(e)}, 1, 40)", step)
+    walked = D.first_lazy(f"slice({D.up(e)}, 1, 40)", step, lambda p: p, "int")
     return f"coalesce({', '.join(known)}, {walked}, {D.closest(e, D.has('data-pagelet'))})"
 
 
@@ -80,7 +80,7 @@ def _panel_root(heading: str) -> str:
     def is_root(x: str) -> str:
         n = D.node(f"{x}.p")
         return f"({SIDE(n)} OR {D.ident('rightCol')(n)} OR {RAIL(n)} OR ({x}.i >= 2 AND {D.any_below(AD_LINK)(n)}))"
-    near = f"{D.first(numbered, is_root)}.p"
+    near = D.first_lazy(numbered, is_root, lambda x: f"{x}.p", "int")
     return f"coalesce({near}, {D.closest(heading, SIDE)}, get(reverse({heading}.path), 1))"
 
 
