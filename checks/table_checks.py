@@ -17,7 +17,7 @@ from pagegauge.operators import chunks as H, feedback as B, models as M, search
 # Customers serve as users' per-site switches: a site and a module by key.
 
 PAGE_HOST = f"regexp_replace({HOST}, '^www\\.', '')"
-SITE_OFF = f"SELECT DISTINCT {PAGE_HOST} AS host FROM pages WHERE page_id % 9 = 0"
+SITE_OFF = f"SELECT DISTINCT {PAGE_HOST} AS host FROM pages WHERE {PAGE_HOST} LIKE 'm.%'"
 SWITCHES = f"""SELECT {PAGE_HOST} AS host, {I.MODULE_BY.format('page_id')} AS module, bool_and(page_id % 4 = 1) AS enabled
     FROM pages GROUP BY 1, 2"""
 GLOBAL_OFF = ["defuseRagebait"]
@@ -26,11 +26,12 @@ GLOBAL_OFF = ["defuseRagebait"]
 def settings(spark, sf) -> G.Settings:
     from pagegauge.functions.urls import host_of
     pages = I.table(spark, sf, "pages").select(host_of(F.col("url")).alias("host"), "page_id")
-    off = pages.where("page_id % 9 = 0").select(F.concat(F.lit("https://www."), "host").alias("host"))
+    # Users switched everything off on mobile sites.
+    off = pages.where(F.startswith("host", F.lit("m."))).select(F.concat(F.lit("https://www."), "host").alias("host"))
     switches = pages.withColumn("module", F.expr(I.MODULE_BY.format("page_id"))).groupBy("host", "module").agg(
         F.bool_and(F.col("page_id") % 4 == 1).alias("enabled"))
     names = F.explode(F.array(*[F.lit(m) for m in V.MODULE_NAMES]))
-    module = I.table(spark, sf, "region").where("r_regionkey = 0").select(names.alias("module")).withColumn(
+    module = I.table(spark, sf, "region").select(names.alias("module")).distinct().withColumn(
         "enabled", ~F.col("module").isin(GLOBAL_OFF)).withColumn("block_page_ads", F.lit(None).cast("boolean"))
     return G.Settings(off, switches, module)
 
@@ -225,7 +226,7 @@ OP = "CASE WHEN o_orderkey % 11 = 0 THEN 'delete' WHEN o_orderkey % 5 = 0 THEN '
 
 @query
 def apply_changes(spark, sf):
-    base = I.table(spark, sf, "customer").where("c_custkey % 3 > 0").select(
+    base = I.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("note"))
     log = I.table(spark, sf, "orders").select(
         F.col("o_custkey").alias("id"), F.expr(OP).alias("op"), F.col("o_orderkey").alias("ts"),
@@ -238,7 +239,7 @@ def apply_changes(spark, sf):
 _FIELDS = {"name": "CASE WHEN o_orderkey % 5 = 0 THEN concat('new ', o_custkey) END",
            "amount": "CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END", "note": "CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority END"}
 SQL["apply_changes"] = f"""WITH e AS (SELECT c_custkey AS id, 'insert' AS op, -1 AS ts, c_name AS name, c_acctbal AS amount, c_mktsegment AS note
-      FROM customer WHERE c_custkey % 3 > 0
+      FROM customer
       UNION ALL SELECT o_custkey, {OP}, o_orderkey, {', '.join(_FIELDS.values())} FROM orders),
     r AS (SELECT id, max(ts) AS reset, arg_max(op, ts) AS last FROM e WHERE op <> 'update' GROUP BY id),
     l AS (SELECT e.* FROM e JOIN r ON e.id = r.id AND e.ts >= r.reset AND r.last = 'insert')
@@ -278,12 +279,11 @@ def lookup_fingerprint(spark, sf):
     """Documents by the fingerprint of their first line, the first of each."""
     docs = I.documents(spark, sf).select(F.col("doc_id").alias("id"), T.first_line(F.col("text")).alias("url"), F.lit("").alias("title"))
     marked = D.with_fingerprint(docs)
-    found = D.lookup_fingerprint(marked, marked.where("id % 2 = 0"))
-    return found.select("id")
+    return D.lookup_fingerprint(marked, marked).select("id")
 
 
 SQL["lookup_fingerprint"] = f"""WITH d AS (SELECT doc_id AS id, substr({flat("split_part(text, chr(10), 1)")}, 1, 200) AS line FROM documents)
-    SELECT min(id) AS id FROM d GROUP BY line HAVING bool_or(id % 2 = 0)"""
+    SELECT min(id) AS id FROM d GROUP BY line"""
 
 
 @query
