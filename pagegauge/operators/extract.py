@@ -16,7 +16,7 @@ from pagegauge.functions.urls import host_of, is_external, is_platform_host, url
 from pagegauge.operators import dom as D
 from pagegauge.operators.chunks import AD_CLASS, ad_text, signature, tag_chunks
 from pagegauge.operators.platforms import LINK, NO_BOXES, PLATFORMS, UNWANTED, Piece, Platform, platform_of, ranked
-from pagegauge.operators.sponsored import IS_SPONSORED, post_root
+from pagegauge.operators.sponsored import MARK_COLUMNS, is_sponsored, post_root, with_marks
 from pagegauge.sources.html import with_dom
 
 # --- fixed values: selectors of ordinary pages ---------------------------------
@@ -213,7 +213,7 @@ def _with_sponsored(df: DataFrame, name: str) -> DataFrame:
         f"CASE WHEN _on_feed THEN coalesce({post_root(D.node(f'{c}.pos'))}, {c}.pos) END"))
     df = df.withColumn("_roots", F.expr(root))
     return df.withColumn("_sponsored", F.expr(D.transform_(
-        "_roots", lambda r: f"CASE WHEN {r} IS NOT NULL THEN {IS_SPONSORED(D.node(r))} ELSE false END")))
+        "_roots", lambda r: f"CASE WHEN {r} IS NOT NULL THEN {is_sponsored(D.node(r))} ELSE false END")))
 
 
 def _with_finished(df: DataFrame, name: str, include_ads: bool, max_chunks: int) -> DataFrame:
@@ -237,7 +237,7 @@ def _with_finished(df: DataFrame, name: str, include_ads: bool, max_chunks: int)
 
 def _with_details(df: DataFrame, platforms: dict[str, Platform], with_html: bool) -> DataFrame:
     """Add `chunks`: all fields of the remaining candidates in `found`."""
-    df = _with_sponsored(df, "found")
+    df = _with_sponsored(df, "found").drop(*MARK_COLUMNS)
     element = lambda c: D.node(f"{c}.pos")
     df = df.withColumn("_boxes", F.expr(D.transform_("found", lambda c: D.struct(
         pos=f"{c}.pos", marker=f"{c}.marker", kind=f"{c}.kind",
@@ -339,6 +339,7 @@ def extract_chunks(
         "_on_feed": is_platform_host(F.coalesce("url", F.lit(""))),
         "platform": F.expr(platform_of(platforms)),
     })
+    df = with_marks(df, "_on_feed")
     needed = "true"
     if platforms:
         df = _with_platform_chunks(df, platforms, min_text, max_chunks)

@@ -51,13 +51,35 @@ SHORT_LABEL = D.every(D.has("aria-labelledby"), lambda e: D.let(
 HIDDEN_LETTER = D.every(D.tag("b"), D.attr_has("style", "display: none"), lambda e: (
     f"coalesce(startswith({D.let(D.node(D.closest(e, D.tag('span'))), _text)}, '{LABEL}'), false)"))
 
-# Some descendant marks the element as sponsored.
-IS_SPONSORED = D.any_below(D.some(
-    AD_MARKERS, D.attr_is("aria-label", LABEL), LABEL_SPAN, SPLIT_LETTERS, SHORT_LABEL, HIDDEN_LETTER))
+MARK = D.some(AD_MARKERS, D.attr_is("aria-label", LABEL), LABEL_SPAN, SPLIT_LETTERS, SHORT_LABEL, HIDDEN_LETTER)
+
+
+def with_marks(df: DataFrame, on_feed: str = "true") -> DataFrame:
+    """Add the positions of sponsored marks, profile names and advert bodies, once per
+    page and on feed pages only; the tests below look them up."""
+    def positions(test: D.Test):
+        found = D.transform_(D.select(test), lambda e: f"{e}.pos")
+        return F.expr(f"CASE WHEN {on_feed} THEN {found} ELSE cast(array() as array<int>) END")
+    return df.withColumns({"_marks": positions(MARK), "_profiles": positions(PROFILE), "_bodies": positions(AD_BODY)})
+
+
+MARK_COLUMNS = ["_marks", "_profiles", "_bodies"]
+
+
+def _within(e: str) -> D.Test:
+    return lambda m: f"({m} > {e}.pos AND {m} <= {e}.last)"
+
+
+def is_sponsored(e: str) -> str:
+    """Some descendant marks the element as sponsored."""
+    return D.exists_("_marks", _within(e))
+
+
+def _is_shell(e: str) -> str:
+    """Holds exactly one profile name and an advert body; not the page itself."""
+    return (f"({D.no(D.tag('html', 'body'))(e)} AND size({D.filter_('_profiles', _within(e))}) = 1 "
+            f"AND {D.exists_('_bodies', _within(e))})")
 
-# Holds exactly one profile name and an advert body; not the page itself.
-AD_SHELL = D.every(
-    D.no(D.tag("html", "body")), lambda e: f"size({D.filter_(D.below(e), PROFILE)}) = 1", D.any_below(AD_BODY))
 
 SIDE_HEADING = D.every(
     D.tag("span"), lambda e: f"{_text(e)} = '{LABEL}'", D.no(D.inside(FEED)), D.no(D.inside(PROFILE)))
@@ -69,7 +91,7 @@ def post_root(e: str) -> str:
     known = [D.closest(e, test) for test in FEED_POSTS]
     def step(p: str) -> str:
         parent = D.node(f"get(reverse({D.node(p)}.path), 0)")
-        return f"({AD_SHELL(D.node(p))} OR coalesce({FEED(parent)}, false))"
+        return f"({_is_shell(D.node(p))} OR coalesce({FEED(parent)}, false))"
     walked = D.first_lazy(f"slice({D.up(e)}, 1, 40)", step, lambda p: p, "int")
     return f"coalesce({', '.join(known)}, {walked}, {D.closest(e, D.has('data-pagelet'))})"
 
@@ -89,7 +111,7 @@ def sponsored_post_roots() -> str:
     marker = D.some(
         AD_MARKERS, D.attr_is("aria-label", LABEL), D.every(LABEL_SPAN, D.no(SIDE_HEADING)), SPLIT_LETTERS)
     roots = f"array_compact(array_distinct({D.transform_(D.select(marker), post_root)}))"
-    return f"array_sort({D.filter_(roots, lambda r: IS_SPONSORED(D.node(r)))})"
+    return f"array_sort({D.filter_(roots, lambda r: is_sponsored(D.node(r)))})"
 
 
 def sponsored_panel_roots() -> str:
@@ -104,7 +126,7 @@ def sponsored_panel_roots() -> str:
 
 def _rooted(pages: DataFrame, roots: str, kind: str) -> DataFrame:
     """(page_id, kind, xpath) of the roots on pages of the feed platform."""
-    feed = with_dom(pages.where(is_platform_host(F.col("url"))).select("page_id", "html"))
+    feed = with_marks(with_dom(pages.where(is_platform_host(F.col("url"))).select("page_id", "html")))
     paths = feed.withColumn("roots", F.expr(roots)).select(
         "page_id", F.explode_outer(F.expr(D.transform_("roots", lambda r: D.xpath(D.node(r))))).alias("xpath"))
     return paths.where("xpath is not null").select("page_id", F.lit(kind).alias("kind"), "xpath")
