@@ -183,3 +183,15 @@ def test_limit(spark, n):
     html = "".join(f"<article>{i} {LONG}</article>" for i in range(5))
     assert [r.chunk_pos for r in cut(spark, "https://x.org", html, max_chunks=n)] == list(range(n))
     assert cut(spark, "https://x.org", None) == []
+
+
+def test_own_platform_table(spark):
+    from pagegauge.operators import dom as D
+    from pagegauge.operators.platforms import PLATFORMS, Platform, boxes
+
+    mine = Platform(
+        "board", ["board.example"], D.cls("thread-item"), lambda: boxes(D.select(D.cls("thread-item"))),
+        lambda p: f"array({p.text_at(D.tag('h4'))}, {p.text_at(D.cls('said'))})")
+    html = f'<div class="thread-item"><h4>Head</h4><p class="said">{LONG}</p></div>'
+    row, = cut(spark, "https://board.example/1", html, platforms={**PLATFORMS, "board": mine})
+    assert (row.platform, row.text, row.tags) == ("board", f"Head\n{LONG.strip()}", ["other"])
