@@ -26,15 +26,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near copies, once. Rows with a null id stay, once for each text, unless
-    they equal a document that has one."""
+    """Keep the smallest doc_id of each group of near copies, once; rows with a null id stay."""
     groups = jaccard.jaccard_components(docs, SHINGLE, PERCENT)
-    copies = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    named, unnamed = kept.where("doc_id is not null"), kept.where("doc_id is null")
-    same = docs.where("doc_id is not null").select("text").distinct()
-    unnamed = unnamed.join(same, "text", "left_anti").dropDuplicates(["text"]).select(*docs.columns)
-    return named.dropDuplicates(["doc_id"]).unionByName(unnamed)
+    found = saved(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("group")), "groups")
+    copies, again = found.where("doc_id <> group").select("doc_id"), found.where("doc_id = group and n > 1").select("doc_id")
+    kept = docs.join(copies, "doc_id", "left_anti")
+    if not again.isEmpty():
+        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
+    return kept.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
