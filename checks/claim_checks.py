@@ -18,10 +18,10 @@ SENTENCES = f"""list_filter(list_transform(regexp_split_to_array(text, '[.!?]+')
 IS_CLAIM = " OR ".join(f"regexp_matches(s, {re2('(?i)' + p)})" for p in V.CLAIM_PATTERNS)
 
 
-def claims_of(source: str, n: int = 3) -> str:
+def claims_of(source: str) -> str:
     """doc_id, text and the list of claims."""
-    return f"""(SELECT doc_id, text, list_slice(CASE WHEN len(found) > 0 THEN found ELSE sents END, 1, {n}) AS claims FROM (
-      SELECT *, list_filter(sents, lambda s: {u16('s')} < 500 AND ({IS_CLAIM})) AS found FROM (
+    return f"""(SELECT doc_id, text, CASE WHEN len(found) > 0 THEN found ELSE sents END AS claims FROM (
+      SELECT *, list_filter(sents, lambda s: {IS_CLAIM}) AS found FROM (
       SELECT doc_id, text, {SENTENCES} AS sents FROM {source})))"""
 
 

@@ -28,7 +28,7 @@ TITLE = flat(decode(STRIP.format(f"coalesce(nullif({inner('title')}, ''), {inner
 NO_CODE = "html"
 for _tag in ("script", "style", "noscript"):
     NO_CODE = f"regexp_replace({NO_CODE}, '(?is)<{_tag}.*?</{_tag}>', ' ', 'g')"
-EXCERPT = f"substr({flat(decode(STRIP.format(NO_CODE)))}, 1, 4000)"
+EXCERPT = flat(decode(STRIP.format(NO_CODE)))
 # Text of an element whose markup holds no unwanted parts: tags vanish, entities decode.
 ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
 TAGLESS = "replace(replace(regexp_replace({0}, '<[^>]+>', '', 'g'), '&quot;', '\"'), '&amp;', '&')"
@@ -36,7 +36,7 @@ ARTICLE_TEXT = trim(TAGLESS.format(ARTICLE))
 FIRST_SENTENCE = lambda x: (
     f"coalesce(nullif({trim(f'''regexp_extract({flat(x)}, '(?s)^(.+?[.!?])(?: |\\z)', 1)''')}, ''), nullif({flat(x)}, ''))")
 HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1))"
-SIGNATURE = trim("lower(substr(text, 1, 200))")
+SIGNATURE = trim("lower(text)")
 
 
 # --- text from markup ---------------------------------------------------------
@@ -300,9 +300,9 @@ def _platform(spark, sf, item, head, tail, url, **options):
 
 def _platform_sql(text: str, target: str, xpath: str, platform: str, tag: str, least: int = 100, keep: str = "true",
                   number: str = "row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id)") -> str:
-    """Dedup by the first 200 characters within the page, then number the chunks."""
+    """Dedup by the whole text within the page, then number the chunks."""
     advert = " OR ".join(f"contains(lower(text), {lit(w)})" for w in V.AD_TEXT_WORDS)
-    sig = trim("lower(substr(text, 1, 200))")
+    sig = trim("lower(text)")
     return f"""WITH raw AS (SELECT doc_id, doc_id // 10 AS page_id, {number} AS nr, * EXCLUDE (doc_id) FROM ({I.CHUNKS})),
       t AS (SELECT *, {trim(text)} AS chunk FROM raw WHERE {keep}),
       u AS (SELECT page_id, doc_id, nr, chunk AS text, {target} AS target_url FROM t WHERE {u16('chunk')} >= {least}),

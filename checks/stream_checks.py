@@ -101,7 +101,7 @@ def stream_page_state(spark, sf):
     events = stream(spark, sf, "events").select(
         F.col("user_id").alias("page_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"),
         (F.col("value") / 50).alias("score"))
-    states = finish(spark, J.page_state_stream(events), "stream_page_state", "update")
+    states = J.newest_rows(finish(spark, J.page_state_stream(events), "stream_page_state", "update"), ["page_id"])
     return states.select(
         "page_id", "status", "neutralised", "n_updates", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
 

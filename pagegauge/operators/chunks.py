@@ -22,14 +22,15 @@ def html_title(html: Column) -> Column:
     return T.collapse_space(T.decode_entities(T.strip_tags(raw)))
 
 
-def html_text(html: Column, max_chars: int = V.EXCERPT_CHARS) -> Column:
-    """Plain text of a page without script, style and noscript parts."""
+def html_text(html: Column, max_chars: int | None = None) -> Column:
+    """Plain text of a page without script, style and noscript parts; the first max_chars characters if given."""
     for tag in ("script", "style", "noscript"):
         html = F.regexp_replace(html, f"(?is)<{tag}.*?</{tag}>", " ")
-    return F.substring(T.collapse_space(T.decode_entities(T.strip_tags(html))), 1, max_chars)
+    text = T.collapse_space(T.decode_entities(T.strip_tags(html)))
+    return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
-def html_to_text(pages: DataFrame, max_chars: int = V.EXCERPT_CHARS) -> DataFrame:
+def html_to_text(pages: DataFrame, max_chars: int | None = None) -> DataFrame:
     """page_id, url, title and text excerpt, by regex only."""
     return pages.select(
         "page_id", "url",
@@ -146,8 +147,8 @@ def blocked_count(ads: DataFrame, page: list[str]) -> DataFrame:
 # --- dedup and limits --------------------------------------------------------
 
 def signature(text: Column) -> Column:
-    """First 200 characters, lower case, trimmed."""
-    return T.js_trim(F.lower(F.substring(text, 1, 200)))
+    """Hash of the whole text, lower case, trimmed."""
+    return F.sha2(T.js_trim(F.lower(text)), 256)
 
 
 def dedup_chunks(chunks: DataFrame, scope: list[str], order: list[str]) -> DataFrame:

@@ -29,8 +29,10 @@ def _is_claim(sentence: Column) -> Column:
     return T.let(F.lower(sentence), test)
 
 
-def with_claims(chunks: DataFrame, max_claims: int = V.MAX_CLAIMS, into: str = "claims") -> DataFrame:
-    """Add the array of claims of each chunk, in text order."""
+def with_claims(chunks: DataFrame, max_claims: int | None = None, into: str = "claims",
+                max_chars: int | None = None) -> DataFrame:
+    """Add the array of claims of each chunk, in text order: all of them, or the first max_claims of
+    fewer than max_chars characters (a browser shows V.MAX_CLAIMS below V.MAX_CLAIM_CHARS)."""
     keep = chunks.columns
     sentences = F.filter(
         F.transform(F.split(F.coalesce("text", F.lit("")), "[.!?]+"), T.js_trim),
@@ -38,14 +40,14 @@ def with_claims(chunks: DataFrame, max_claims: int = V.MAX_CLAIMS, into: str = "
     )
     found = chunks.withColumn("_sentences", sentences).withColumn(
         "_claims",
-        F.filter("_sentences", lambda s: ~T.longer_than(s, V.MAX_CLAIM_CHARS - 1) & _is_claim(s)),
+        F.filter("_sentences", lambda s: _is_claim(s) if max_chars is None else ~T.longer_than(s, max_chars - 1) & _is_claim(s)),
     )
     chosen = F.when(F.size("_claims") > 0, F.col("_claims")).otherwise(F.col("_sentences"))
-    return found.select(*keep, F.slice(chosen, 1, max_claims).alias(into))
+    return found.select(*keep, (chosen if max_claims is None else F.slice(chosen, 1, max_claims)).alias(into))
 
 
 def extract_claims(
-    chunks: DataFrame, key: list[str], max_claims: int = V.MAX_CLAIMS, outer: bool = False
+    chunks: DataFrame, key: list[str], max_claims: int | None = None, outer: bool = False
 ) -> DataFrame:
     """One row per claim: key, claim_pos, claim. With outer, chunks without claims stay."""
     # The outer form keeps Spark from evaluating the claims a second time in a filter.
@@ -55,7 +57,7 @@ def extract_claims(
     return rows if outer else rows.where("claim is not null")
 
 
-def extract_statements(chunks: DataFrame, key: list[str], max_claims: int = V.MAX_CLAIMS) -> DataFrame:
+def extract_statements(chunks: DataFrame, key: list[str], max_claims: int | None = None) -> DataFrame:
     """The claims as typed statements with a place for their analyses."""
     empty = F.array().cast("array<struct<aspect:string,problem_score:double,confidence:double>>")
     statement = F.transform(
@@ -206,7 +208,7 @@ def score_accuracy(
     fact_checks: DataFrame | None,
     key: list[str],
     how: str = "exact",
-    max_claims: int = V.MAX_CLAIMS,
+    max_claims: int | None = None,
 ) -> DataFrame:
     """Accuracy rows in the shape of score_all: 1 - mean rating of the matched claims.
 
@@ -219,7 +221,7 @@ def score_accuracy(
     long_enough = T.longer_than(F.coalesce(F.col("text"), F.lit("")), V.MIN_FACT_CHECK_TEXT - 1)
     claims = extract_claims(chunks.withColumn("_enough", long_enough), [*key, "_enough"], max_claims, outer=True)
     matched = match_fact_checks(claims, fact_checks, how)
-    # At most max_claims rows per chunk, so the list is short; sorted to add in claim order.
+    # As many rows as the chunk has claims; sorted to add in claim order.
     checked = F.sort_array(F.collect_list(
         F.when(F.col("rating").isNotNull(), F.struct("claim_pos", "rating"))))
     per_chunk = matched.groupBy(*key).agg(

@@ -96,7 +96,7 @@ def _long(found: str, least: str | int) -> str:
 
 
 def _with_platform_chunks(
-    df: DataFrame, platforms: dict[str, Platform], min_text: int, max_chunks: int
+    df: DataFrame, platforms: dict[str, Platform], min_text: int
 ) -> DataFrame:
     """Add `by_platform`: candidates found by the page's platform."""
     def switch(make, other: str) -> str:
@@ -112,11 +112,7 @@ def _with_platform_chunks(
         f"zip_with(_boxes, {joined}, ({b}, {t}) -> "
         + _candidate(f"{b}.pos", t, "platform", f"{b}.marker") + ")"))
     least = switch(lambda p: str(max(p.min_chars, min_text)), str(min_text))
-    early = ", ".join(f"'{key}'" for key, p in platforms.items() if p.stops_early) or "''"
-    df = df.withColumn("_found", F.expr(_long("_found", least)))
-    return df.withColumn("by_platform", F.expr(
-        f"CASE WHEN platform IN ({early}) THEN slice(_found, 1, {max_chunks}) ELSE _found END"
-    )).drop("_boxes", "_parts", "_found")
+    return df.withColumn("by_platform", F.expr(_long("_found", least))).drop("_boxes", "_parts", "_found")
 
 
 def _with_article_chunks(
@@ -216,7 +212,7 @@ def _with_sponsored(df: DataFrame, name: str) -> DataFrame:
         "_roots", lambda r: f"CASE WHEN {r} IS NOT NULL THEN {is_sponsored(D.node(r))} ELSE false END")))
 
 
-def _with_finished(df: DataFrame, name: str, include_ads: bool, max_chunks: int) -> DataFrame:
+def _with_finished(df: DataFrame, name: str, include_ads: bool, max_chunks: int | None) -> DataFrame:
     """Dedup, take out adverts unless wanted, limit."""
     df = _with_unique(df, name)
     if not include_ads:
@@ -230,7 +226,7 @@ def _with_finished(df: DataFrame, name: str, include_ads: bool, max_chunks: int)
         df = df.withColumn(name, F.expr(
             f"transform(filter(_zipped, x -> NOT x._ads AND NOT x._sponsored), x -> x.{name})"
         )).drop("_sponsored", "_roots", "_ads", "_zipped")
-    return df.withColumn(name, F.slice(name, 1, max_chunks))
+    return df if max_chunks is None else df.withColumn(name, F.slice(name, 1, max_chunks))
 
 
 # --- chunk fields --------------------------------------------------------------------
@@ -314,7 +310,7 @@ def _absolute_images(images: Column, url: Column) -> Column:
 def extract_chunks(
     pages: DataFrame,
     min_text: int = V.MIN_CHUNK_CHARS,
-    max_chunks: int = V.MAX_CHUNKS_PER_PAGE,
+    max_chunks: int | None = None,
     include_ads: bool = False,
     strategy: str = "auto",
     platforms: dict[str, Platform] | None = None,
@@ -342,7 +338,7 @@ def extract_chunks(
     df = with_marks(df, "_on_feed")
     needed = "true"
     if platforms:
-        df = _with_platform_chunks(df, platforms, min_text, max_chunks)
+        df = _with_platform_chunks(df, platforms, min_text)
         df = _with_finished(df, "by_platform", include_ads, max_chunks)
         needed = "size(by_platform) = 0"
     df = _with_article_chunks(df, "_articles", ARTICLES, needed, min_text, include_ads)

@@ -75,7 +75,8 @@ def stub_chunks(feedback: DataFrame) -> DataFrame:
         F.min_by(F.struct("chunk_url", "chunk_title"), F.struct("created", "feedback_id")).alias("f")
     )
     return first.select(
-        "fingerprint", F.col("f.chunk_url").alias("url"), F.col("f.chunk_title").alias("title"),
+        # The same fingerprint has the same id in every batch.
+        F.xxhash64("fingerprint").alias("stub_id"), "fingerprint", F.col("f.chunk_url").alias("url"), F.col("f.chunk_title").alias("title"),
         F.coalesce(T.nullif_blank(F.col("f.chunk_title")), F.col("f.chunk_url")).alias("text"),
     )
 

@@ -74,8 +74,6 @@ class Platform:
     parts: Callable[[Piece], str]
     min_chars: int = 50
     target: Callable[[Piece], str] | None = None
-    # stop at this many chunks already before adverts are taken out
-    stops_early: bool = False
 
 
 def boxes(items: str) -> str:
@@ -232,7 +230,7 @@ PLATFORMS: dict[str, Platform] = {p.name: p for p in (
     Platform(
         "google", ["google.com/search", "google.com/webhp"],
         D.some(D.cls("tjvcx", "GvPZzd", "cHaqb"), D.cls("WlydOe"), GOOGLE_TAB),
-        _google_containers, _google_parts, 10, _google_target, stops_early=True,
+        _google_containers, _google_parts, 10, _google_target,
     ),
     Platform(
         "duckduckgo", ["duckduckgo.com"], D.some(D.cls("wLL07_0Xnd1QZpzpfR4W"), DDG_TAB),

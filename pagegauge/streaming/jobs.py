@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -39,17 +40,38 @@ def feedback_sink(chunks: Callable[[], DataFrame], out: str) -> Callable[[DataFr
 
     Every batch writes its own folders and overwrites them when it is run again,
     so a restart neither loses nor doubles rows. `chunks` is read anew per batch.
+    A fingerprint gets one stub, in the first batch that names it.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        accepted, rejected = ingest_feedback(batch)
-        linked, stubs = resolve_feedback(accepted, chunks())
-        for name, rows in (("accepted", linked), ("rejected", rejected), ("stubs", stubs)):
-            rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
-        batch.unpersist()
+        try:
+            accepted, rejected = ingest_feedback(batch)
+            linked, stubs = resolve_feedback(accepted, chunks())
+            stored = stored_stubs(batch.sparkSession, out, batch_id)
+            if stored is not None:
+                stubs = stubs.join(stored, "fingerprint", "left_anti").select(*stubs.columns)
+            for name, rows in (("accepted", linked), ("rejected", rejected), ("stubs", stubs)):
+                rows.write.mode("overwrite").parquet(f"{out}/{name}/batch_id={batch_id}")
+        finally:
+            batch.unpersist()
     return write
 
 
+def stored_stubs(spark: SparkSession, out: str, before: int) -> DataFrame | None:
+    """Fingerprints with a stub from a batch before this one; None if no batch has written yet."""
+    try:
+        stubs = spark.read.option("basePath", f"{out}/stubs").parquet(f"{out}/stubs")
+    except AnalysisException:
+        return None
+    return stubs.where(F.col("batch_id") < before).select("fingerprint").distinct()
+
+
+def newest_rows(states: DataFrame, key: list[str]) -> DataFrame:
+    """Of the rows that an update stream has written batch by batch, the newest of each key."""
+    rows = [c for c in states.columns if c != "batch_id"]
+    return states.groupBy(*key).agg(F.max_by(F.struct(*rows), "batch_id").alias("_row")).select("_row.*")
+
+
 def change_log_sink(out: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch function that keeps a change log, one folder per batch, so that a
     batch run again replaces itself. store.apply_changes over the log gives the table."""
@@ -104,6 +126,8 @@ def with_config(read_bundles: Callable[[], DataFrame], bundle_id: str,
 PAGE_STATE = "page_id long, status string, neutralised long, n_updates long, since timestamp"
 KEPT_STATE = "status string, neutralised long, n_updates long, since_us long"
 KEEP_MS = 60_000
+# A page without a completion is forgotten a day after its newest event.
+IDLE_MS = 86_400_000
 
 
 def _page_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -115,6 +139,7 @@ def _page_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     status, hits, updates, since = state.get if state.exists else ("idle", 0, 0, 0)
     # A micro-batch is bounded by the source's limits per trigger; four small columns are held.
     events = pd.concat(batches, ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
+    newest = events["ts"].iloc[-1].value // 1_000_000
     loads = events.index[events["kind"] == "load"]
     if len(loads):
         events = events.loc[loads[-1]:]
@@ -122,17 +147,16 @@ def _page_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
     if status == "completed":
         events = events.iloc[:0]
     done = events["kind"].eq("complete").to_numpy()
-    ended = None
     if done.any():
-        ended = events["ts"].iloc[int(done.argmax())].value // 1_000_000
         events = events.iloc[: int(done.argmax())]
         status = "completed"
     counted = events[events["kind"].eq("update")]
     hits += int((counted["score"] >= NEUTRALISED_THRESHOLD).sum())
     updates += len(counted)
     state.update((status, hits, updates, int(since)))
-    if ended is not None:
-        state.setTimeoutTimestamp(max(ended + KEEP_MS, state.getCurrentWatermarkMs() + 1))
+    # Every call clears the time-out, so every call sets it anew.
+    keep = KEEP_MS if status == "completed" else IDLE_MS
+    state.setTimeoutTimestamp(max(newest + keep, state.getCurrentWatermarkMs() + 1))
     yield pd.DataFrame({
         "page_id": [key[0]], "status": [status], "neutralised": [hits], "n_updates": [updates],
         "since": [pd.Timestamp(since, unit="us") if since else None],
@@ -141,7 +165,8 @@ def _page_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState)
 
 def page_state_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Status of each page: a load starts it anew, updates count the chunks at or
-    above the threshold, completion ends it; the state is dropped a minute later in event time.
+    above the threshold, completion ends it. The state is dropped in event time: a minute after the newest event
+    of a completed page, a day after that of any other.
 
     Events: page_id, event_id, ts, kind (load, update, complete), score. One row
     comes out per page and micro-batch.

@@ -26,14 +26,18 @@ def claims(spark, text, **options):
 
 def test_claims(spark):
     text = "Short one. The moon landing was a hoax they say! According to nobody it happened? Plain words come and go here. It is real enough now. Yet another sentence is not here"
-    assert claims(spark, text) == ["The moon landing was a hoax they say", "According to nobody it happened", "It is real enough now"]
+    every = ["The moon landing was a hoax they say", "According to nobody it happened", "It is real enough now", "Yet another sentence is not here"]
+    assert claims(spark, text) == every and claims(spark, text, max_claims=3) == every[:3]
+    assert len(claims(spark, " ".join(f"Number {i} is a claim of its own." for i in range(12)))) == 12
     assert claims(spark, "Words without any pattern go here. And more of them follow there.") == [
         "Words without any pattern go here", "And more of them follow there"]
     assert claims(spark, "tiny") == [] and claims(spark, None) == []
-    # A claim of 500 characters or more is no claim, but may stand in when there is none.
+    # With a limit, a longer claim is no claim, but may stand in when there is none.
     long = "It is " + "x" * 600
-    assert claims(spark, long) == [long]
-    assert claims(spark, long + ". This is short but fine") == ["This is short but fine"]
+    two = docs(spark, long + ". This is short but fine", long)
+    assert claims(spark, long + ". This is short but fine") == [long, "This is short but fine"]
+    limited = {r.doc_id: r.claims for r in C.with_claims(two, max_chars=500).collect()}
+    assert limited == {0: ["This is short but fine"], 1: [long]}
 
 
 @pytest.mark.parametrize("ratings,want", [(["False"], 0.0), (["mostly TRUE", "false"], 0.4), (["what"], 0.5), ([], 0.5), (["Pants on fire"], 0.0)])
@@ -109,12 +113,12 @@ def test_golden_files(spark, tmp_path):
 # --- clickbait ----------------------------------------------------------------------
 
 @pytest.mark.parametrize("summary,title,n,want,rewritten", [
-    ("Try a breakfast", "The One Thing", 90, "[Try a breakfast] The One Thing", True),
-    ("", "Original Title", 90, "Original Title", False),
-    ("[[In brackets]]", "Title", 90, "[In brackets] Title", True),
-    ("Short tip", "A" * 120, 40, "[Short tip] " + "A" * 27 + "…", True),
-    ("S" * 95, "Title", 90, "[" + "S" * 95 + "] …", True),
-    ("Tip", "word " * 20, 20, "[Tip] word word wor…", True),
+    ("Bridge shut until May", "Drivers are furious", 90, "[Bridge shut until May] Drivers are furious", True),
+    ("", "Seven towns ranked", 90, "Seven towns ranked", False),
+    ("[[Rates up]]", "Banks react", 90, "[Rates up] Banks react", True),
+    ("Rain", "bc" * 50, 30, "[Rain] " + "bc" * 11 + "…", True),
+    ("Z" * 93, "Ends here", 90, "[" + "Z" * 93 + "] …", True),
+    ("Toll", "mile " * 20, 21, "[Toll] mile mile mil…", True),
 ])
 def test_format(spark, summary, title, n, want, rewritten):
     row = spark.range(1).select(B.format_unbait_title(F.lit(summary), F.lit(title), n).alias("s")).select("s.*").first()
@@ -129,7 +133,7 @@ def chunk(spark, *rows):
 
 
 def test_unravel_outcomes(spark):
-    goal = "<title>Try a healthy breakfast | Health Site</title><p>Nutritionists advise it. More."
+    goal = "<title>River path opens on Sunday | Town Paper</title><p>Walkers have waited for it. More."
     pages = spark.createDataFrame([
         (10, "https://ex.org/b", goal), (11, "https://ex.org/b#x", "<title>Later copy</title>"),
         (12, "https://ex.org/same", "<title>Bait</title><p>Tea. x"), (13, "https://ex.org/empty", "<p> "),
@@ -150,8 +154,8 @@ def test_unravel_outcomes(spark):
     got = {r.page_id: r for r in rows}
     assert {i: r.outcome for i, r in got.items()} == {
         0: "unbaited", 1: "no_page", 2: "no_link", 3: "no_summary", 4: "no_page", 6: "unbaited", 7: "no_summary"}
-    assert got[0].display_title == "[Try a healthy breakfast] Bait" and got[0].flags == ["viral_tease", "clickbait", "unbaited"]
-    assert got[0].explanation == "Unbaited: Try a healthy breakfast" and got[0].destination_url == "https://ex.org/b#top"
+    assert got[0].display_title == "[River path opens on Sunday] Bait" and got[0].flags == ["viral_tease", "clickbait", "unbaited"]
+    assert got[0].explanation == "Unbaited: River path opens on Sunday" and got[0].destination_url == "https://ex.org/b#top"
     assert got[2].explanation == "Clickbait detected; no link to unravel."
     assert got[6].original_title == "a long link text" and got[7].original_title == "first line"
 

@@ -5,9 +5,10 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import TABLES, normal
+from checks.queries import QUERIES
 
-ALL = queries()
-SQL = oracle_sql()
+ALL = {name: run for name, run in queries().items() if name in QUERIES}
+SQL = {name: sql for name, sql in oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
