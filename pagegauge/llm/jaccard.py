@@ -29,9 +29,9 @@ GROUP_SETS, GROUP_TOKENS = 64, 16_384
 OWN_GROUPS = 16
 #: A run of so many tokens is counted at once; tokens LOCAL times or more in a run are reported as frequent, and the
 #: FREQUENT most frequent ones come last in the order of tokens. Any order gives the same result; rare first is cheaper.
-RUN, LOCAL, FREQUENT = 4_000_000, 8, 1 << 17
+RUN, LOCAL, FREQUENT = 1_000_000, 8, 1 << 17
 #: Words a worker remembers before it starts anew; changes no result.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _known: dict[bytes, int] = {}
 
@@ -82,8 +82,8 @@ def frequent_tokens(docs: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.
             keep = many >= LOCAL
             return pa.RecordBatch.from_arrays([pa.array(own[keep].view(np.int64)), pa.array(many[keep].astype(np.int64))], names=["token", "n"])
 
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
+        for batch in slices(batches, text):
+            for x in batch.column(text).to_pylist():
                 held.append(shingles(x, n))
                 size += len(held[-1])
                 if size >= RUN:
