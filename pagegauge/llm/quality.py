@@ -21,7 +21,7 @@ from .toxicity import labelled_sample
 
 BUCKETS = 1 << 16
 #: Words a worker remembers before it starts anew; changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _RUNS = re.compile(r"(.)\1+")
 _SHAPE = {**{c: "a" for c in range(97, 123)}, **{c: "A" for c in range(65, 91)}, **{c: "0" for c in range(48, 58)}}
 _known: dict[str, tuple[int, int, int]] = {}
