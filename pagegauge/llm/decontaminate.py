@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, with_fields
+from .common import slices, small_batches, with_fields
 
 #: Words of a shared window (shorter items: the whole item), and words of a k-gram.
 SIZE, GRAM = 13, 5
@@ -143,6 +143,7 @@ def find_shared(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_
     executors with its fingerprints. A larger benchmark takes several blocks: each batch of documents is held against
     each of them, and hits are united per document, so results do not depend on the blocks.
     """
+    small_batches(docs.sparkSession)
     added = ("n_words", "n_hit", "items", "hits")
     kept = [c for c in docs.columns if c not in added]
     schema = with_fields(docs.select(*kept), "n_words long, n_hit long, items array<long>, hits array<struct<start:long,end:long>>")

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import saved, slices, small_batches
 from .components import connected
 from .decontaminate import grams
 
@@ -61,6 +61,15 @@ def wanted(n, percent: int):
     return np.minimum(least_overlap(n, percent), 1 + n // 20)
 
 
+def least_overlap_sql(n: str, percent: int) -> str:
+    return f"(({n} * {percent} + 99) div 100)"
+
+
+def wanted_sql(n: str, percent: int) -> Column:
+    """The same as `wanted`, over a column of positive sizes."""
+    return F.expr(f"least({least_overlap_sql(n, percent)}, 1 + {n} div 20)")
+
+
 def first_tokens(tokens: np.ndarray, percent: int, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The first tokens of a set in the common order: rare ones first, then by value."""
     n = len(tokens)
@@ -184,6 +193,7 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, text: str
     No link is lost: tokens are 64-bit hashes of shingles (equal hashes of different shingles, about one in 10^19 pairs,
     would count as shared), and every pair that could be linked is compared or already connected.
     """
+    small_batches(docs.sparkSession)
     frequent, counts = frequent_tokens(docs, text, n)
     sent = docs.sparkSession.sparkContext.broadcast((frequent, counts))
 
@@ -219,15 +229,11 @@ def similar(texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFram
     shared = postings.groupBy("token").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).where("lead <> other").drop("other")
     postings = saved(postings.join(shared, "token"), "postings")
 
-    @F.pandas_udf("long")
-    def needed(size):
-        return wanted(least_overlap(size, percent), percent)
-
     # A set with a link shares so many first tokens at least with some other set; its family is the lead that most of them have.
     by_lead = postings.groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
     active = by_lead.groupBy("rep").agg(
         F.max("n").alias("n"), F.sum("shared").alias("shared"), F.max(F.struct("shared", (-F.col("lead")).alias("lead"))).alias("best"))
-    active = saved(active.where(F.col("shared") >= needed("n")).select("rep", "n", (-F.col("best.lead")).alias("family")), "active")
+    active = saved(active.where(F.col("shared") >= wanted_sql(least_overlap_sql("n", percent), percent)).select("rep", "n", (-F.col("best.lead")).alias("family")), "active")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -264,11 +270,7 @@ def similar(texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFram
     pairs = pairs.groupBy(F.col("x.gid").alias("gid"), F.col("y.gid").alias("other")).agg(
         F.count(F.lit(1)).alias("shared"), F.min(F.least("x.low", "y.low")).alias("low"))
 
-    @F.pandas_udf("long")
-    def between(low):
-        return wanted(low, percent)
-
-    pairs = pairs.where(F.col("shared") >= between("low")).select("gid", "other")
+    pairs = pairs.where(F.col("shared") >= wanted_sql("low", percent)).select("gid", "other")
     mixed = about.where("first <> last").select("gid", F.lit(None).cast("string").alias("other"))
     pairs = saved(pairs.unionByName(mixed), "pairs")
     groups = saved(packed(full, members), "groups")

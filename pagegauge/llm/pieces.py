@@ -18,7 +18,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, with_fields
+from .common import slices, small_batches, with_fields
 
 SPACE = "▁"
 #: Entries a worker remembers of words and of pairs before it starts anew: bounds memory, changes no result.
@@ -136,6 +136,7 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
     empty table gives an empty one. Columns of `docs` named ids or decoded are replaced. The vocabulary is sent to
     the executors (its size is that of the model file), so the file is needed on the driver only. No shuffle.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model_path))
     sent_id = sent._jbroadcast.id()
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]

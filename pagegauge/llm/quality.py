@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices, with_fields
+from .common import saved, slices, small_batches, with_fields
 from .toxicity import labelled_sample
 
 BUCKETS = 1 << 16
@@ -134,6 +134,7 @@ def score_quality(docs: DataFrame, model: OrdinalModel, text: str = "text") -> D
     Null texts and texts without words have the signal 0, so the thresholds alone decide. Repeated rows give repeated
     results, empty tables empty ones; columns of the same names are replaced. No shuffle; only the weights are sent.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("expected_grade", "tails")]
     schema = with_fields(docs.select(*kept), "expected_grade double, tails array<double>")
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
