@@ -231,8 +231,8 @@ def page_metadata(spark, sf):
         F.array_join(F.transform("links", lambda x: x["url"]), "|").alias("links"))
 
 
-_HREFS = "list_slice(regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1), 1, 20)"
-_TEXTS = "list_slice(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), 1, 20)"
+_HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\">', 1)"
+_TEXTS = "regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1)"
 SQL["page_metadata"] = f"""SELECT page_id, {flat(TAGLESS.format(inner('title')))} AS title, {HOST} AS domain,
     {ARTICLE_TEXT} AS text, 0 AS n_images,
     array_to_string(list_transform({_TEXTS}, lambda x: substr({trim(TAGLESS.format('x'))}, 1, 100)), '|') AS link_texts,

@@ -250,9 +250,4 @@ FEEDBACK_ERRORS = {
 # --- chunk extraction ----------------------------------------------------------
 
 MIN_CHUNK_CHARS = 100
-MAX_CHUNKS_PER_PAGE = 50
-MAX_LINKS_PER_CHUNK = 10
-MAX_IMAGES_PER_CHUNK = 5
-MAX_LINKS_PER_PAGE = 20
-MAX_IMAGES_PER_PAGE = 10
 EXCERPT_CHARS = 4000

@@ -157,7 +157,7 @@ def dedup_chunks(chunks: DataFrame, scope: list[str], order: list[str]) -> DataF
     return first_by(keyed, [*scope, "_sig"], order).drop("_sig")
 
 
-def limit_per_page(chunks: DataFrame, page: list[str], order: list[str], n: int = V.MAX_CHUNKS_PER_PAGE,
+def limit_per_page(chunks: DataFrame, page: list[str], order: list[str], n: int,
                    min_text: int = 0) -> DataFrame:
     """First n chunks per page with at least min_text characters."""
     enough = chunks.where(T.longer_than(F.col("text"), min_text - 1)) if min_text else chunks

@@ -224,9 +224,8 @@ def dropped_of(e: str, unwanted: Test) -> str:
 
 
 def xpath(e: str) -> str:
-    """/html/body/div[2]: own tag and those of the ancestors, at most 64 steps;
-    the place is written only if it is not the first of its tag."""
+    """/html/body/div[2]: own tag and those of all ancestors; the place is written only if it is not the first of its tag."""
     def step(p: str) -> str:
         n = node(p)
         return f"concat({n}.tag, CASE WHEN {n}.nth > 1 THEN concat('[', {n}.nth, ']') ELSE '' END)"
-    return f"concat('/', array_join({transform_(f'reverse(slice({up(e)}, 1, 64))', step)}, '/'))"
+    return f"concat('/', array_join({transform_(f'reverse({up(e)})', step)}, '/'))"

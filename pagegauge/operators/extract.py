@@ -62,8 +62,8 @@ LIKELY_AD = D.some(HAS_AD_CLASS, HAS_AD_MARK, lambda e: D.exists_(_near_classes(
 
 
 def _nearest_ad(e: str) -> str:
-    """Position of the nearest element, at most 8 steps up, that looks like an advert."""
-    return D.first(f"slice({D.up(e)}, 1, 8)", lambda p: LIKELY_AD(D.node(p)))
+    """Position of the nearest element, itself or above, that looks like an advert."""
+    return D.first(D.up(e), lambda p: LIKELY_AD(D.node(p)))
 
 
 # --- pieces ---------------------------------------------------------------------
@@ -231,7 +231,12 @@ def _with_finished(df: DataFrame, name: str, include_ads: bool, max_chunks: int
 
 # --- chunk fields --------------------------------------------------------------------
 
-def _with_details(df: DataFrame, platforms: dict[str, Platform], with_html: bool) -> DataFrame:
+def _first_of(array: str, n: int | None) -> str:
+    return array if n is None else f"slice({array}, 1, {n})"
+
+
+def _with_details(df: DataFrame, platforms: dict[str, Platform], with_html: bool, max_links: int | None,
+                  max_images: int | None, link_chars: int | None) -> DataFrame:
     """Add `chunks`: all fields of the remaining candidates in `found`."""
     df = _with_sponsored(df, "found").drop(*MARK_COLUMNS)
     element = lambda c: D.node(f"{c}.pos")
@@ -246,13 +251,13 @@ def _with_details(df: DataFrame, platforms: dict[str, Platform], with_html: bool
     def links(b: str) -> str:
         def of(p: Piece) -> str:
             wanted = lambda a: f"{LINK(a)} AND ({b}.kind = 'element' OR {D.attr(a, 'href')} <> '')"
-            return D.transform_(f"slice({D.filter_(p.inner, wanted)}, 1, {V.MAX_LINKS_PER_CHUNK})", lambda a: D.struct(
-                url=D.attr(a, "href"), text=f"substring({p.text(a)}, 1, 100)"))
+            shown = lambda a: p.text(a) if link_chars is None else f"substring({p.text(a)}, 1, {link_chars})"
+            return D.transform_(_first_of(D.filter_(p.inner, wanted), max_links), lambda a: D.struct(
+                url=D.attr(a, "href"), text=shown(a)))
         return _use_piece(b, of)
 
     def images(b: str) -> str:
-        return _use_piece(b, lambda p: D.transform_(
-            f"slice({D.filter_(p.inner, PICTURE)}, 1, {V.MAX_IMAGES_PER_CHUNK})", _image))
+        return _use_piece(b, lambda p: D.transform_(_first_of(D.filter_(p.inner, PICTURE), max_images), _image))
 
     def heading(b: str) -> str:
         return _use_piece(b, lambda p: "coalesce(" + ", ".join(
@@ -316,13 +321,17 @@ def extract_chunks(
     platforms: dict[str, Platform] | None = None,
     with_html: bool = False,
     carry: list[str] | None = None,
+    max_links: int | None = None,
+    max_images: int | None = None,
+    link_chars: int | None = None,
 ) -> DataFrame:
     """Chunks of pages(page_id, url, html): one row per chunk, key (page_id, chunk_pos).
 
     strategy "auto" tries the page's platform first and the generic selectors if
     that yields nothing; "regex" uses the generic selectors only.  The chunk's
     markup is added with with_html=True; leave it out of tables that are shuffled.
-    Page columns named in `carry` are kept on the chunks.
+    Page columns named in `carry` are kept on the chunks.  Every link and image of a
+    chunk is kept, with whole link texts, unless the last three arguments say less.
     """
     carry = carry or []
     if strategy not in ("auto", "regex"):
@@ -355,7 +364,7 @@ def extract_chunks(
             "found": F.when(own, F.col("by_platform")).otherwise(F.col("found")),
             "platform": F.when(own, F.col("platform")),
         }).drop("by_platform")
-    built = _with_details(df, platforms, with_html)
+    built = _with_details(df, platforms, with_html, max_links, max_images, link_chars)
     # The outer form keeps Spark from evaluating all of the above again in a filter.
     rows = built.select("page_id", "url", *carry, "platform", F.posexplode_outer("chunks").alias("chunk_pos", "x")).where(
         "x is not null")
@@ -383,9 +392,10 @@ def detect_platform(pages: DataFrame, platforms: dict[str, Platform] | None = No
     return parsed.select("page_id", "url", found.alias("platform"))
 
 
-def extract_page_metadata(pages: DataFrame) -> DataFrame:
-    """Title, description, author, times, site name, domain, main text, first images
-    and first links of each page."""
+def extract_page_metadata(pages: DataFrame, max_links: int | None = None, max_images: int | None = None,
+                          link_chars: int | None = None) -> DataFrame:
+    """Title, description, author, times, site name, domain, main text, images and
+    links of each page: all of them, with whole link texts, unless told otherwise."""
     parsed = with_dom(pages.select("page_id", "url", "html"))
     url = F.col("url")
     origin = url_origin(url)
@@ -400,7 +410,7 @@ def extract_page_metadata(pages: DataFrame) -> DataFrame:
     read = parsed.select(
         "page_id", "url", "elements", "texts",
         F.expr(main).alias("_main"), F.expr(anchors).alias("_anchors"),
-        F.expr(D.transform_(f"slice({D.select(PICTURE)}, 1, {V.MAX_IMAGES_PER_PAGE})", _image)).alias("_images"),
+        F.expr(D.transform_(_first_of(D.select(PICTURE), max_images), _image)).alias("_images"),
         F.expr(D.let(D.first("elements", D.tag("title")), lambda t: D.collapse(D.text_of(t)))).alias("_title"),
         meta("description").alias("description"), meta("author").alias("author"),
         meta("article:published_time").alias("published_time"),
@@ -408,8 +418,10 @@ def extract_page_metadata(pages: DataFrame) -> DataFrame:
     )
     main_text = D.trim(D.let(D.dropped_of("_main", code), lambda gone: D.text_without("_main", gone)))
     absolute = F.transform("_anchors", lambda a: F.struct(
-        _absolute(a["href"], url).alias("url"), F.substring(a["text"], 1, 100).alias("text")))
-    web = F.slice(F.filter(absolute, lambda a: F.startswith(a["url"], F.lit("http"))), 1, V.MAX_LINKS_PER_PAGE)
+        _absolute(a["href"], url).alias("url"), (a["text"] if link_chars is None else F.substring(a["text"], 1, link_chars)).alias("text")))
+    web = F.filter(absolute, lambda a: F.startswith(a["url"], F.lit("http")))
+    if max_links is not None:
+        web = F.slice(web, 1, max_links)
     return read.select(
         "page_id", "url", F.coalesce("_title", F.lit("")).alias("title"), "description", "author",
         "published_time", "modified_time", "site_name", url_host(url).alias("domain"),

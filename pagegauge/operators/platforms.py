@@ -37,8 +37,6 @@ FACEBOOK_MESSAGE = D.some(
 BLUESKY_AUTHOR = D.some(
     D.attr_is("data-testid", "authorName"), D.cls("author-name"), D.attr_is("data-testid", "userName"))
 UNWANTED = D.tag("script", "style", "noscript", "iframe", "nav", "header", "footer")
-MAX_CONTAINERS = 100
-MAX_CARDS = 50
 
 NO_BOXES = "cast(array() as array<struct<pos:int,marker:int>>)"
 
@@ -99,9 +97,9 @@ def ranked(*tests: D.Test) -> str:
 def _google_containers() -> str:
     tab = D.let(D.first("elements", GOOGLE_TAB), D.text_of)
     results = D.filter_(
-        f"slice({D.select(D.some(D.cls('tF2Cxc'), D.cls('g')))}, 1, {MAX_CONTAINERS})",
+        D.select(D.some(D.cls("tF2Cxc"), D.cls("g"))),
         D.every(D.any_below(GOOGLE_TITLE), D.any_below(GOOGLE_LINK)))
-    cards = f"slice({D.select(D.some(D.cls('WlydOe'), D.cls('ddkIM', 'c30Ztd')))}, 1, {MAX_CARDS})"
+    cards = D.select(D.some(D.cls("WlydOe"), D.cls("ddkIM", "c30Ztd")))
     return D.let(tab, lambda t: _case(
         (f"{t} = 'News'", boxes(D.select(D.cls("WlydOe")))),
         (f"{t} = 'Videos'", boxes(D.select(D.cls("iUh30")))),

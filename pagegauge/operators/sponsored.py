@@ -86,19 +86,19 @@ SIDE_HEADING = D.every(
 
 
 def post_root(e: str) -> str:
-    """Position of the feed post around an element: a known post element; else, at
-    most 40 steps up, an advert shell or a direct child of the feed; else a pagelet."""
+    """Position of the feed post around an element: a known post element; else the
+    nearest advert shell or direct child of the feed above; else a pagelet."""
     known = [D.closest(e, test) for test in FEED_POSTS]
     def step(p: str) -> str:
         parent = D.node(f"get(reverse({D.node(p)}.path), 0)")
         return f"({_is_shell(D.node(p))} OR coalesce({FEED(parent)}, false))"
-    walked = D.first_lazy(f"slice({D.up(e)}, 1, 40)", step, lambda p: p, "int")
+    walked = D.first_lazy(D.up(e), step, lambda p: p, "int")
     return f"coalesce({', '.join(known)}, {walked}, {D.closest(e, D.has('data-pagelet'))})"
 
 
 def _panel_root(heading: str) -> str:
     """Side column, right rail, or the box with the advert links around a heading."""
-    numbered = D.indexed(f"slice(reverse({heading}.path), 1, 18)", lambda p, i: D.struct(p=p, i=i))
+    numbered = D.indexed(f"reverse({heading}.path)", lambda p, i: D.struct(p=p, i=i))
     def is_root(x: str) -> str:
         n = D.node(f"{x}.p")
         return f"({SIDE(n)} OR {D.ident('rightCol')(n)} OR {RAIL(n)} OR ({x}.i >= 2 AND {D.any_below(AD_LINK)(n)}))"

@@ -190,6 +190,20 @@ def test_nothing_is_cut_by_default(spark):
     assert len(cut(spark, "https://x.org", html)) == 60
 
 
+def test_links_images_and_paths_are_whole(spark):
+    links = "".join(f'<a href="/l{i}">{"word " * 30}{i}</a>' for i in range(30))
+    images = "".join(f'<img src="/i{i}.png">' for i in range(12))
+    row, = cut(spark, "https://x.org", f"<article>{LONG}{links}{images}</article>")
+    assert [l.text.split()[-1] for l in row.links] == [str(i) for i in range(30)] and len(row.images) == 12
+    row, = cut(spark, "https://x.org", f"<article>{LONG}{links}{images}</article>", max_links=3, max_images=2, link_chars=10)
+    assert [l.text for l in row.links] == ["word word "] * 3 and len(row.images) == 2
+    page = pages(spark, ("https://x.org", f"<main>{LONG}{links}{images}</main>"))
+    assert [len(x) for x in X.extract_page_metadata(page).select("links", "images").first()] == [30, 12]
+    deep = "<div>" * 80 + f"<article>{LONG}</article>" + "</div>" * 80
+    row, = cut(spark, "https://x.org", deep)
+    assert row.xpath == "/html/body" + "/div" * 80 + "/article"
+
+
 def test_own_platform_table(spark):
     from pagegauge.operators import dom as D
     from pagegauge.operators.platforms import PLATFORMS, Platform, boxes
