@@ -166,21 +166,48 @@ def opened(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("left", "right").mapInArrow(run, "a long, b long")
 
 
-def packed(full: DataFrame, members: DataFrame) -> DataFrame:
-    """gid, sets: the groups with their members' whole token sets. Groups are bounded by GROUP_SETS and GROUP_TOKENS (about)."""
-    return full.join(members.select("rep", "component", "gid"), "rep").groupBy("gid").agg(
-        F.collect_list(F.struct("rep", "component", "tokens")).alias("sets"))
+def whole(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """The rows of `wanted` (rep and any further columns) with name and tokens: the whole token sets of those documents.
+    Sets are made from the texts again, as these pack better than tokens do; of repeated rows a task passes on one."""
+    joined = texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
+    names = ["rep", *(c for c in wanted.columns if c != "rep")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in slices(batches, "text"):
+            kept, digests, sets = [], [], []
+            for i, (rep, x) in enumerate(zip(batch.column("rep").to_pylist(), batch.column("text").to_pylist())):
+                own = shingles(x, n).tobytes()
+                name = hashlib.blake2b(own, digest_size=16).digest()
+                if own and (rep, name) not in seen:
+                    seen.add((rep, name))
+                    kept.append(i)
+                    digests.append(name)
+                    sets.append(own)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.select(names).take(pa.array(kept, pa.int64())).columns, pa.array(digests, pa.binary()), pa.array(sets, pa.binary())],
+                names=[*names, "name", "tokens"])
+
+    fields = ", ".join(f"{c} {joined.schema[c].dataType.simpleString()}" for c in names)
+    return joined.select(*names, "text").mapInArrow(run, f"{fields}, name binary, tokens binary")
+
+
+def packed(texts: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """gid, parts, sets: the groups with their members' whole token sets. Groups are bounded by GROUP_SETS and GROUP_TOKENS
+    (about). All three steps share one shuffle by gid."""
+    rows = whole(texts, members.select("rep", "component", "gid", "parts"), n).repartition("gid").dropDuplicates(["gid", "rep", "name"])
+    return rows.groupBy("gid").agg(F.max("parts").alias("parts"), F.collect_list(F.struct("rep", "component", "tokens")).alias("sets"))
 
 
 def grouped(members: DataFrame, *family: str) -> DataFrame:
-    """Add gid: the members of a family dealt out to groups by hash, as many as the bounds ask for."""
+    """Add gid and parts: the members of a family dealt out to so many groups by hash as the bounds ask for."""
     crowd = members.groupBy(*family).agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("total"))
     same = [F.col(f"m.{c}").eqNullSafe(F.col(f"c.{c}")) for c in family]
     on = same[0] if len(same) == 1 else same[0] & same[1]
     parts = F.greatest(F.ceil(F.col("many") / GROUP_SETS), F.ceil(F.col("total") / GROUP_TOKENS))
     sub = F.pmod(F.xxhash64("rep"), parts)
     return members.alias("m").join(crowd.alias("c"), on).select(
-        "m.*", F.concat_ws("/", *(F.coalesce(F.col(f"m.{c}").cast("string"), F.lit("-")) for c in family), sub.cast("string")).alias("gid"))
+        "m.*", parts.cast("long").alias("parts"), F.concat_ws("/", *(F.coalesce(F.col(f"m.{c}").cast("string"), F.lit("-")) for c in family), sub.cast("string")).alias("gid"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -230,50 +257,60 @@ def similar(texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFram
     postings = saved(postings.join(shared, "token"), "postings")
 
     # A set with a link shares so many first tokens at least with some other set; its family is the lead that most of them have.
-    by_lead = postings.groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("shared"), F.max("n").alias("n"))
+    by_lead = postings.groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("least"), F.max("n").alias("n"))
     active = by_lead.groupBy("rep").agg(
-        F.max("n").alias("n"), F.sum("shared").alias("shared"), F.max(F.struct("shared", (-F.col("lead")).alias("lead"))).alias("best"))
-    active = saved(active.where(F.col("shared") >= wanted_sql(least_overlap_sql("n", percent), percent)).select("rep", "n", (-F.col("best.lead")).alias("family")), "active")
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            own = [shingles(x, n).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(own, pa.binary())], names=["rep", "tokens"])
-
-    full = texts.join(active.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    full = saved(full.mapInArrow(whole, "rep long, tokens binary").where("length(tokens) > 0").distinct(), "full")
+        F.max("n").alias("n"), F.min("least").alias("least"), F.sum("shared").alias("shared"),
+        F.max(F.struct("shared", (-F.col("lead")).alias("lead"))).alias("best"))
+    enough = wanted_sql(least_overlap_sql("least", percent), percent)
+    active = saved(active.where(F.col("shared") >= enough).select("rep", "n", "least", (-F.col("best.lead")).alias("family")), "active")
 
     # First each group by itself and against the hub group of its family: pairs grow with the sets.
     members = saved(grouped(active.withColumn("component", F.col("rep")), "family"), "members")
-    groups = saved(packed(full, members), "groups").withColumn("hub", F.concat(F.substring_index("gid", "/", 1), F.lit("/0")))
-    hubs = groups.select(F.col("gid").alias("hub"), F.col("sets").alias("right"))
-    own = groups.select(F.col("sets").alias("left"), F.lit(None).cast(hubs.schema["right"].dataType).alias("right"))
-    crossed = groups.where("gid <> hub").join(hubs, "hub").select(F.col("sets").alias("left"), "right")
+    groups = saved(packed(texts, members, n), "groups").withColumn("hub", F.concat(F.substring_index("gid", "/", 1), F.lit("/0")))
+    own = groups.select(F.col("sets").alias("left"), F.lit(None).cast(groups.schema["sets"].dataType).alias("right"))
+    several = groups.where("parts > 1")
+    hubs = several.where("gid = hub").select("hub", F.col("sets").alias("right"))
+    crossed = several.where("gid <> hub").join(hubs, "hub").select(F.col("sets").alias("left"), "right")
     links = saved(opened(own, percent).unionByName(opened(crossed, percent)), "hub_links")
 
     # Then the matrix: what is not connected yet, in groups of one component where it has many members in a family.
+    # The sets of a family that was one group (alone) have been compared already.
     found = connected(links)
-    now = active.join(found, F.col("rep") == F.col("node"), "left").select("rep", "n", "family", F.coalesce("component", "rep").alias("component"))
-    now = saved(now, "now")
+    alone = (F.col("parts") == 1).alias("alone")
+    now = members.select("rep", "n", "least", "family", alone).join(found, F.col("rep") == F.col("node"), "left")
+    now = saved(now.select("rep", "n", "least", "family", "alone", F.coalesce("component", "rep").alias("component")), "now")
     size = now.groupBy("family", "component").count()
     now = now.join(size, ["family", "component"]).withColumn("own", F.when(F.col("count") >= OWN_GROUPS, F.col("component")))
     members = saved(grouped(now, "family", "own"), "members")
     about = members.groupBy("gid").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("first"), F.max("component").alias("last"))
+        F.min("least").alias("low"), F.max("n").alias("high"), F.min("component").alias("first"), F.max("component").alias("last"),
+        F.min("family").alias("family"), F.min("alone").alias("alone"))
     about = saved(about, "about")
-    matrix = postings.select("token", "rep").join(members.select("rep", "gid"), "rep").select("token", "gid").distinct()
-    matrix = matrix.join(about, "gid")
+    cells = saved(postings.select("token", "rep").join(members.select("rep", "gid"), "rep").select("token", "rep", "gid"), "cells")
+    unions = cells.select("token", "gid").distinct()
+    matrix = unions.join(about, "gid")
     x, y = matrix.alias("x"), matrix.alias("y")
     differ = (F.col("x.first") != F.col("x.last")) | (F.col("y.first") != F.col("y.last")) | (F.col("x.first") != F.col("y.first"))
+    differ = differ & ((F.col("x.family") != F.col("y.family")) | ~F.col("x.alone"))
     fits = (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & differ & fits)
     pairs = pairs.groupBy(F.col("x.gid").alias("gid"), F.col("y.gid").alias("other")).agg(
         F.count(F.lit(1)).alias("shared"), F.min(F.least("x.low", "y.low")).alias("low"))
-
-    pairs = pairs.where(F.col("shared") >= wanted_sql("low", percent)).select("gid", "other")
-    mixed = about.where("first <> last").select("gid", F.lit(None).cast("string").alias("other"))
-    pairs = saved(pairs.unionByName(mixed), "pairs")
-    groups = saved(packed(full, members), "groups")
-    rows = pairs.join(groups.select("gid", F.col("sets").alias("left")), "gid").join(
-        groups.select(F.col("gid").alias("other"), F.col("sets").alias("right")), "other", "left")
+    pairs = saved(pairs.where(F.col("shared") >= wanted_sql("low", percent)).select("gid", "other"), "pairs")
+
+    # In a pair of groups only sets that share enough with the other group's union take part.
+    sides = pairs.select("gid", "other", F.lit(True).alias("is_left"), F.col("gid").alias("own"), F.col("other").alias("facing")).unionByName(
+        pairs.select("gid", "other", F.lit(False).alias("is_left"), F.col("other").alias("own"), F.col("gid").alias("facing")))
+    met = sides.join(cells.withColumnRenamed("gid", "own"), "own").join(unions.withColumnRenamed("gid", "facing"), ["token", "facing"], "left_semi")
+    met = met.groupBy("gid", "other", "is_left", "rep").agg(F.count(F.lit(1)).alias("shared"))
+    chosen = met.join(members.select("rep", "least", "component"), "rep").where(F.col("shared") >= enough)
+    mixed = about.where("first <> last and not alone").select("gid").join(members, "gid").select(
+        "gid", F.lit(None).cast("string").alias("other"), F.lit(True).alias("is_left"), "rep", "component")
+    chosen = saved(chosen.select("gid", "other", "is_left", "rep", "component").unionByName(mixed), "chosen")
+    held = whole(texts, chosen.select("rep").distinct(), n)
+    rows = chosen.join(held, "rep").repartition("gid", "other").dropDuplicates(["gid", "other", "is_left", "rep", "name"])
+    one = F.struct("rep", "component", "tokens")
+    rows = rows.groupBy("gid", "other").agg(
+        F.collect_list(F.when(F.col("is_left"), one)).alias("left"), F.collect_list(F.when(~F.col("is_left"), one)).alias("right"))
+    rows = rows.where("other is null or (size(left) > 0 and size(right) > 0)")
     return links.unionByName(saved(opened(rows, percent), "matrix_links"))
