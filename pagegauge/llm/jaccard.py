@@ -32,6 +32,8 @@ OWN_GROUPS = 16
 RUN, LOCAL, FREQUENT = 1_000_000, 8, 1 << 17
 #: Words a worker remembers before it starts anew; changes no result.
 REMEMBERED = 200_000
+#: Bits that tell which documents a set is wanted of (4 MB at most, however many they are); changes no result.
+MARKS = 1 << 25
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _known: dict[bytes, int] = {}
 
@@ -166,10 +168,20 @@ def opened(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.select("left", "right").mapInArrow(run, "a long, b long")
 
 
+def marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts without most of those whose document is not in `wanted` (rep). What is sent are MARKS bits, so its size is
+    bounded; where they are all set, every text remains."""
+    place = wanted.select(F.pmod(F.xxhash64("rep"), F.lit(MARKS)).alias("place"))
+    bits = place.groupBy(F.expr("place div 32768").alias("bucket")).agg(F.expr("bitmap_construct_agg(place % 32768)").alias("bits"))
+    own = texts.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(MARKS))).withColumn("bucket", F.expr("place div 32768"))
+    byte = "cast(conv(hex(substring(bits, int(place % 32768 div 8) + 1, 1)), 16, 10) as bigint)"
+    return own.join(F.broadcast(bits), "bucket").where(f"bit_get({byte}, int(place % 8)) = 1").select(*texts.columns)
+
+
 def whole(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """The rows of `wanted` (rep and any further columns) with name and tokens: the whole token sets of those documents.
     Sets are made from the texts again, as these pack better than tokens do; of repeated rows a task passes on one."""
-    joined = texts.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
+    joined = marked(texts, wanted).join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
     names = ["rep", *(c for c in wanted.columns if c != "rep")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,22 +299,22 @@ def similar(texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFram
         F.min("family").alias("family"), F.min("alone").alias("alone"))
     about = saved(about, "about")
     cells = saved(postings.select("token", "rep").join(members.select("rep", "gid"), "rep").select("token", "rep", "gid"), "cells")
-    unions = cells.select("token", "gid").distinct()
-    matrix = unions.join(about, "gid")
+    matrix = cells.select("token", "gid").distinct().join(about, "gid")
     x, y = matrix.alias("x"), matrix.alias("y")
     differ = (F.col("x.first") != F.col("x.last")) | (F.col("y.first") != F.col("y.last")) | (F.col("x.first") != F.col("y.first"))
     differ = differ & ((F.col("x.family") != F.col("y.family")) | ~F.col("x.alone"))
     fits = (F.col("x.high") * 100 >= F.col("y.low") * percent) & (F.col("y.high") * 100 >= F.col("x.low") * percent)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & differ & fits)
     pairs = pairs.groupBy(F.col("x.gid").alias("gid"), F.col("y.gid").alias("other")).agg(
-        F.count(F.lit(1)).alias("shared"), F.min(F.least("x.low", "y.low")).alias("low"))
-    pairs = saved(pairs.where(F.col("shared") >= wanted_sql("low", percent)).select("gid", "other"), "pairs")
+        F.collect_list("x.token").alias("tokens"), F.min(F.least("x.low", "y.low")).alias("low")).withColumn("shared", F.size("tokens"))
+    pairs = saved(pairs.where(F.col("shared") >= wanted_sql("low", percent)).select("gid", "other", "tokens"), "pairs")
 
     # In a pair of groups only sets that share enough with the other group's union take part.
-    sides = pairs.select("gid", "other", F.lit(True).alias("is_left"), F.col("gid").alias("own"), F.col("other").alias("facing")).unionByName(
-        pairs.select("gid", "other", F.lit(False).alias("is_left"), F.col("other").alias("own"), F.col("gid").alias("facing")))
-    met = sides.join(cells.withColumnRenamed("gid", "own"), "own").join(unions.withColumnRenamed("gid", "facing"), ["token", "facing"], "left_semi")
-    met = met.groupBy("gid", "other", "is_left", "rep").agg(F.count(F.lit(1)).alias("shared"))
+    hits = pairs.select("gid", "other", F.explode("tokens").alias("token"))
+    sides = hits.select("*", F.lit(True).alias("is_left"), F.col("gid").alias("own")).unionByName(
+        hits.select("*", F.lit(False).alias("is_left"), F.col("other").alias("own")))
+    met = sides.join(cells.withColumnRenamed("gid", "own"), ["token", "own"]).groupBy("gid", "other", "is_left", "rep").agg(
+        F.count(F.lit(1)).alias("shared"))
     chosen = met.join(members.select("rep", "least", "component"), "rep").where(F.col("shared") >= enough)
     mixed = about.where("first <> last and not alone").select("gid").join(members, "gid").select(
         "gid", F.lit(None).cast("string").alias("other"), F.lit(True).alias("is_left"), "rep", "component")
