@@ -207,8 +207,11 @@ def test_chains_are_best():
         assert top == pytest.approx(max(map(value, found), default=passages.SEED_SCORE))
 
 
-@pytest.mark.parametrize("n,percent", [(4, 85), (2, 60)])
-def test_jaccard(spark, n, percent):
+@pytest.mark.parametrize("n,percent,bound", [(4, 85, None), (2, 60, None), (3, 75, 2)])
+def test_jaccard(spark, monkeypatch, n, percent, bound):
+    if bound:  # many small groups, so that the matrix has to find links, and few marks
+        for name, value in (("GROUP_SETS", bound), ("OWN_GROUPS", bound), ("MARKS", 256)):
+            monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(8)
     base = [[rng.choice("abcdefghijklmnop") + rng.choice("xyz") for _ in range(60)] for _ in range(4)]
     texts = []
@@ -235,6 +238,15 @@ def test_jaccard(spark, n, percent):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(s), label[i]) for i, s in enumerate(sets)}
 
 
+def test_jaccard_two_texts(spark):
+    """A document in two rows links with what either of its texts links with, however much their sizes differ."""
+    long = [f"w{i}" for i in range(400)]
+    short = [f"s{i}" for i in range(30)]
+    rows = [(1, " ".join(long)), (1, " ".join(short)), (2, " ".join([*long[:399], "x"])), (3, " ".join([*short[:29], "y"])), (4, "z " * 40)]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85)
+    assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
