@@ -191,6 +191,34 @@ def test_passages(spark):
     assert passages.repeated_passages(empty(spark)).count() == 0
 
 
+def test_passages_held_twice(spark):
+    rng = random.Random(63)
+    fresh = lambda n: fresh_words(rng, n)
+    shared, line = fresh(60), fresh(12)
+    texts = [fresh(30) + line + fresh(40) + shared + line, fresh(10) + shared + fresh(80) + shared + fresh(7) + shared, line * 40, fresh(5) + line * 40 + fresh(9) + line * 6]
+    got = passages.repeated_passages(docs(spark, *[" ".join(t) for t in texts])).collect()
+    assert {(r.start, r.end, r.source_id, r.source_start) for r in got if r.doc_id == 1} == {(10, 70, 0, 82), (150, 210, 0, 82), (217, 277, 0, 82)}
+    places = {p for r in got if r.doc_id == 3 for p in range(r.start, r.end)}
+    assert places == {*range(5, 485), *range(494, 566)}
+
+
+def fresh_words(rng, n):
+    return [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+
+
+def test_passages_beside_documents_that_hold_parts(spark):
+    rng = random.Random(61)
+    fresh = lambda n: fresh_words(rng, n)
+    texts, wanted = [], set()
+    for n, parts in ((60, ((0, 40), (20, 60))), (90, ((0, 45), (45, 90))), (50, ((0, 25), (25, 50))), (70, ((0, 30), (20, 49), (40, 70)))) * 5:
+        shared = fresh(n)
+        between = [fresh(9) + shared[a:b] + fresh(9) for a, b in parts]
+        wanted.add((len(texts) + 2 * len(parts) + 1, len(texts) + len(parts)))
+        texts += [*between, fresh(20) + shared + fresh(5), *[fresh(7) + p for p in between], fresh(8) + shared + fresh(30)]
+    got = passages.repeated_passages(docs(spark, *[" ".join(t) for t in texts])).collect()
+    assert wanted <= {(r.doc_id, r.source_id) for r in got if r.similarity == 1}
+
+
 def test_chains_are_best():
     rng = random.Random(7)
     for _ in range(200):
