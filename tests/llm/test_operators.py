@@ -231,6 +231,20 @@ def test_passages_of_the_promised_similarity(spark):
     assert got <= wanted and len(wanted - got) <= 1
 
 
+def test_passages_held_twice(spark):
+    rng = random.Random(63)
+    fresh = lambda n: fresh_words(rng, n)
+    shared, line = fresh(60), fresh(12)
+    changed = [w if i % 9 else "x" for i, w in enumerate(shared)]
+    texts = [
+        fresh(30) + line + fresh(40) + shared + line, fresh(10) + shared + fresh(80) + changed + fresh(70) + shared + fresh(7),
+        line * 40, fresh(5) + line * 40 + fresh(90) + line * 6]
+    got = passages.repeated_passages(docs(spark, *[" ".join(t) for t in texts])).collect()
+    places = [{p for r in got if r.doc_id == doc for p in range(r.start, r.end)} for doc in range(4)]
+    assert places[1] == {*range(10, 70), *range(151, 210), *range(280, 340)}
+    assert places[3] == {*range(5, 485), *range(575, 647)}
+
+
 def test_chains_are_best():
     rng = random.Random(7)
     for _ in range(200):
