@@ -245,6 +245,14 @@ def test_passages_held_twice(spark):
     assert places[3] == {*range(5, 485), *range(575, 647)}
 
 
+def test_passages_on_both_sides_of_an_insertion(spark):
+    rng = random.Random(64)
+    fresh = lambda n: fresh_words(rng, n)
+    shared = fresh(126)
+    got = passages.repeated_passages(docs(spark, " ".join(shared), " ".join(fresh(4) + shared[:40] + fresh(50) + shared[40:] + fresh(9)))).collect()
+    assert [(r.start, r.end, r.source_start, r.n_same) for r in got] == [(94, 180, 40, 86)]
+
+
 def test_chains_are_best():
     rng = random.Random(7)
     for _ in range(200):
