@@ -73,7 +73,7 @@ def text_functions(spark, sf):
     text = F.col("text")
     return I.documents(spark, sf).select(
         "doc_id", T.utf16_length(text).alias("units"), T.longer_than(text, 500).alias("long"),
-        T.truncate(text, 100, "...").alias("cut"), T.first_line(text).alias("line"),
+        T.truncate(text, 100, "...").alias("cut"), T.first_line(text, 200).alias("line"),
         T.first_sentence(text).alias("sentence"), T.format_count(F.col("n_chars")).alias("badge"),
         F.md5(T.collapse_space(text)).alias("flat_md5"))
 

@@ -277,7 +277,7 @@ SQL["merge_props"] = """SELECT user_id AS id, event_type AS field, arg_max(props
 @query
 def lookup_fingerprint(spark, sf):
     """Documents by the fingerprint of their first line, the first of each."""
-    docs = I.documents(spark, sf).select(F.col("doc_id").alias("id"), T.first_line(F.col("text")).alias("url"), F.lit("").alias("title"))
+    docs = I.documents(spark, sf).select(F.col("doc_id").alias("id"), T.first_line(F.col("text"), 200).alias("url"), F.lit("").alias("title"))
     marked = D.with_fingerprint(docs)
     return D.lookup_fingerprint(marked, marked).select("id")
 
@@ -388,8 +388,8 @@ def _replies(spark, sf):
 def model_replies(spark, sf):
     """Replies read for two modules that differ in defaults and flags."""
     replies = _replies(spark, sf).where("reply is not null")
-    both = M.parse_model_replies(replies, "biasDetector", ["doc_id"]).unionByName(
-        M.parse_model_replies(replies, "clickUnbait", ["doc_id"]))
+    both = M.parse_model_replies(replies, "biasDetector", ["doc_id"], max_explanation=200).unionByName(
+        M.parse_model_replies(replies, "clickUnbait", ["doc_id"], max_explanation=200))
     return both.select(
         "doc_id", "module", F.round("problem_score", 6).alias("problem_score"), F.round("confidence", 6).alias("confidence"),
         joined("flags").alias("flags"), "explanation", F.col("metadata")["biasDirection"].alias("direction"))
@@ -493,7 +493,7 @@ SQL["model_scorer"] = f"""SELECT doc_id, CASE WHEN length({_PROMPT}) > 2000 THEN
 
 @query
 def model_text(spark, sf):
-    return I.documents(spark, sf).select("doc_id", F.md5(M.model_text(F.col("text"))).alias("text_md5"))
+    return I.documents(spark, sf).select("doc_id", F.md5(M.model_text(F.col("text"), V.MODEL_TEXT_CHARS)).alias("text_md5"))
 
 
 SQL["model_text"] = """SELECT doc_id, md5(concat(substr(text, 1, 1200), CASE WHEN length(text) > 1200 THEN '…' ELSE '' END)) AS text_md5

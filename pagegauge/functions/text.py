@@ -91,8 +91,10 @@ def first_sentence(col: Column) -> Column:
     return F.coalesce(nullif_blank(js_trim(sentence)), nullif_blank(flat))
 
 
-def first_line(col: Column, n: int = 200) -> Column:
-    return F.substring(collapse_space(F.substring_index(col, "\n", 1)), 1, n)
+def first_line(col: Column, n: int | None = None) -> Column:
+    """The first line, spaces collapsed: n characters of it (None: all)."""
+    line = collapse_space(F.substring_index(col, "\n", 1))
+    return line if n is None else F.substring(line, 1, n)
 
 
 def first_json_object(col: Column) -> Column:

@@ -30,10 +30,11 @@ def _known(df: DataFrame, name: str) -> Column:
 
 
 def build_prompts(
-    chunks: DataFrame, module: str, key: list[str], system_prompt: str | None = None, style: str = "server"
+    chunks: DataFrame, module: str, key: list[str], system_prompt: str | None = None, style: str = "server",
+    max_links: int | None = None,
 ) -> DataFrame:
     """key, system, prompt. Style "server" names every field and writes N/A for a
-    missing one; style "local" leaves missing fields out."""
+    missing one; style "local" leaves missing fields out, and lists max_links links (None: all)."""
     system = system_prompt or f"{SYSTEM_PROMPTS[module]} {REPLY_FORMAT}"
     fields = {"URL": "url", "Domain": "domain", "Title": "title"}
     if module == "biasDetector":
@@ -48,7 +49,8 @@ def build_prompts(
             value = F.coalesce(value, F.lit("N/A"))
         lines.append(F.concat(F.lit(f"{label}: "), value))
     if style == "local" and module == "antiManipulation" and has_links:
-        lines.append(F.when(F.size(urls) > 0, F.concat(F.lit("Links: "), F.array_join(F.slice(urls, 1, 5), ", "))))
+        listed = urls if max_links is None else F.slice(urls, 1, max_links)
+        lines.append(F.when(F.size(urls) > 0, F.concat(F.lit("Links: "), F.array_join(listed, ", "))))
     body = F.concat_ws("\n", *lines, F.lit(""), F.lit("Content:"), text)
     if style == "server" and module == "antiManipulation":
         listed = T.nullif_blank(F.array_join(urls, "\n")) if has_links else F.lit(None).cast("string")
@@ -56,9 +58,10 @@ def build_prompts(
     return chunks.select(*key, F.lit(system).alias("system"), body.alias("prompt"))
 
 
-def model_text(text: Column) -> Column:
-    """Text as handed to a zero-shot model."""
-    return T.truncate(F.coalesce(text, F.lit("")), V.MODEL_TEXT_CHARS)
+def model_text(text: Column, max_chars: int | None = None) -> Column:
+    """Text as handed to a zero-shot model: max_chars characters of it (None: all)."""
+    whole = F.coalesce(text, F.lit(""))
+    return whole if max_chars is None else T.truncate(whole, max_chars)
 
 
 def model_replies(prompts: DataFrame, load: Callable[[], Callable[[list[str]], list[str]]], key: list[str]) -> DataFrame:
@@ -128,9 +131,10 @@ def _zero_shot_flags(module: str, score: Column) -> tuple[Column, Column]:
 
 # --- replies --------------------------------------------------------------------
 
-def parse_model_replies(replies: DataFrame, module: str, key: list[str], reply: str = "reply") -> DataFrame:
+def parse_model_replies(replies: DataFrame, module: str, key: list[str], reply: str = "reply", max_explanation: int | None = None) -> DataFrame:
     """Scores from reply texts: the JSON object in the reply, zero-shot or not; else
-    a "score: x" figure; else the module's default."""
+    a "score: x" figure; else the module's default. A plain reply is its own explanation,
+    max_explanation characters of it (None: all)."""
     parsed = replies.withColumn("_json", F.try_parse_json(T.first_json_object(F.col(reply))))
     get = lambda name, kind: F.try_variant_get("_json", f"$.{name}", kind)
     fields = parsed.select(
@@ -169,6 +173,7 @@ def parse_model_replies(replies: DataFrame, module: str, key: list[str], reply:
     if module == "clickUnbait":
         own = F.when(F.col("problem_score") >= V.CLICKBAIT_THRESHOLD, F.array_union(own, F.array(F.lit("clickbait")))).otherwise(own)
         text_flags = T.present([(F.col("_raw") >= V.CLICKBAIT_THRESHOLD, "clickbait")])
+    plain = F.col("_reply") if max_explanation is None else F.substring("_reply", 1, max_explanation)
     said = F.coalesce(T.nullif_blank(F.col("_explanation")), F.lit("Analysis completed"))
     metadata = F.lit(None).cast("map<string,string>")
     if module == "biasDetector":
@@ -178,7 +183,7 @@ def parse_model_replies(replies: DataFrame, module: str, key: list[str], reply:
         *key, F.lit(module).alias("module"), F.lit(V.MODULE_ASPECT[module]).alias("aspect"),
         "problem_score", "confidence",
         F.when(kind == "zero", zero_flags).when(kind == "json", own).otherwise(text_flags).alias("flags"),
-        F.when(kind == "zero", zero_text).when(kind == "json", said).otherwise(F.substring("_reply", 1, 200)).alias("explanation"),
+        F.when(kind == "zero", zero_text).when(kind == "json", said).otherwise(plain).alias("explanation"),
         metadata.alias("metadata"),
     )
 

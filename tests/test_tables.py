@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagegauge.operators import feedback as B, models as M, rollup as R, search as Q, settings as G, store as D
+from pagegauge.functions import text as T
 from pagegauge.functions.joins import salted_join
 
 # --- search -----------------------------------------------------------------------
@@ -247,3 +248,14 @@ def test_failing_model_falls_back(spark):
     row = M.score_with_fallback(docs, replies, "defuseRagebait", ["doc_id"]).first()
     assert row.model == "heuristic" and row.problem_score == 0.15 and row.metadata["localModelError"] == "out of memory"
     assert row.metadata["profanity"] == "1"
+
+
+def test_models_get_and_give_whole_texts(spark):
+    long, urls = "word " * 1000 + "end", [f"https://a{i}.example.org/" for i in range(9)]
+    docs = spark.createDataFrame([(1, long, [(u, "") for u in urls])], "doc_id int, text string, links array<struct<url:string,text:string>>")
+    assert docs.select(M.model_text(docs.text)).first()[0] == long and len(docs.select(M.model_text(docs.text, 9)).first()[0]) == 10
+    prompt = M.build_prompts(docs, "antiManipulation", ["doc_id"], style="local").first().prompt
+    assert all(u in prompt for u in urls)
+    said = lambda **cut: M.parse_model_replies(docs.select("doc_id", docs.text.alias("reply")), "biasDetector", ["doc_id"], **cut).first().explanation
+    assert said() == long and said(max_explanation=200) == long[:200]
+    assert docs.select(T.first_line(docs.text)).first()[0] == long
