@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,12 +27,27 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage, and survives lost executors."""
+def saved(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write a table to the shared folder (in folders by the values of `by`) and read it back: cuts the lineage, and survives
+    lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*by).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete saved tables that nothing reads any more, and let Spark free the shuffle files of finished steps. Plans that
+    still read such a table would fail, so what is returned to a caller must not."""
+    for t in tables:
+        jvm = t.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    for t in tables[:1]:
+        t.sparkSession._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -40,6 +57,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
+def bit_table(cells: DataFrame, size: int) -> np.ndarray:
+    """Packed bits, those of `cells` (a column of that name, below size) set: size / 8 bytes, however many cells there are."""
+    blocks = cells.groupBy(F.expr("cell div 32768").alias("bucket")).agg(F.expr("bitmap_construct_agg(cell % 32768)").alias("bits")).toArrow()
+    out = np.zeros(max(1, size >> 15) * 4096, np.uint8)
+    for bucket, bits in zip(blocks.column("bucket").to_pylist(), blocks.column("bits").to_pylist()):
+        out[bucket * 4096:(bucket + 1) * 4096] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def bits_set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    return ((bits[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, passages, personal, pieces, quality, secrets, topk, toxicity
+from . import chat, decontaminate, exact, jaccard, passages, personal, phrases, pieces, quality, secrets, topk, toxicity, variants
 from .common import of_kind, span_text, table
 
 HELD_OUT = "coalesce(crc32(cast(doc_id as string)) % 5 = 0, true)"
@@ -78,10 +78,22 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_copies(table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(variants.count_words(table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity, op2_top_k, op3_secrets, op4_decontaminate, op5_passages, op6_personal, op7_pieces, op8_jaccard,
-        op9_quality, op10_chat)
+        op9_quality, op10_chat, op11_exact, op12_variants, op13_collocations)
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -142,4 +154,82 @@ reached AS (
   SELECT r.doc_id, l.y FROM reached r JOIN links l ON l.x = r.other)
 SELECT r.doc_id, coalesce(max(s.n), 0) AS n_shingles, min(r.other) AS component_id
 FROM reached r LEFT JOIN sizes s ON s.doc_id = r.doc_id GROUP BY r.doc_id""",
+    "op11_exact": f"""
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+  row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
+FROM d WINDOW w AS (PARTITION BY text_sha256)""",
+    "op12_variants": f"""
+WITH RECURSIVE steps AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents),
+lower_runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(run, '{_UPPER}', '{_LOWER}') AS run, count(*) AS n
+  FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, strlen(id) + strlen(run) + 2),
+      lambda i: CAST('0x' || substr(hex(encode(id || ':' || run)), 2 * i - 1, 2) AS BIGINT))),
+    lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1])), 4294967295) AS h
+  FROM lower_runs, steps),
+made AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+cut AS (
+  SELECT word, n, p, word[1:p - 1] || word[p + 1:] AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM words)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n
+  FROM cut a JOIN cut b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION
+  SELECT a.word, a.n, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION
+  SELECT b.word, b.n, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top_n,
+    arg_min(other, [-other_n, row]) AS top
+  FROM (SELECT *, row_number() OVER (ORDER BY encode(other)) AS row FROM near) GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 2 * n THEN top END AS form,
+    CASE WHEN top_n >= 2 * n THEN top_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS here FROM forms
+  UNION ALL
+  SELECT w.word, f.form FROM walk w JOIN forms f ON f.word = w.here WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.here AS root, f.n, f.n_near, f.form_n
+FROM forms f JOIN walk w ON w.word = f.word JOIN forms e ON e.word = w.here AND e.form IS NULL""",
+    "op13_collocations": f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+counts AS (
+  SELECT lang, m, phrase, count(*) AS n
+  FROM (
+    SELECT lang, m, array_to_string(w[p:p + m - 1], ' ') AS phrase
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM split, unnest(range(1, 5)) AS t(m) WHERE len(w) >= m))
+  GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY lang),
+found AS (SELECT lang, m, phrase, n AS a, string_split(phrase, ' ') AS w FROM counts WHERE m > 1 AND n >= 30),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS front, array_to_string(w[k + 1:], ' ') AS back
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM found)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.n AS l, y.n AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.n + y.n) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.front JOIN counts y ON y.lang = c.lang AND y.phrase = c.back),
+lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (
+  SELECT lang, array_to_string(w[q:q + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM (
+    SELECT lang, a, w, size, unnest(range(1, CAST(m - size + 2 AS BIGINT))) AS q
+    FROM (SELECT lang, a, w, m, unnest(range(2, m)) AS size FROM found))
+  GROUP BY ALL),
+ranked AS (
+  SELECT s.lang, s.phrase, s.a, s.l, s.r, t.n, s.score,
+    row_number() OVER (PARTITION BY s.lang ORDER BY s.score DESC, s.a DESC, encode(s.phrase)) AS rank
+  FROM lowest s JOIN totals t ON t.lang = s.lang LEFT JOIN inner_phrases i ON i.lang = s.lang AND i.phrase = s.phrase
+  WHERE i.longer IS NULL OR CAST(100 AS HUGEINT) * i.longer < CAST(80 AS HUGEINT) * s.a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
 }
