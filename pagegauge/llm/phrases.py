@@ -48,9 +48,8 @@ def word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang))
 
 
-def phrase_filter(phrases: DataFrame) -> tuple[int, np.ndarray]:
-    """A filter of phrases (lang, phrase): its size in bits and the bits."""
-    most = phrases.count()
+def phrase_filter(phrases: DataFrame, most: int) -> tuple[int, np.ndarray]:
+    """A filter of `most` phrases (lang, phrase, lately): its size in bits, and the bits of all followed by those of the late ones."""
     size = min(MOST, max(FEWEST, 1 << (most * BITS_A_PHRASE).bit_length()))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,23 +61,27 @@ def phrase_filter(phrases: DataFrame) -> tuple[int, np.ndarray]:
                 for i in range(1, len(words)):
                     h = joined(h, words[i:i + 1])
                 out.append(h)
-            a, b = filter_cells(np.concatenate(out) if out else np.empty(0, np.uint64), size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b]))], names=["cell"])
+            if out:
+                a, b = filter_cells(np.concatenate(out), size)
+                late = batch.column("lately").to_numpy(zero_copy_only=False).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b, size + a[late], size + b[late]]))], names=["cell"])
 
-    return size, bit_table(phrases.select("lang", "phrase").mapInArrow(cells, "cell long"), size)
+    return size, bit_table(phrases.select("lang", "phrase", "lately").mapInArrow(cells, "cell long"), 2 * size)
 
 
-def in_filter(filter_: tuple[int, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+def in_filter(filter_: tuple[int, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each phrase: is it in the filter, and as a late one?"""
     size, bits = filter_
     a, b = filter_cells(hashes, size)
-    return bits_set(bits, a) & bits_set(bits, b)
+    known = bits_set(bits, a) & bits_set(bits, b)
+    return known, known & bits_set(bits, size + a) & bits_set(bits, size + b)
 
 
 class Counts:
     """A task's counts of open words and phrases of one language."""
 
-    def __init__(self, lang: str, words_open: bool, reached, fresh) -> None:
-        self.lang, self.words_open, self.reached, self.fresh = lang, words_open, reached, fresh
+    def __init__(self, lang: str, words_open: bool, reached) -> None:
+        self.lang, self.words_open, self.reached = lang, words_open, reached
         self.held: dict[bytes, int] = defaultdict(int)
         self.begin()
 
@@ -87,7 +90,7 @@ class Counts:
         self.ids.default_factory = self.ids.__len__
         self.ids[EDGE]
         self.names: list[bytes] = [EDGE]
-        self.hashes, self.is_reached, self.is_fresh = np.zeros(1, np.uint64), np.zeros(1, bool), np.zeros(1, bool)
+        self.hashes, self.known, self.lately = np.zeros(1, np.uint64), np.zeros(1, bool), np.zeros(1, bool)
 
     def add(self, texts: list[bytes]) -> None:
         tokens = EDGE.join(texts).replace(EDGE, b" \xff ").split()
@@ -100,8 +103,8 @@ class Counts:
             h = np.fromiter((word_hash(self.lang, w) for w in new), np.uint64, len(new))
             self.hashes = np.concatenate([self.hashes, h])
             if self.reached:
-                self.is_reached = np.concatenate([self.is_reached, in_filter(self.reached, h)])
-                self.is_fresh = np.concatenate([self.is_fresh, in_filter(self.fresh, h)])
+                known, lately = in_filter(self.reached, h)
+                self.known, self.lately = np.concatenate([self.known, known]), np.concatenate([self.lately, lately])
         if self.words_open:
             for i, n in enumerate(np.bincount(at, minlength=1).tolist()):
                 if n and i:
@@ -109,7 +112,7 @@ class Counts:
         if not self.reached:
             return
         # For every place: is the phrase of m words from here on one that has reached the threshold, and lately so?
-        h, known, lately = self.hashes[at], self.is_reached[at], self.is_fresh[at]
+        h, known, lately = self.hashes[at], self.known[at], self.lately[at]
         code = at
         for m in range(2, LONGEST + 1):
             n = len(tokens) - m + 1
@@ -131,10 +134,8 @@ class Counts:
             if m < LONGEST:
                 # Phrases whose halves are not known cannot be known either: only these are looked up.
                 h = joined(h[:n], self.hashes[at[m - 1:m - 1 + n]])
-                known_, lately_ = np.zeros(n, bool), np.zeros(n, bool)
-                known_[inside] = in_filter(self.reached, h[inside])
-                lately_[inside] = in_filter(self.fresh, h[inside])
-                known, lately, code = known_, lately_, numbers
+                known, lately, code = np.zeros(n, bool), np.zeros(n, bool), numbers
+                known[inside], lately[inside] = in_filter(self.reached, h[inside])
 
     def report(self) -> pa.RecordBatch:
         phrases = list(self.held)
@@ -145,9 +146,9 @@ class Counts:
         return batch
 
 
-def scan(shard: DataFrame, words_open: bool, reached, fresh) -> DataFrame:
+def scan(shard: DataFrame, words_open: bool, reached: tuple[int, np.ndarray] | None) -> DataFrame:
     """lang, m, phrase, n: what a scan of a shard (lang, text) counts, added up within each task as far as it holds."""
-    sent = shard.sparkSession.sparkContext.broadcast((reached, fresh))
+    sent = shard.sparkSession.sparkContext.broadcast(reached)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, Counts] = {}
@@ -157,7 +158,7 @@ def scan(shard: DataFrame, words_open: bool, reached, fresh) -> DataFrame:
                 by_lang[lang].append(text)
             for lang, texts in by_lang.items():
                 if lang not in counts:
-                    counts[lang] = Counts(lang, words_open, *sent.value)
+                    counts[lang] = Counts(lang, words_open, sent.value)
                 counts[lang].add(texts)
             if sum(len(c.held) for c in counts.values()) > HELD:
                 for c in counts.values():
@@ -193,10 +194,10 @@ def frequent_phrases(docs: DataFrame, least: int = 30, text: str = "text", lang:
     shards = saved(clean_shards(docs, text, lang), "shards", "shard")
     deltas: list[DataFrame] = []
     reached = spark.createDataFrame([], "lang string, m int, phrase binary, at int")
-    tables, finished, totals, filters = [], [], None, (None, None)
+    tables, finished, totals, filter_ = [], [], None, None
     step = 0
     while True:
-        delta = saved(scan(shards.where(F.col("shard") == step % SHARDS), step < SHARDS, *filters), "counts")
+        delta = saved(scan(shards.where(F.col("shard") == step % SHARDS), step < SHARDS, filter_), "counts")
         deltas = [*deltas, delta]
         if len(deltas) > SHARDS:
             discard(deltas.pop(0))
@@ -228,11 +229,11 @@ def frequent_phrases(docs: DataFrame, least: int = 30, text: str = "text", lang:
         if step:
             discard(before)
         step += 1
-        parts = reached.where(f"m < {LONGEST}")
-        lately = parts.where(F.col("at") >= step - SHARDS)
-        if step >= SHARDS and lately.isEmpty():
+        parts = reached.where(f"m < {LONGEST}").withColumn("lately", F.col("at") >= step - SHARDS)
+        many, late = parts.agg(F.count(F.lit(1)), F.count_if("lately")).first()
+        if step >= SHARDS and not late:
             break
-        filters = (phrase_filter(parts), phrase_filter(lately))
+        filter_ = phrase_filter(parts, many)
     found = finished[0]
     for one in finished[1:]:
         found = found.unionByName(one)
