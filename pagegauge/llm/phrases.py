@@ -3,13 +3,15 @@
 Texts lie in shards, which are scanned in turn, over and over. Words are counted from the first scan on. As soon as both
 subphrases of a longer phrase (all but its last and all but its first word) have reached the threshold, the phrase is counted
 from the next scan on, beside whatever other lengths are open, until it has met every shard once. The scans end when nothing
-is open any more. Scores come from the finished counts.
+is open any more. They count 64-bit numbers of phrases, which keeps what is shuffled small; as two phrases may have one
+number, a last scan counts what was found by its words. Scores come from these counts.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,70 +21,53 @@ from pyspark.sql import functions as F
 
 from .common import bit_table, bits_set, discard, saved, slices, small_batches
 
-#: Shards of a cycle, and words of a phrase at most.
-SHARDS, LONGEST = 3, 4
+#: Shards of a cycle, and words of a phrase at most (its length less one is in the last two bits of its number).
+SHARDS, LONGEST = 2, 4
 #: Bits of a filter of phrases for each phrase, at least and at most (2^27 bits are 16 MB to send): a filter that is too small
 #: lets phrases be counted that are not open yet, which the exact windows leave out again.
 BITS_A_PHRASE, FEWEST, MOST = 32, 1 << 16, 1 << 27
-#: Bytes of text that a task counts at once, and different words or phrases that it holds.
-RUN, HELD = 8 << 20, 1_000_000
+#: Bytes of text that a task counts at once, and different words that it remembers.
+RUN, REMEMBERED = 4 << 20, 500_000
 #: The byte between pieces; no UTF-8 text holds it.
 EDGE = b"\xff"
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else 0xFF if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def joined(h: np.ndarray, nxt: np.ndarray) -> np.ndarray:
-    """The hash of a phrase from that of its front and that of its last word."""
-    h = (h ^ (h >> np.uint64(31))) * _PRIME + nxt
-    return h ^ (h >> np.uint64(29))
+def joined(front: np.ndarray, last: np.ndarray, m: int) -> np.ndarray:
+    """The numbers of phrases of m words from those of their fronts and of their last words."""
+    h = (front ^ (front >> np.uint64(31))) * _PRIME + last
+    return (h ^ (h >> np.uint64(29))) & ~np.uint64(3) | np.uint64(m - 1)
 
 
-def filter_cells(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two cells of each hash; size is a power of two."""
-    last = np.uint64(size - 1)
-    return (hashes & last).astype(np.int64), (hashes >> np.uint64(32) & last).astype(np.int64)
+def word_number(lang: str, word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang)) & ~3
 
 
-def word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang))
+Filter = tuple[int, np.ndarray]
 
 
-def phrase_filter(phrases: DataFrame, most: int) -> tuple[int, np.ndarray]:
-    """A filter of `most` phrases (lang, phrase, lately): its size in bits, and the bits of all followed by those of the late ones."""
-    size = min(MOST, max(FEWEST, 1 << (most * BITS_A_PHRASE).bit_length()))
+def number_filter(numbers: DataFrame, many: int) -> Filter:
+    """A filter of `many` phrases (h, lately): its size in bits, and the bits of all followed by those of the late ones."""
+    size = min(MOST, max(FEWEST, 1 << (many * BITS_A_PHRASE).bit_length()))
+    own = [f"shiftrightunsigned(h, {shift}) & {size - 1}L" for shift in (2, 34)]
+    cells = numbers.select(F.explode(F.filter(F.array(*map(F.expr, [*own, *(f"if(lately, {size}L + ({c}), null)" for c in own)])), lambda c: c.isNotNull())).alias("cell"))
+    return size, bit_table(cells, 2 * size)
 
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
-                words = np.array([word_hash(lang, w) for w in phrase.split(b" ")], np.uint64)
-                h = words[:1]
-                for i in range(1, len(words)):
-                    h = joined(h, words[i:i + 1])
-                out.append(h)
-            if out:
-                a, b = filter_cells(np.concatenate(out), size)
-                late = batch.column("lately").to_numpy(zero_copy_only=False).astype(bool)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b, size + a[late], size + b[late]]))], names=["cell"])
 
-    return size, bit_table(phrases.select("lang", "phrase", "lately").mapInArrow(cells, "cell long"), 2 * size)
-
-
-def in_filter(filter_: tuple[int, np.ndarray], hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def in_filter(filter_: Filter, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each phrase: is it in the filter, and as a late one?"""
     size, bits = filter_
-    a, b = filter_cells(hashes, size)
+    a, b = ((h >> np.uint64(shift) & np.uint64(size - 1)).astype(np.int64) for shift in (2, 34))
     known = bits_set(bits, a) & bits_set(bits, b)
     return known, known & bits_set(bits, size + a) & bits_set(bits, size + b)
 
 
-class Counts:
-    """A task's counts of open words and phrases of one language."""
+class Words:
+    """The different words of one language that a task has met: their names, numbers and places in a filter."""
 
-    def __init__(self, lang: str, words_open: bool, reached) -> None:
-        self.lang, self.words_open, self.reached = lang, words_open, reached
-        self.held: dict[bytes, int] = defaultdict(int)
+    def __init__(self, lang: str, filter_: Filter | None) -> None:
+        self.lang, self.filter = lang, filter_
         self.begin()
 
     def begin(self) -> None:
@@ -90,83 +75,107 @@ class Counts:
         self.ids.default_factory = self.ids.__len__
         self.ids[EDGE]
         self.names: list[bytes] = [EDGE]
-        self.hashes, self.known, self.lately = np.zeros(1, np.uint64), np.zeros(1, bool), np.zeros(1, bool)
+        self.numbers, self.known, self.lately = np.zeros(1, np.uint64), np.zeros(1, bool), np.zeros(1, bool)
 
-    def add(self, texts: list[bytes]) -> None:
-        tokens = EDGE.join(texts).replace(EDGE, b" \xff ").split()
-        if len(self.ids) > HELD:
+    def places(self, texts: list[bytes]) -> np.ndarray:
+        """The ids of all words of the texts in order, 0 between pieces."""
+        if len(self.ids) > REMEMBERED:
             self.begin()
+        tokens = EDGE.join(texts).replace(EDGE, b" \xff ").split()
         at = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
         if len(self.ids) > len(self.names):
-            new = list(self.ids)[len(self.names):]
+            new = list(islice(self.ids, len(self.names), None))
             self.names += new
-            h = np.fromiter((word_hash(self.lang, w) for w in new), np.uint64, len(new))
-            self.hashes = np.concatenate([self.hashes, h])
-            if self.reached:
-                known, lately = in_filter(self.reached, h)
-                self.known, self.lately = np.concatenate([self.known, known]), np.concatenate([self.lately, lately])
-        if self.words_open:
-            for i, n in enumerate(np.bincount(at, minlength=1).tolist()):
-                if n and i:
-                    self.held[self.names[i]] += n
-        if not self.reached:
+            h = np.fromiter((word_number(self.lang, w) for w in new), np.uint64, len(new))
+            known, lately = in_filter(self.filter, h) if self.filter else (np.zeros(len(h), bool),) * 2
+            self.numbers, self.known, self.lately = (
+                np.concatenate(x) for x in ((self.numbers, h), (self.known, known), (self.lately, lately)))
+        return at
+
+
+def count_phrases(words: Words, at: np.ndarray, only_known: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each length from 2 on: a place of every different phrase to count, how often it occurs, and the numbers of the
+    phrase, of its front and of its back. Phrases count whose both subphrases are in the filter and one of them as a late one;
+    with only_known, those that are in the filter themselves."""
+    h, known, lately, code = words.numbers[at], words.known[at], words.lately[at], at
+    for m in range(2, LONGEST + 1):
+        n = len(at) - m + 1
+        if n <= 0:
+            return
+        inside = np.flatnonzero(known[:n] & known[1:n + 1])
+        front, back = h[inside], h[inside + 1]
+        longer = joined(front, words.numbers[at[inside + m - 1]], m)
+        is_known, is_late = in_filter(words.filter, longer)
+        wanted = is_known if only_known else lately[inside] | lately[inside + 1]
+        # Phrases of this batch are told apart by that of their fronts and their last words, not by their numbers.
+        _, first, own, many = np.unique(code[inside] * len(words.names) + at[inside + m - 1], return_index=True, return_inverse=True, return_counts=True)
+        keep = wanted[first]
+        yield inside[first[keep]], many[keep], longer[first[keep]], front[first[keep]], back[first[keep]]
+        if not is_known.any():
             return
-        # For every place: is the phrase of m words from here on one that has reached the threshold, and lately so?
-        h, known, lately = self.hashes[at], self.known[at], self.lately[at]
-        code = at
-        for m in range(2, LONGEST + 1):
-            n = len(tokens) - m + 1
-            if n <= 0:
-                return
-            places = np.flatnonzero(known[:n] & known[1:n + 1] & (lately[:n] | lately[1:n + 1]))
-            inside = np.flatnonzero(known[:n] & known[1:n + 1])
-            if not len(inside):
-                return
-            # A number for each phrase of this batch, from that of its front and its last word.
-            numbers = np.full(n, -1, np.int64)
-            pairs = code[inside] * len(self.names) + at[inside + m - 1]
-            _, first, number = np.unique(pairs, return_index=True, return_inverse=True)
-            numbers[inside] = number
-            many = np.bincount(numbers[places], minlength=len(first))
-            for i in np.flatnonzero(many).tolist():
-                p = int(inside[first[i]])
-                self.held[b" ".join(tokens[p:p + m])] += int(many[i])
-            if m < LONGEST:
-                # Phrases whose halves are not known cannot be known either: only these are looked up.
-                h = joined(h[:n], self.hashes[at[m - 1:m - 1 + n]])
-                known, lately, code = np.zeros(n, bool), np.zeros(n, bool), numbers
-                known[inside], lately[inside] = in_filter(self.reached, h[inside])
-
-    def report(self) -> pa.RecordBatch:
-        phrases = list(self.held)
-        batch = pa.RecordBatch.from_arrays([
-            pa.array([self.lang] * len(phrases), pa.string()), pa.array([p.count(b" ") + 1 for p in phrases], pa.int32()),
-            pa.array(phrases, pa.binary()), pa.array(self.held.values(), pa.int64())], names=["lang", "m", "phrase", "n"])
-        self.held.clear()
-        return batch
-
-
-def scan(shard: DataFrame, words_open: bool, reached: tuple[int, np.ndarray] | None) -> DataFrame:
-    """lang, m, phrase, n: what a scan of a shard (lang, text) counts, added up within each task as far as it holds."""
-    sent = shard.sparkSession.sparkContext.broadcast(reached)
+        h, known, lately, code = np.zeros(n, np.uint64), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64)
+        h[inside], known[inside], lately[inside], code[inside] = longer, is_known, is_late, own
+
+
+def texts_by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    for batch in slices(batches, "text", RUN):
+        by_lang: dict[str, list[bytes]] = defaultdict(list)
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+            by_lang[lang].append(text)
+        yield from by_lang.items()
+
+
+def scan(shard: DataFrame, words_open: bool, filter_: Filter | None) -> DataFrame:
+    """h, front, back, n: the numbers of what a scan of a shard (lang, text) counts, added up batch by batch."""
+    sent = shard.sparkSession.sparkContext.broadcast(filter_)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counts] = {}
-        for batch in slices(batches, "text", RUN):
-            by_lang: dict[str, list[bytes]] = defaultdict(list)
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                by_lang[lang].append(text)
-            for lang, texts in by_lang.items():
-                if lang not in counts:
-                    counts[lang] = Counts(lang, words_open, sent.value)
-                counts[lang].add(texts)
-            if sum(len(c.held) for c in counts.values()) > HELD:
-                for c in counts.values():
-                    yield c.report()
-        for c in counts.values():
-            yield c.report()
-
-    return shard.select("lang", "text").mapInArrow(count, "lang string, m int, phrase binary, n long")
+        own: dict[str, Words] = {}
+        for lang, texts in texts_by_lang(batches):
+            if lang not in own:
+                own[lang] = Words(lang, sent.value)
+            words = own[lang]
+            at = words.places(texts)
+            found = []
+            if words_open:
+                many = np.bincount(at)
+                many[:1] = 0
+                i = np.flatnonzero(many)
+                none = np.zeros(len(i), np.uint64)
+                found.append((i, many[i], words.numbers[i], none, none))
+            if words.filter:
+                found += count_phrases(words, at, False)
+            if found:
+                _, many, h, front, back = (np.concatenate(c) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([
+                    *(pa.array(x.view(np.int64)) for x in (h, front, back)), pa.array(many, pa.int64())], names=["h", "front", "back", "n"])
+
+    return shard.select("lang", "text").mapInArrow(count, "h long, front long, back long, n long")
+
+
+def named_counts(shards: DataFrame, filter_: Filter) -> DataFrame:
+    """lang, m, phrase, h, n: what is in the filter, counted by its words; and rows with m = 0, the occurrences of all words."""
+    sent = shards.sparkSession.sparkContext.broadcast(filter_)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, Words] = {}
+        for lang, texts in texts_by_lang(batches):
+            if lang not in own:
+                own[lang] = Words(lang, sent.value)
+            words = own[lang]
+            at = words.places(texts)
+            many = np.bincount(at, minlength=1)
+            i = np.flatnonzero(words.known[:len(many)] & (many > 0))
+            names = pa.array(words.names, pa.binary())
+            rows = [(0, [b""], np.array([many[1:].sum()]), np.zeros(1, np.uint64)), (1, names.take(pa.array(i)), many[i], words.numbers[i])]
+            for m, (p, n, h, _, _) in enumerate(count_phrases(words, at, True), 2):
+                rows.append((m, pa.compute.binary_join_element_wise(*(names.take(pa.array(at[p + j])) for j in range(m)), b" "), n, h))
+            for m, phrases, n, h in rows:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), m, np.int32)), pa.array(phrases, pa.binary()) if m < 1 else phrases,
+                    pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "m", "phrase", "h", "n"])
+
+    return shards.select("lang", "text").mapInArrow(count, "lang string, m int, phrase binary, h long, n long")
 
 
 def clean_shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
@@ -181,64 +190,65 @@ def clean_shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(clean, "lang string, text binary").withColumn("shard", F.expr(f"cast(monotonically_increasing_id() % {SHARDS} as int)"))
 
 
-def frequent_phrases(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
-    """Words and phrases of up to LONGEST words with `least` occurrences or more in their language: lang, m, phrase (binary),
-    n; and the occurrences of all words of each language: lang, n. Both are saved tables.
+def frequent_numbers(shards: DataFrame, least: int) -> DataFrame:
+    """h: the numbers of words and phrases of up to LONGEST words with `least` occurrences or more. A saved table.
 
-    A phrase's counts per scan are saved as they come. After each scan those of the last cycle are added up; of what may have
-    reached the threshold, the subphrases tell from which scan on it was open, and only scans since then count. A phrase
-    whose cycle ends with this scan is finished with its whole count.
+    What each scan counts is saved as it comes. After a scan the counts of the last cycle are added up; of what may have
+    reached the threshold, the subphrases tell from which scan on it was open, and only scans since then count. What has its
+    cycle behind it with this scan is finished.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    shards = saved(clean_shards(docs, text, lang), "shards", "shard")
+    spark = shards.sparkSession
     deltas: list[DataFrame] = []
-    reached = spark.createDataFrame([], "lang string, m int, phrase binary, at int")
-    tables, finished, totals, filter_ = [], [], None, None
-    step = 0
+    reached = saved(spark.createDataFrame([], "h long, at int"), "reached")
+    tables, finished, filter_, step = [], [], None, 0
     while True:
-        delta = saved(scan(shards.where(F.col("shard") == step % SHARDS), step < SHARDS, filter_), "counts")
-        deltas = [*deltas, delta]
+        deltas.append(saved(scan(shards.where(F.col("shard") == step % SHARDS), step < SHARDS, filter_), "counts"))
         if len(deltas) > SHARDS:
             discard(deltas.pop(0))
-        first = step - len(deltas) + 1
+        each = [f"n{j}" for j in range(len(deltas))]
         counted = None
         for i, d in enumerate(deltas):
-            one = d.select("lang", "m", "phrase", *(F.when(F.lit(j == i), F.col("n")).otherwise(0).alias(f"n{j}") for j in range(len(deltas))))
+            one = d.select("h", "front", "back", *((F.col("n") if j == i else F.lit(0).cast("long")).alias(c) for j, c in enumerate(each)))
             counted = one if counted is None else counted.unionByName(one)
-        counted = counted.groupBy("lang", "m", "phrase").agg(*(F.sum(f"n{j}").alias(f"n{j}") for j in range(len(deltas))))
-        every = sum(F.col(f"n{j}") for j in range(len(deltas)))
-        if step == SHARDS - 1:
-            totals = saved(counted.where("m = 1").groupBy("lang").agg(F.sum(every).alias("n")), "totals")
-        likely = counted.where(every >= least)
+        counted = counted.groupBy("h").agg(F.max("front").alias("front"), F.max("back").alias("back"), *(F.sum(c).alias(c) for c in each))
+        likely = counted.where(" + ".join(each) + f" >= {least}")
         # Words are open from the start; a phrase from the scan after the one in which the later of its subphrases reached the threshold.
-        words = likely.where("m = 1").withColumn("start", F.lit(0))
-        front, back = F.expr("regexp_replace(cast(phrase as string), ' [^ ]*$', '')"), F.expr("regexp_replace(cast(phrase as string), '^[^ ]* ', '')")
-        known = reached.select("lang", F.col("phrase").cast("string").alias("sub"), "at")
-        longer = likely.where("m > 1").withColumn("front", front).withColumn("back", back)
-        longer = longer.join(known.withColumnsRenamed({"sub": "front", "at": "front_at"}), ["lang", "front"]).join(
-            known.withColumnsRenamed({"sub": "back", "at": "back_at"}), ["lang", "back"]).withColumn("start", F.greatest("front_at", "back_at") + 1)
-        rows = words.unionByName(longer.drop("front", "back", "front_at", "back_at"))
-        n = sum(F.when(F.lit(first + j) >= F.col("start"), F.col(f"n{j}")).otherwise(0) for j in range(len(deltas)))
-        rows = rows.withColumn("n", n).where((F.col("n") >= least) & (F.col("start") + SHARDS > step)).select("lang", "m", "phrase", "n", "start")
-        rows = saved(rows, "rows")
-        finished.append(rows.where(F.col("start") + SHARDS - 1 == step).select("lang", "m", "phrase", "n"))
-        new = rows.join(reached.select("lang", "phrase"), ["lang", "phrase"], "left_anti").select("lang", "m", "phrase", F.lit(step).alias("at"))
-        tables += [rows]
-        before, reached = reached, saved(reached.unionByName(new), "reached")
-        if step:
-            discard(before)
+        words = likely.where("h & 3 = 0").withColumn("start", F.lit(0))
+        longer = likely.where("h & 3 > 0").join(reached.select(F.col("h").alias("front"), F.col("at").alias("front_at")), "front").join(
+            reached.select(F.col("h").alias("back"), F.col("at").alias("back_at")), "back").withColumn("start", F.greatest("front_at", "back_at") + 1)
+        rows = words.select("h", "start", *each).unionByName(longer.select("h", "start", *each))
+        n = " + ".join(f"if({step - len(deltas) + 1 + j} >= start, {c}, 0)" for j, c in enumerate(each))
+        rows = saved(rows.where(f"{n} >= {least} and start + {SHARDS} > {step}").select("h", "start"), "rows")
+        tables.append(rows)
+        finished.append(rows.where(f"start + {SHARDS - 1} = {step}").select("h"))
+        before = reached
+        reached = saved(before.unionByName(rows.join(before, "h", "left_anti").select("h", F.lit(step).alias("at"))), "reached")
+        discard(before)
         step += 1
-        parts = reached.where(f"m < {LONGEST}").withColumn("lately", F.col("at") >= step - SHARDS)
+        parts = reached.where(f"h & 3 < {LONGEST - 1}").withColumn("lately", F.col("at") >= step - SHARDS)
         many, late = parts.agg(F.count(F.lit(1)), F.count_if("lately")).first()
         if step >= SHARDS and not late:
             break
-        filter_ = phrase_filter(parts, many)
+        filter_ = number_filter(parts, many)
     found = finished[0]
     for one in finished[1:]:
         found = found.unionByName(one)
-    found = saved(found, "phrases")
-    discard(shards, reached, *deltas, *tables)
+    found = saved(found, "found")
+    discard(reached, *deltas, *tables)
+    return found
+
+
+def frequent_phrases(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
+    """Words and phrases of up to LONGEST words with `least` occurrences or more in their language: lang, m, phrase (binary),
+    n; and the occurrences of all words of each language: lang, n. Saved tables."""
+    small_batches(docs.sparkSession)
+    shards = saved(clean_shards(docs, text, lang), "shards", "shard")
+    numbers = frequent_numbers(shards, least)
+    named = named_counts(shards, number_filter(numbers.withColumn("lately", F.lit(False)), numbers.count()))
+    named = saved(named.groupBy("lang", "m", "phrase").agg(F.max("h").alias("h"), F.sum("n").alias("n")).where(f"n >= {least} or m = 0"), "named")
+    found = saved(named.where("m > 0").join(numbers, "h", "left_semi").select("lang", "m", "phrase", "n"), "phrases")
+    totals = saved(named.where("m = 0").select("lang", "n"), "totals")
+    discard(shards, numbers, named)
     return found, totals
 
 
