@@ -3,8 +3,8 @@
 Texts lie in shards, which are scanned in turn, over and over. Words are counted from the first scan on. As soon as both
 subphrases of a longer phrase (all but its last and all but its first word) have reached the threshold, the phrase is counted
 from the next scan on, beside whatever other lengths are open, until it has met every shard once. The scans end when nothing
-is open any more. They count 64-bit numbers of phrases, which keeps what is shuffled small; as two phrases may have one
-number, a last scan counts what was found by its words. Scores come from these counts.
+is open any more. They run over words turned to numbers and count numbers of phrases, which keeps what is shuffled small; as
+two phrases may have one number, a last scan counts what was found by its words. Scores come from these counts.
 """
 
 from __future__ import annotations
@@ -26,8 +26,9 @@ SHARDS, LONGEST = 2, 4
 #: Bits of a filter of phrases for each phrase, at least and at most (2^27 bits are 16 MB to send): a filter that is too small
 #: lets phrases be counted that are not open yet, which the exact windows leave out again.
 BITS_A_PHRASE, FEWEST, MOST = 32, 1 << 16, 1 << 27
-#: Bytes of text that a task counts at once, and different words that it remembers.
-RUN, REMEMBERED = 4 << 20, 500_000
+#: Bytes of text and numbers of words that a task counts at once, different words that it remembers,
+#: and words of a row of numbers.
+RUN, TOKENS, REMEMBERED, ROW = 4 << 20, 2_000_000, 500_000, 1 << 15
 #: The byte between pieces; no UTF-8 text holds it.
 EDGE = b"\xff"
 _CLEAN = bytes(b + 32 if 65 <= b <= 90 else 0xFF if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256))
@@ -41,7 +42,13 @@ def joined(front: np.ndarray, last: np.ndarray, m: int) -> np.ndarray:
 
 
 def word_number(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh32_intdigest(lang)) & ~3
+    """A number of 32 bits, not 0."""
+    return xxhash.xxh32_intdigest(word, xxhash.xxh32_intdigest(lang)) or 1
+
+
+def of_words(numbers: np.ndarray) -> np.ndarray:
+    """The 64-bit numbers of words as phrases of one word."""
+    return numbers * _PRIME & ~np.uint64(3)
 
 
 Filter = tuple[int, np.ndarray]
@@ -64,10 +71,10 @@ def in_filter(filter_: Filter, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The different words of one language that a task has met: their names, numbers and places in a filter."""
+    """The different words of one language that a task has met, by their numbers."""
 
-    def __init__(self, lang: str, filter_: Filter | None) -> None:
-        self.lang, self.filter = lang, filter_
+    def __init__(self, lang: str) -> None:
+        self.lang = lang
         self.begin()
 
     def begin(self) -> None:
@@ -75,154 +82,129 @@ class Words:
         self.ids.default_factory = self.ids.__len__
         self.ids[EDGE]
         self.names: list[bytes] = [EDGE]
-        self.numbers, self.known, self.lately = np.zeros(1, np.uint64), np.zeros(1, bool), np.zeros(1, bool)
+        self.numbers = np.zeros(1, np.uint64)
 
     def places(self, texts: list[bytes]) -> np.ndarray:
-        """The ids of all words of the texts in order, 0 between pieces."""
+        """The ids of all words of the texts in order, 0 between pieces and after each text."""
         if len(self.ids) > REMEMBERED:
             self.begin()
-        tokens = EDGE.join(texts).replace(EDGE, b" \xff ").split()
+        tokens = b"".join(t + EDGE for t in texts).replace(EDGE, b" \xff ").split()
         at = np.fromiter(map(self.ids.__getitem__, tokens), np.int64, len(tokens))
         if len(self.ids) > len(self.names):
             new = list(islice(self.ids, len(self.names), None))
             self.names += new
-            h = np.fromiter((word_number(self.lang, w) for w in new), np.uint64, len(new))
-            known, lately = in_filter(self.filter, h) if self.filter else (np.zeros(len(h), bool),) * 2
-            self.numbers, self.known, self.lately = (
-                np.concatenate(x) for x in ((self.numbers, h), (self.known, known), (self.lately, lately)))
+            self.numbers = np.concatenate([self.numbers, np.fromiter((word_number(self.lang, w) for w in new), np.uint64, len(new))])
         return at
 
 
-def count_phrases(words: Words, at: np.ndarray, only_known: bool) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each length from 2 on: a place of every different phrase to count, how often it occurs, and the numbers of the
-    phrase, of its front and of its back. Phrases count whose both subphrases are in the filter and one of them as a late one;
-    with only_known, those that are in the filter themselves."""
-    h, known, lately, code = words.numbers[at], words.known[at], words.lately[at], at
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values, and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.empty(0, np.int64)
+    return values[first], np.diff(np.append(first, len(values)))
+
+
+def known_phrases(x: np.ndarray, filter_: Filter, late_only: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For numbers of words in order (0 between pieces) and each length m from 2 on: m, the places where a phrase of m words has
+    both its subphrases in the filter (one of them as a late one, with late_only), and the numbers of these phrases."""
+    h = of_words(x)
+    last = h
+    known, lately = in_filter(filter_, h)
+    known &= x > 0
     for m in range(2, LONGEST + 1):
-        n = len(at) - m + 1
+        n = len(x) - m + 1
         if n <= 0:
             return
         inside = np.flatnonzero(known[:n] & known[1:n + 1])
-        front, back = h[inside], h[inside + 1]
-        longer = joined(front, words.numbers[at[inside + m - 1]], m)
-        is_known, is_late = in_filter(words.filter, longer)
-        wanted = is_known if only_known else lately[inside] | lately[inside + 1]
-        # Phrases of this batch are told apart by that of their fronts and their last words, not by their numbers.
-        _, first, own, many = np.unique(code[inside] * len(words.names) + at[inside + m - 1], return_index=True, return_inverse=True, return_counts=True)
-        keep = wanted[first]
-        yield inside[first[keep]], many[keep], longer[first[keep]], front[first[keep]], back[first[keep]]
-        if not is_known.any():
-            return
-        h, known, lately, code = np.zeros(n, np.uint64), np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64)
-        h[inside], known[inside], lately[inside], code[inside] = longer, is_known, is_late, own
-
-
-def texts_by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+        longer = joined(h[inside], last[inside + m - 1], m)
+        if late_only:
+            wanted = lately[inside] | lately[inside + 1]
+            yield m, inside[wanted], longer[wanted]
+        else:
+            yield m, inside, longer
+        if m < LONGEST:
+            h, known, lately = np.zeros(n, np.uint64), np.zeros(n, bool), np.zeros(n, bool)
+            h[inside] = longer
+            known[inside], lately[inside] = in_filter(filter_, longer)
+
+
+def clean_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """Languages and their texts, A-Z lower-cased, with EDGE between pieces and spaces between words."""
     for batch in slices(batches, "text", RUN):
         by_lang: dict[str, list[bytes]] = defaultdict(list)
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            by_lang[lang].append(text)
+            by_lang[lang].append(text.encode().translate(_CLEAN))
         yield from by_lang.items()
 
 
-def scan(shard: DataFrame, words_open: bool, filter_: Filter | None) -> DataFrame:
-    """h, front, back, n: the numbers of what a scan of a shard (lang, text) counts, added up batch by batch."""
-    sent = shard.sparkSession.sparkContext.broadcast(filter_)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def number_shards(rows: DataFrame) -> DataFrame:
+    """numbers (binary, of four bytes each: the words of some texts in order, 0 between pieces), shard: dealt out in turn."""
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: dict[str, Words] = {}
-        for lang, texts in texts_by_lang(batches):
-            if lang not in own:
-                own[lang] = Words(lang, sent.value)
-            words = own[lang]
+        for lang, texts in clean_texts(batches):
+            words = own.get(lang) or own.setdefault(lang, Words(lang))
             at = words.places(texts)
-            found = []
-            if words_open:
-                many = np.bincount(at)
-                many[:1] = 0
-                i = np.flatnonzero(many)
-                none = np.zeros(len(i), np.uint64)
-                found.append((i, many[i], words.numbers[i], none, none))
-            if words.filter:
-                found += count_phrases(words, at, False)
-            if found:
-                _, many, h, front, back = (np.concatenate(c) for c in zip(*found))
-                yield pa.RecordBatch.from_arrays([
-                    *(pa.array(x.view(np.int64)) for x in (h, front, back)), pa.array(many, pa.int64())], names=["h", "front", "back", "n"])
-
-    return shard.select("lang", "text").mapInArrow(count, "h long, front long, back long, n long")
+            # Rows end between pieces, so no phrase is cut, after ROW words or more.
+            edges = np.flatnonzero(at == 0) + 1
+            ends = edges[np.unique(np.minimum(np.searchsorted(edges, np.arange(ROW, len(at) + ROW, ROW)), len(edges) - 1))]
+            numbers = words.numbers[at].astype(np.uint32)
+            rows_ = [numbers[a:b].tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(rows_, pa.binary())], names=["numbers"])
 
+    return rows.mapInArrow(number, "numbers binary").withColumn("shard", F.expr(f"cast(monotonically_increasing_id() % {SHARDS} as int)"))
 
-def named_counts(shards: DataFrame, filter_: Filter) -> DataFrame:
-    """lang, m, phrase, h, n: what is in the filter, counted by its words; and rows with m = 0, the occurrences of all words."""
-    sent = shards.sparkSession.sparkContext.broadcast(filter_)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, Words] = {}
-        for lang, texts in texts_by_lang(batches):
-            if lang not in own:
-                own[lang] = Words(lang, sent.value)
-            words = own[lang]
-            at = words.places(texts)
-            many = np.bincount(at, minlength=1)
-            i = np.flatnonzero(words.known[:len(many)] & (many > 0))
-            names = pa.array(words.names, pa.binary())
-            rows = [(0, [b""], np.array([many[1:].sum()]), np.zeros(1, np.uint64)), (1, names.take(pa.array(i)), many[i], words.numbers[i])]
-            for m, (p, n, h, _, _) in enumerate(count_phrases(words, at, True), 2):
-                rows.append((m, pa.compute.binary_join_element_wise(*(names.take(pa.array(at[p + j])) for j in range(m)), b" "), n, h))
-            for m, phrases, n, h in rows:
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), m, np.int32)), pa.array(phrases, pa.binary()) if m < 1 else phrases,
-                    pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["lang", "m", "phrase", "h", "n"])
-
-    return shards.select("lang", "text").mapInArrow(count, "lang string, m int, phrase binary, h long, n long")
 
+def scan(shard: DataFrame, words_open: bool, filter_: Filter | None) -> DataFrame:
+    """h, n: the numbers of words and phrases that a scan of a shard counts, added up run by run."""
+    sent = shard.sparkSession.sparkContext.broadcast(filter_)
 
-def clean_shards(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """lang, text (binary: A-Z lower-cased, EDGE between pieces, spaces between words), shard: rows dealt out in turn."""
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).where("text <> ''")
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        held, n = [], 0
+        for batch in batches:
+            for x in batch.column("numbers").to_pylist():
+                held.append(np.frombuffer(x, np.uint32))
+                n += len(held[-1])
+                if n >= TOKENS:
+                    yield np.concatenate(held).astype(np.uint64)
+                    held, n = [], 0
+        if held:
+            yield np.concatenate(held).astype(np.uint64)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            cleaned = [t.encode().translate(_CLEAN) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(cleaned, pa.binary())], names=["lang", "text"])
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in runs(batches):
+            found = []
+            if words_open:
+                found.append(counted(of_words(x[x > 0])))
+            if sent.value:
+                found += (counted(longer) for _, _, longer in known_phrases(x, sent.value, True))
+            for h, n in found:
+                if len(h):
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n, pa.int64())], names=["h", "n"])
 
-    return rows.mapInArrow(clean, "lang string, text binary").withColumn("shard", F.expr(f"cast(monotonically_increasing_id() % {SHARDS} as int)"))
+    return shard.select("numbers").mapInArrow(count, "h long, n long")
 
 
 def frequent_numbers(shards: DataFrame, least: int) -> DataFrame:
-    """h: the numbers of words and phrases of up to LONGEST words with `least` occurrences or more. A saved table.
+    """h, at: the numbers of words and phrases of up to LONGEST words with `least` occurrences or more, and the scan after which
+    they had reached it. A saved table.
 
-    What each scan counts is saved as it comes. After a scan the counts of the last cycle are added up; of what may have
-    reached the threshold, the subphrases tell from which scan on it was open, and only scans since then count. What has its
-    cycle behind it with this scan is finished.
+    What each scan counts is saved as it comes, and after a scan the counts of the last SHARDS scans are added up: every
+    shard once. A phrase is open in the SHARDS scans after the one in which the later of its subphrases reached the
+    threshold; after the last of them its whole count has been seen.
     """
-    spark = shards.sparkSession
     deltas: list[DataFrame] = []
-    reached = saved(spark.createDataFrame([], "h long, at int"), "reached")
-    tables, finished, filter_, step = [], [], None, 0
+    reached = saved(shards.sparkSession.createDataFrame([], "h long, at int"), "reached")
+    filter_, step = None, 0
     while True:
         deltas.append(saved(scan(shards.where(F.col("shard") == step % SHARDS), step < SHARDS, filter_), "counts"))
         if len(deltas) > SHARDS:
             discard(deltas.pop(0))
-        each = [f"n{j}" for j in range(len(deltas))]
-        counted = None
-        for i, d in enumerate(deltas):
-            one = d.select("h", "front", "back", *((F.col("n") if j == i else F.lit(0).cast("long")).alias(c) for j, c in enumerate(each)))
-            counted = one if counted is None else counted.unionByName(one)
-        counted = counted.groupBy("h").agg(F.max("front").alias("front"), F.max("back").alias("back"), *(F.sum(c).alias(c) for c in each))
-        likely = counted.where(" + ".join(each) + f" >= {least}")
-        # Words are open from the start; a phrase from the scan after the one in which the later of its subphrases reached the threshold.
-        words = likely.where("h & 3 = 0").withColumn("start", F.lit(0))
-        longer = likely.where("h & 3 > 0").join(reached.select(F.col("h").alias("front"), F.col("at").alias("front_at")), "front").join(
-            reached.select(F.col("h").alias("back"), F.col("at").alias("back_at")), "back").withColumn("start", F.greatest("front_at", "back_at") + 1)
-        rows = words.select("h", "start", *each).unionByName(longer.select("h", "start", *each))
-        n = " + ".join(f"if({step - len(deltas) + 1 + j} >= start, {c}, 0)" for j, c in enumerate(each))
-        rows = saved(rows.where(f"{n} >= {least} and start + {SHARDS} > {step}").select("h", "start"), "rows")
-        tables.append(rows)
-        finished.append(rows.where(f"start + {SHARDS - 1} = {step}").select("h"))
+        cycle = deltas[0]
+        for d in deltas[1:]:
+            cycle = cycle.unionByName(d)
+        likely = cycle.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         before = reached
-        reached = saved(before.unionByName(rows.join(before, "h", "left_anti").select("h", F.lit(step).alias("at"))), "reached")
+        reached = saved(before.unionByName(likely.join(before, "h", "left_anti").select("h", F.lit(step).alias("at"))), "reached")
         discard(before)
         step += 1
         parts = reached.where(f"h & 3 < {LONGEST - 1}").withColumn("lately", F.col("at") >= step - SHARDS)
@@ -230,26 +212,53 @@ def frequent_numbers(shards: DataFrame, least: int) -> DataFrame:
         if step >= SHARDS and not late:
             break
         filter_ = number_filter(parts, many)
-    found = finished[0]
-    for one in finished[1:]:
-        found = found.unionByName(one)
-    found = saved(found, "found")
-    discard(reached, *deltas, *tables)
-    return found
+    discard(*deltas)
+    return reached
+
+
+def named_counts(rows: DataFrame, filter_: Filter) -> DataFrame:
+    """lang, m, phrase, n: phrases whose numbers are in the filter, counted by their words; with m = 0, all words."""
+    sent = rows.sparkSession.sparkContext.broadcast(filter_)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, Words] = {}
+        for lang, texts in clean_texts(batches):
+            words = own.get(lang) or own.setdefault(lang, Words(lang))
+            at = words.places(texts)
+            many = np.bincount(at, minlength=len(words.names))
+            names = pa.array(words.names, pa.binary())
+            i = np.flatnonzero(in_filter(sent.value, of_words(words.numbers))[0] & (many > 0))
+            i = i[i > 0]
+            found = [(0, pa.array([b""], pa.binary()), many[1:].sum(keepdims=True)), (1, names.take(pa.array(i)), many[i])]
+            code, size = at, len(words.names)
+            for m, places, longer in known_phrases(words.numbers[at], sent.value, False):
+                # Told apart by their words: by the number of the front in this batch and the last word.
+                places = places[in_filter(sent.value, longer)[0]]
+                _, first, own_code, n = np.unique(code[places] * size + at[places + m - 1], return_index=True, return_inverse=True, return_counts=True)
+                p = places[first]
+                found.append((m, pa.compute.binary_join_element_wise(*(names.take(pa.array(at[p + j])) for j in range(m)), b" "), n))
+                code = np.zeros(len(at), np.int64)
+                code[places] = own_code
+            for m, phrases, n in found:
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), m, np.int32)), phrases, pa.array(n, pa.int64())],
+                    names=["lang", "m", "phrase", "n"])
+
+    return rows.mapInArrow(count, "lang string, m int, phrase binary, n long")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
     """Words and phrases of up to LONGEST words with `least` occurrences or more in their language: lang, m, phrase (binary),
     n; and the occurrences of all words of each language: lang, n. Saved tables."""
     small_batches(docs.sparkSession)
-    shards = saved(clean_shards(docs, text, lang), "shards", "shard")
+    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text")).where("text <> ''")
+    shards = saved(number_shards(rows), "shards", "shard")
     numbers = frequent_numbers(shards, least)
-    named = named_counts(shards, number_filter(numbers.withColumn("lately", F.lit(False)), numbers.count()))
-    named = saved(named.groupBy("lang", "m", "phrase").agg(F.max("h").alias("h"), F.sum("n").alias("n")).where(f"n >= {least} or m = 0"), "named")
-    found = saved(named.where("m > 0").join(numbers, "h", "left_semi").select("lang", "m", "phrase", "n"), "phrases")
-    totals = saved(named.where("m = 0").select("lang", "n"), "totals")
-    discard(shards, numbers, named)
-    return found, totals
+    discard(shards)
+    filter_ = number_filter(numbers.withColumn("lately", F.lit(False)), numbers.count())
+    named = saved(named_counts(rows, filter_).groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n")).where(f"n >= {least} or m = 0"), "named")
+    discard(numbers)
+    return named.where("m > 0"), named.where("m = 0 and n > 0").select("lang", "n")
 
 
 def collocations(docs: DataFrame, least: int = 30, covered: int = 80, most: int = 2000, text: str = "text", lang: str = "lang") -> DataFrame:
