@@ -54,10 +54,10 @@ def ingest_feedback(feedback: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def resolve_feedback(feedback: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(feedback with chunk_id, stub chunks for fingerprints without a chunk).
+    """(feedback with chunk_id and stub_id, stub chunks for fingerprints without a chunk).
 
     chunks: chunk_id, fingerprint. The first chunk of a fingerprint counts. Feedback
-    on a new chunk has a null chunk_id and is linked by its fingerprint.
+    on a new chunk has a null chunk_id and the stub_id of the stub made for it.
     """
     # Two columns of the chunk table, and of those only the fingerprints asked for:
     # a small batch of feedback is broadcast and the chunk table is only scanned.
@@ -66,17 +66,22 @@ def resolve_feedback(feedback: DataFrame, chunks: DataFrame) -> tuple[DataFrame,
     known = first_by(asked, ["fingerprint"], ["chunk_id"]).select(
         F.col("fingerprint").alias("chunk_fingerprint"), "chunk_id")
     linked = salted_join(feedback, known, ["chunk_fingerprint"])
+    linked = linked.withColumn("stub_id", F.when(F.col("chunk_id").isNull(), stub_id("chunk_fingerprint")))
     return linked, stub_chunks(linked.where("chunk_id is null"))
 
 
+def stub_id(fingerprint: str) -> Column:
+    """The same fingerprint has the same id in every batch: 60 bits of its md5."""
+    return F.conv(F.substring(F.md5(fingerprint), 1, 15), 16, 10).cast("long")
+
+
 def stub_chunks(feedback: DataFrame) -> DataFrame:
     """One stub chunk per fingerprint from its first feedback."""
     first = feedback.groupBy(F.col("chunk_fingerprint").alias("fingerprint")).agg(
         F.min_by(F.struct("chunk_url", "chunk_title"), F.struct("created", "feedback_id")).alias("f")
     )
     return first.select(
-        # The same fingerprint has the same id in every batch.
-        F.xxhash64("fingerprint").alias("stub_id"), "fingerprint", F.col("f.chunk_url").alias("url"), F.col("f.chunk_title").alias("title"),
+        stub_id("fingerprint").alias("stub_id"), "fingerprint", F.col("f.chunk_url").alias("url"), F.col("f.chunk_title").alias("title"),
         F.coalesce(T.nullif_blank(F.col("f.chunk_title")), F.col("f.chunk_url")).alias("text"),
     )
 

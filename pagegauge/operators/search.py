@@ -177,29 +177,58 @@ def list_items(
     return listed if limit is None else listed.limit(limit)
 
 
+def search_terms(queries: DataFrame) -> DataFrame:
+    """query_id, op, terms (distinct, lower case) of flat AND/OR searches; those without a term are left out."""
+    tokens = F.array_remove(F.split("query", " +"), "")
+    op = F.when(F.array_contains(tokens, "OR"), "OR").otherwise("AND")
+    return queries.select(
+        # Only the operator as written, in capitals, is no search word.
+        "query_id", op.alias("op"),
+        F.array_distinct(F.transform(F.array_except(tokens, F.array(op)), F.lower)).alias("terms")).where("size(terms) > 0")
+
+
+def word_bag(text: str = "text", props: list[str] | None = None) -> Column:
+    """The distinct words of a text and its key:value pairs, as searches name them."""
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
+    pairs = [F.concat(F.lit(f"{p}:"), F.lower(F.coalesce(F.col(p).cast("string"), F.lit("")))) for p in props or []]
+    return F.array_distinct(F.concat(words, F.array(*pairs)) if pairs else words)
+
+
+def search_anchors(terms: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Where a search looks for chunks: query_id, op, n_terms, word. An AND search has its rarest term (ties: the smallest) as
+    its only anchor, and none if some term is in no chunk; an OR search has all its terms that occur.
+
+    frequency: word, n (the chunks that hold a word).
+    """
+    each = terms.select("query_id", "op", F.size("terms").alias("n_terms"), F.explode("terms").alias("word")).join(frequency, "word")
+    rarest = each.where("op = 'AND'").groupBy("query_id", "op", "n_terms").agg(
+        F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "word")).alias("rarest")).where("met = n_terms")
+    return each.where("op = 'OR'").select("query_id", "op", "n_terms", "word").unionByName(
+        rarest.select("query_id", "op", "n_terms", F.col("rarest.word").alias("word")))
+
+
 def match_saved_searches(
     chunks: DataFrame, queries: DataFrame, key: list[str], text: str = "text", props: list[str] | None = None
 ) -> DataFrame:
-    """Which saved searches match which chunks: (key, query_id).
+    """Which saved searches match which chunks: (key, query_id). Keys tell chunks apart.
 
     queries: query_id, query (flat AND/OR of whole words and key:value terms).
-    Words of the chunks meet the words of the searches in one equi-join, so the
-    cost grows with the hits, not with chunks times searches.
+    An inverted index of the chunks' words is met by each AND search at one posting list only, that of its rarest
+    term, and by an OR search at those of its terms. A chunk that an AND search of several terms meets there is then
+    looked up for the others. So a frequent term costs nothing as long as a search has a rarer one, and what the join
+    gives grows with the chunks that hold a search's rarest term.
     """
-    tokens = F.array_remove(F.split("query", " +"), "")
-    op = F.when(F.array_contains(tokens, "OR"), "OR").otherwise("AND")
-    terms = queries.select(
-        # Only the operator as written, in capitals, is no search word.
-        "query_id", op.alias("op"),
-        F.array_distinct(F.transform(F.array_except(tokens, F.array(op)), F.lower)).alias("terms")
-    ).select("query_id", "op", F.size("terms").alias("n_terms"), F.explode("terms").alias("word"))
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
-    pairs = [
-        F.concat(F.lit(f"{p}:"), F.lower(F.coalesce(F.col(p).cast("string"), F.lit("")))) for p in props or []
-    ]
-    bag = F.array_distinct(F.concat(words, F.array(*pairs)) if pairs else words)
-    found = chunks.select(*key, F.explode_outer(bag).alias("word"))
-    hits = salted_join(found, terms, ["word"], "inner")
-    return hits.groupBy(*key, "query_id", "op", "n_terms").agg(F.count("*").alias("n")).where(
-        (F.col("op") == "OR") | (F.col("n") == F.col("n_terms"))
-    ).select(*key, "query_id")
+    terms = search_terms(queries)
+    bags = chunks.select(*key, word_bag(text, props).alias("bag"))
+    # Only words that some search asks for are posted; they are few columns wide, and counted per task first.
+    asked = terms.select(F.explode("terms").alias("word")).distinct()
+    postings = bags.select(*key, F.explode("bag").alias("word")).join(asked, "word", "left_semi")
+    anchors = search_anchors(terms, postings.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    met = salted_join(postings, anchors, ["word"], "inner")
+    sure = "op = 'OR' or n_terms = 1"
+    found = met.where(sure).select(*key, "query_id").distinct()
+
+    others = terms.where("op = 'AND'").select("query_id", "terms")
+    verified = met.where(f"not ({sure})").select(*key, "query_id").join(others, "query_id").join(bags, key).where(
+        F.size(F.array_except("terms", "bag")) == 0)
+    return found.unionByName(verified.select(*key, "query_id"))

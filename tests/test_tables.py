@@ -1,5 +1,6 @@
 """Search, stored documents, settings, roll-ups, feedback, models."""
 
+import random
 import datetime as dt
 
 import pytest
@@ -65,6 +66,30 @@ def test_saved_searches_with_a_hot_word(spark):
     assert hits == {1: 6, 2: 6, 4: 60}
 
 
+def test_saved_searches_equal_brute_force(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = [(i, " ".join(rng.choices(words, weights=range(1, 31), k=rng.randrange(0, 12))), rng.choice(["en", "de", None])) for i in range(150)] + [(150, None, "en")]
+    searches = [(i, rng.choice([" AND ", " OR ", " "]).join(rng.choices([*words, "lang:en", "absent"], k=rng.randrange(0, 5)))) for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    got = [(r.doc_id, r.query_id) for r in Q.match_saved_searches(
+        docs, spark.createDataFrame(searches, "query_id int, query string"), ["doc_id"], "text", ["lang"]).collect()]
+    want = set()
+    for d, text, lang in texts:
+        held = {*(text or "").split(), f"lang:{lang or ''}"}
+        for q, search in searches:
+            terms = set(search.split()) - ({"OR"} if " OR " in search else {"AND"})
+            if terms and (terms & held if " OR " in search else terms <= held):
+                want.add((d, q))
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_anchor_is_the_rarest_term(spark):
+    terms = Q.search_terms(spark.createDataFrame([(1, "common AND rare"), (2, "common OR rare"), (3, "rare gone"), (4, "")], "query_id int, query string"))
+    frequency = spark.createDataFrame([("common", 1000), ("rare", 2)], "word string, n long")
+    assert {(r.query_id, r.word) for r in Q.search_anchors(terms, frequency).collect()} == {(1, "rare"), (2, "common"), (2, "rare")}
+
+
 # --- stored documents ---------------------------------------------------------------
 
 
@@ -212,6 +237,9 @@ def test_tally_and_stubs(spark):
     linked, stubs = B.resolve_feedback(df, chunks)
     assert {r.chunk_fingerprint: r.chunk_id for r in linked.collect()} == {"f": 4, "g": None} and linked.count() == 6
     assert [(r.fingerprint, r.text) for r in stubs.collect()] == [("g", "https://u")]
+    # Feedback on a new chunk is linked to the stub made for it.
+    stub = stubs.first().stub_id
+    assert {(r.chunk_fingerprint, r.stub_id) for r in linked.collect()} == {("f", None), ("g", stub)}
 
 
 def test_salted_join_equals_plain(spark):
