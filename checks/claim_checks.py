@@ -153,6 +153,29 @@ SQL["claim_near_matches"] = f"""WITH a AS (SELECT DISTINCT lower({flat('claim')}
     SELECT claim_key, match_key, round(s, 6) AS similarity FROM p WHERE s >= 0.6 - 1e-9"""
 
 
+@query
+def fact_check_nearest(spark, sf):
+    """Claims of documents with the verdict on the most similar benchmark sentence that shares 60 % of their words."""
+    found = C.extract_claims(I.documents(spark, sf), ["doc_id"])
+    known = I.fact_checks(spark, sf).where("fact_id < 10000000")
+    return C.match_fact_checks(found, known, "fuzzy", 0.6).select(
+        "doc_id", "claim_pos", "fact_id", F.round("rating", 6).alias("rating"), "n_results")
+
+
+SQL["fact_check_nearest"] = f"""WITH {FACTS},
+    known AS (SELECT claim_key, min(fact_id) AS fact_id, arg_min(rating, fact_id) AS rating, count(*) AS n_results
+      FROM facts WHERE fact_id < 10000000 GROUP BY claim_key),
+    c AS (SELECT doc_id, claim_pos, lower({flat('claim')}) AS claim_key FROM {CLAIM_ROWS}),
+    x AS (SELECT claim_key, {_SET.format('claim_key')} AS ws FROM (SELECT DISTINCT claim_key FROM c)),
+    y AS (SELECT claim_key AS match_key, {_SET.format('claim_key')} AS vs FROM known),
+    p AS (SELECT claim_key, match_key, len(list_intersect(ws, vs)) / (len(ws) + len(vs) - len(list_intersect(ws, vs)))::DOUBLE AS s FROM x, y
+      WHERE len(ws) > 0 AND len(vs) > 0 AND least(len(ws), len(vs)) >= 0.6 * greatest(len(ws), len(vs)) - 1e-9),
+    best AS (SELECT claim_key, match_key FROM p WHERE s >= 0.6 - 1e-9
+      QUALIFY row_number() OVER (PARTITION BY claim_key ORDER BY s DESC, match_key) = 1)
+    SELECT doc_id, claim_pos::INT AS claim_pos, k.fact_id, round(k.rating, 6) AS rating, k.n_results
+    FROM c LEFT JOIN best b ON b.claim_key = c.claim_key LEFT JOIN known k ON k.claim_key = b.match_key"""
+
+
 @query
 def rating_bands(spark, sf):
     facts = I.fact_checks(spark, sf)

@@ -153,42 +153,64 @@ def word_set(text: Column) -> Column:
     return F.array_distinct(F.array_remove(words, ""))
 
 
+def prefix_postings(words: DataFrame, ranks: DataFrame, threshold: float) -> DataFrame:
+    """id, word, pos (from 1), n, signature: the first words of each word set in the order of ranks, rare words first.
+
+    words: id, word. Sets with a Jaccard similarity of at least the threshold share one of their first n - ceil(t n) + 1
+    words. signature has a bit for every word of the set.
+    """
+    ranked = salted_join(words, ranks, ["word"], "inner").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("freq", "word"))).alias("ranked"))
+    listed = ranked.select("id", F.col("ranked.word").alias("held"))
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(w), F.lit(64)))
+    signature = F.aggregate("held", F.lit(0).cast("long"), lambda bits, w: bits.bitwiseOR(bit(w)))
+    n = F.size("held")
+    # ceil with a small allowance, so rounding never shortens the prefix.
+    prefix = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
+    return listed.select(
+        "id", n.alias("n"), signature.alias("signature"), F.posexplode(F.slice("held", F.lit(1), prefix)).alias("pos", "word")).withColumn(
+        "pos", F.col("pos") + 1)
+
+
+def candidate_pairs(l: DataFrame, r: DataFrame, threshold: float) -> DataFrame:
+    """l_id, r_id, each pair once: sets that share a prefix word and may reach the threshold by their sizes, by the places of
+    that word and by their signatures."""
+    left = l.select(*(F.col(c).alias(f"l_{c}") for c in ("id", "n", "pos", "signature")), "word")
+    right = r.select(*(F.col(c).alias(f"r_{c}") for c in ("id", "n", "pos", "signature")), "word")
+    least = F.ceil((F.col("l_n") + F.col("r_n")) * (threshold / (1 + threshold)) - 1e-9)
+    # At the first word that both share, nothing before it is shared: what follows bounds the overlap.
+    by_place = 1 + F.least(F.col("l_n") - F.col("l_pos"), F.col("r_n") - F.col("r_pos"))
+    # A bit of one signature that the other has not is a word that only one set has.
+    only = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
+    by_bits = F.least(F.col("l_n") - only("l_signature", "r_signature"), F.col("r_n") - only("r_signature", "l_signature"))
+    sizes = (F.col("l_n") >= F.col("r_n") * threshold - 1e-9) & (F.col("r_n") >= F.col("l_n") * threshold - 1e-9)
+    return salted_join(left, right, ["word"], "inner").where(sizes & (by_place >= least) & (by_bits >= least)).select("l_id", "r_id").distinct()
+
+
 def similar_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of distinct texts whose word sets have Jaccard >= threshold.
+    """All pairs of distinct texts whose word sets have Jaccard >= threshold, a number above 0.
 
-    Exact set-similarity join by prefix filtering: words are ranked from rare to
-    common, and two sets can only be similar if they share one of their first
-    n - ceil(t n) + 1 words.  So pairs meet on rare words, copies of one text
-    count once, and no group of texts is paired off against itself.
+    Exact set-similarity join with positional prefixes: texts are known by the 128 bits of their md5, and only postings
+    of fixed width (id, word, place, size, signature) meet. Words come once for each pair that may be similar, to be
+    compared. Copies of one text count once, and texts meet on rare words.
     Columns in: claim_key on both sides. Out: claim_key, match_key, similarity.
     """
-    def words_of(side: DataFrame) -> DataFrame:
-        return side.select("claim_key").distinct().select(
-            "claim_key", F.explode_outer(word_set(F.col("claim_key"))).alias("word")).where("word is not null")
-
-    lefts, rights = words_of(left), words_of(right)
-    ranks = lefts.select("word").unionByName(rights.select("word")).groupBy("word").agg(F.count("*").alias("freq"))
-
-    def probes(words: DataFrame, key: str, held: str) -> DataFrame:
-        """The words of each text's prefix, each with the whole word list."""
-        ranked = salted_join(words, ranks, ["word"], "inner").groupBy("claim_key").agg(
-            F.sort_array(F.collect_list(F.struct("freq", "word"))).alias("ranked"))
-        listed = ranked.select(F.col("claim_key").alias(key), F.transform("ranked", lambda x: x["word"]).alias(held))
-        n = F.size(held)
-        # ceil with a small allowance, so rounding never shortens the prefix.
-        prefix = n - F.ceil(n * threshold - 1e-9).cast("int") + 1
-        return listed.select(key, held, F.explode_outer(F.slice(held, F.lit(1), prefix)).alias("word"))
-
-    l, r = probes(lefts, "claim_key", "lw"), probes(rights, "match_key", "rw")
-    both = F.size(F.array_intersect("lw", "rw"))
-    similarity = both / (F.size("lw") + F.size("rw") - both)
-    # A pair may meet on several words; it counts at the first word both share.
-    pairs = salted_join(l, r, ["word"], "inner").where(
-        (F.size("lw") >= F.size("rw") * threshold - 1e-9) & (F.size("rw") >= F.size("lw") * threshold - 1e-9)
-    ).where(F.get(F.array_intersect("lw", "rw"), F.lit(0)) == F.col("word"))
-    return pairs.select("claim_key", "match_key", similarity.alias("similarity")).where(
-        F.col("similarity") >= threshold - 1e-9
-    )
+    def texts_of(side: DataFrame) -> DataFrame:
+        return side.select("claim_key").distinct().select(F.unhex(F.md5("claim_key")).alias("id"), "claim_key")
+
+    def words_of(texts: DataFrame) -> DataFrame:
+        return texts.select("id", F.explode(word_set(F.col("claim_key"))).alias("word"))
+
+    lefts, rights = texts_of(left), texts_of(right)
+    l, r = words_of(lefts), words_of(rights)
+    ranks = l.select("word").unionByName(r.select("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    pairs = candidate_pairs(prefix_postings(l, ranks, threshold), prefix_postings(r, ranks, threshold), threshold)
+    lw, rw = word_set(F.col("claim_key")), word_set(F.col("match_key"))
+    both = F.size(F.array_intersect(lw, rw))
+    similarity = both / (F.size(lw) + F.size(rw) - both)
+    met = pairs.join(lefts.withColumnRenamed("id", "l_id"), "l_id").join(
+        rights.select(F.col("id").alias("r_id"), F.col("claim_key").alias("match_key")), "r_id")
+    return met.select("claim_key", "match_key", similarity.alias("similarity")).where(F.col("similarity") >= threshold - 1e-9)
 
 
 def nearest_texts(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:

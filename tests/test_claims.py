@@ -64,6 +64,18 @@ def test_fuzzy_match_takes_the_nearest(spark):
     assert {r.doc_id: r.fact_id for r in found.collect()} == {1: 1, 2: None}
 
 
+def test_candidates_are_pruned_by_place_and_signature(spark):
+    # One frequent word in every text; only the pair of equal texts shares more.
+    texts = [(f"hot {' '.join(f'x{i}y{j}' for j in range(9))}",) for i in range(40)]
+    df = spark.createDataFrame(texts, "claim_key string")
+    words = df.select(F.unhex(F.md5("claim_key")).alias("id"), F.explode(C.word_set(F.col("claim_key"))).alias("word"))
+    ranks = words.groupBy("word").agg(F.count("*").alias("freq"))
+    posted = C.prefix_postings(words, ranks, 0.3)
+    assert {(r.n, r.pos) for r in posted.where("word = 'hot'").collect()} <= {(10, 10)}
+    assert C.candidate_pairs(posted, posted, 0.3).where("l_id <> r_id").count() == 0
+    assert C.similar_texts(df, df, 0.3).count() == 40
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8])
 def test_similar_texts_equals_all_pairs(spark, threshold):
     rng = random.Random(3)
