@@ -52,13 +52,14 @@ SQL["statements"] = f"""SELECT doc_id, len(claims)::INT AS n,
 
 _BENCH = f"""SELECT item_id * 1000 + unnest(generate_series(0, len(sents) - 1)) AS fact_id, unnest(sents) AS text
     FROM (SELECT item_id, {SENTENCES} AS sents FROM benchmark) WHERE len(sents) > 0"""
-_FIRST = f"SELECT doc_id + 10000000 AS fact_id, sents[1] AS text FROM (SELECT doc_id, {SENTENCES} AS sents FROM documents) WHERE len(sents) > 0"
+_SAID = f"""SELECT doc_id * 1000000 + {I.DOCUMENT_FACTS} + unnest(generate_series(0, len(sents) - 1)) AS fact_id, unnest(sents) AS text
+    FROM (SELECT doc_id, {SENTENCES} AS sents FROM documents) WHERE len(sents) > 0"""
 VALUE = "CASE lower({0}) " + " ".join(f"WHEN {lit(k)} THEN {v}::DOUBLE" for k, v in V.RATING_SCORES.items()) + " ELSE 0.5::DOUBLE END"
 _R1, _R2 = VALUE.format(I.RATING.format("fact_id")), VALUE.format(I.RATING.format("(fact_id + 3)"))
 FACTS = f"""facts AS (SELECT fact_id, text, lower({flat('text')}) AS claim_key, {I.RATING.format('fact_id')} AS rating_word,
       fact_id % 5 AS kind,
       CASE fact_id % 5 WHEN 4 THEN {_R1} WHEN 2 THEN {_R1} WHEN 3 THEN ({_R1} + {_R2}) / 2 ELSE 0.5::DOUBLE END AS rating
-      FROM ({_BENCH} UNION ALL {_FIRST})),
+      FROM ({_BENCH} UNION ALL {_SAID})),
     verdicts AS (SELECT claim_key, min(fact_id) AS fact_id, arg_min(rating, fact_id) AS rating, count(*) AS n_results
       FROM facts GROUP BY claim_key)"""
 MATCHED = f"""m AS (SELECT c.*, v.fact_id, v.rating, v.n_results FROM (SELECT *, lower({flat('claim')}) AS claim_key FROM {CLAIM_ROWS}) c
@@ -106,14 +107,15 @@ SQL["accuracy_scores"] = f"""WITH {FACTS}, {MATCHED},
 def fact_check_report(spark, sf):
     found = C.extract_claims(I.documents(spark, sf), ["doc_id"])
     return C.fact_check_report(found, I.fact_checks(spark, sf), ["doc_id"]).select(
-        "doc_id", "claim_pos", "claim", "fact_id", "rating", "band", "publisher", "title", "url")
+        "doc_id", "claim_pos", "n_claims", "claim", "fact_id", "rating", "band", "publisher", "title", "url")
 
 
 _CUT = lambda x, n: f"concat(substr({x}, 1, {n}), CASE WHEN length({x}) > {n} THEN '...' ELSE '' END)"
 _WORD = "CASE WHEN kind IN (2, 3, 4) THEN rating_word ELSE 'Unknown' END"
 SQL["fact_check_report"] = f"""WITH {FACTS}, j AS (SELECT c.*, f.fact_id, f.kind, f.text AS fact, {_WORD} AS word
-      FROM (SELECT *, lower({flat('claim')}) AS claim_key FROM {CLAIM_ROWS}) c LEFT JOIN facts f USING (claim_key))
-    SELECT doc_id, claim_pos::INT AS claim_pos, {_CUT('claim', 150)} AS claim, fact_id,
+      FROM (SELECT *, lower({flat('claim')}) AS claim_key, count(*) OVER (PARTITION BY lower({flat('claim')})) AS n_claims FROM {CLAIM_ROWS}
+        QUALIFY row_number() OVER (PARTITION BY claim_key ORDER BY doc_id, claim_pos) = 1) c LEFT JOIN facts f USING (claim_key))
+    SELECT doc_id, claim_pos::INT AS claim_pos, n_claims, {_CUT('claim', 150)} AS claim, fact_id,
       CASE WHEN fact_id IS NULL THEN 'none found' ELSE word END AS rating,
       CASE WHEN fact_id IS NULL THEN NULL WHEN lower(word) LIKE '%false%' OR lower(word) LIKE '%pants on fire%' THEN 'false'
         WHEN lower(word) LIKE '%true%' THEN 'true' WHEN lower(word) = 'mixture' THEN 'mixture' ELSE 'other' END AS band,
@@ -139,7 +141,7 @@ SQL["page_fact_checks"] = f"""WITH {FACTS}, {MATCHED} SELECT source, count(claim
 def claim_near_matches(spark, sf):
     """Every pair of a document's claim and a benchmark sentence that share 60 % of their words."""
     found = C.extract_claims(I.documents(spark, sf), ["doc_id"]).select(C.normalize_claim(F.col("claim")).alias("claim_key"))
-    known = I.sentences(spark, I.table(spark, sf, "benchmark"), "item_id", 1000, False).select(
+    known = I.sentences(spark, I.table(spark, sf, "benchmark"), "item_id", 1000).select(
         C.normalize_claim(F.col("text")).alias("claim_key"))
     return C.similar_texts(found, known, 0.6).withColumn("similarity", F.round("similarity", 6))
 
@@ -157,14 +159,14 @@ SQL["claim_near_matches"] = f"""WITH a AS (SELECT DISTINCT lower({flat('claim')}
 def fact_check_nearest(spark, sf):
     """Claims of documents with the verdict on the most similar benchmark sentence that shares 60 % of their words."""
     found = C.extract_claims(I.documents(spark, sf), ["doc_id"])
-    known = I.fact_checks(spark, sf).where("fact_id < 10000000")
+    known = I.fact_checks(spark, sf).where(F.col("fact_id") < I.DOCUMENT_FACTS)
     return C.match_fact_checks(found, known, "fuzzy", 0.6).select(
         "doc_id", "claim_pos", "fact_id", F.round("rating", 6).alias("rating"), "n_results")
 
 
 SQL["fact_check_nearest"] = f"""WITH {FACTS},
     known AS (SELECT claim_key, min(fact_id) AS fact_id, arg_min(rating, fact_id) AS rating, count(*) AS n_results
-      FROM facts WHERE fact_id < 10000000 GROUP BY claim_key),
+      FROM facts WHERE fact_id < {I.DOCUMENT_FACTS} GROUP BY claim_key),
     c AS (SELECT doc_id, claim_pos, lower({flat('claim')}) AS claim_key FROM {CLAIM_ROWS}),
     x AS (SELECT claim_key, {_SET.format('claim_key')} AS ws FROM (SELECT DISTINCT claim_key FROM c)),
     y AS (SELECT claim_key AS match_key, {_SET.format('claim_key')} AS vs FROM known),
@@ -191,15 +193,17 @@ SQL["rating_bands"] = f"""WITH {FACTS} SELECT fact_id, round(rating, 6) AS ratin
 # --- clickbait -----------------------------------------------------------------------
 # Every document is a chunk of one page and links to another one.
 
-_PAGES_N = 300  # more than there are pages at the smallest size, so some links lead nowhere
+# More page numbers than there are pages, so some links and own pages lead nowhere.
+_PAGES_N = "(SELECT count(*) * 6 // 5 + 1 FROM pages)"
 _LINKS_TO = "CASE WHEN doc_id % 13 = 0 THEN 'javascript:void(0)' WHEN doc_id % 7 = 0 THEN concat('#', doc_id) ELSE target_url END"
 
 
 def _bait(spark, sf):
     docs = I.chunks(spark, sf).drop("links")
     pages = I.table(spark, sf, "pages").select("page_id", "url")
-    chunk = docs.withColumn("page_id", F.col("doc_id") % _PAGES_N).withColumn("goal", (F.col("doc_id") * 7 + 1) % _PAGES_N)
-    at = chunk.join(pages.withColumnRenamed("url", "page_url"), "page_id").join(
+    n = pages.count() * 6 // 5 + 1
+    chunk = docs.withColumn("page_id", F.col("doc_id") % n).withColumn("goal", (F.col("doc_id") * 7 + 1) % n)
+    at = chunk.join(pages.withColumnRenamed("url", "page_url"), "page_id", "left").join(
         pages.select(F.col("page_id").alias("goal"), F.col("url").alias("target_url")), "goal", "left")
     href = F.expr(_LINKS_TO)
     links = F.array(
@@ -228,7 +232,7 @@ SQL["unravel_clickbait"] = f"""WITH {BASE},
       {names(_HITS)} AS shown FROM s WHERE score >= 0.4),
     pg AS (SELECT page_id, url, {_KEY} AS key, {_NORM} AS norm, {TITLE} AS dest_title, {EXCERPT} AS dest_text FROM pages),
     j AS (SELECT b.*, p.url AS page_url, g.url AS target_url, g.norm AS target_norm, g.key AS target_key, p.key AS own_key
-      FROM bait b JOIN pg p ON b.page_id = p.page_id LEFT JOIN pg g ON b.goal = g.page_id),
+      FROM bait b LEFT JOIN pg p ON b.page_id = p.page_id LEFT JOIN pg g ON b.goal = g.page_id),
     t AS (SELECT *, CASE WHEN doc_id % 13 = 0 OR doc_id % 7 = 0 THEN NULL
         WHEN split_part(target_key, '?', 1) = split_part(own_key, '?', 1) THEN NULL ELSE target_norm END AS dest_url,
       coalesce(nullif({trim('title')}, ''), 'same page again') AS original FROM j),
@@ -268,7 +272,7 @@ def title_targets(spark, sf):
 def summary_cleanup(spark, sf):
     """Model summaries out of reply texts: JSON, bracketed, quoted, plain."""
     docs = I.documents(spark, sf)
-    text = T.collapse_space(F.substring("text", 1, 90))
+    text = T.collapse_space(F.col("text"))
     reply = F.expr("doc_id % 4")
     made = F.when(reply == 0, F.concat(F.lit("[["), text, F.lit("]]"))).when(
         reply == 1, F.concat(F.lit('"'), F.regexp_replace(text, '"', ""), F.lit('"'))).when(
@@ -277,7 +281,7 @@ def summary_cleanup(spark, sf):
     return docs.select("doc_id", B.parse_summary_reply(made).alias("summary"))
 
 
-_SHORT = flat("substr(text, 1, 90)")
+_SHORT = flat("text")
 _OUT = lambda x: f"substr({flat(f'''regexp_replace(regexp_replace({x}, '^\\[+|\\]+$', '', 'g'), '^[\"\'\']|[\"\'\']$', '', 'g')''')}, 1, 60)"
 _HEAD = flat(TAGLESS.format("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)"))
 SQL["title_targets"] = f"""WITH p AS (SELECT page_id, lower(coalesce(nullif({_HEAD}, ''), '')) AS h, lower({TITLE}) AS t,

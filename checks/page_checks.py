@@ -73,14 +73,14 @@ def text_functions(spark, sf):
     text = F.col("text")
     return I.documents(spark, sf).select(
         "doc_id", T.utf16_length(text).alias("units"), T.longer_than(text, 500).alias("long"),
-        T.truncate(text, 100, "...").alias("cut"), T.first_line(text, 200).alias("line"),
+        T.truncate(text, 100, "...").alias("cut"), T.first_line(text).alias("line"),
         T.first_sentence(text).alias("sentence"), T.format_count(F.col("n_chars")).alias("badge"),
         F.md5(T.collapse_space(text)).alias("flat_md5"))
 
 
 SQL["text_functions"] = f"""SELECT doc_id, {u16('text')}::INT AS units, {u16('text')} > 500 AS long,
     concat(substr(text, 1, 100), CASE WHEN length(text) > 100 THEN '...' ELSE '' END) AS cut,
-    substr({flat("split_part(text, chr(10), 1)")}, 1, 200) AS line, {FIRST_SENTENCE('text')} AS sentence,
+    {flat("split_part(text, chr(10), 1)")} AS line, {FIRST_SENTENCE('text')} AS sentence,
     CASE WHEN n_chars <= 0 THEN '' WHEN n_chars > 999 THEN '999+' ELSE n_chars::VARCHAR END AS badge,
     md5({flat('text')}) AS flat_md5 FROM documents"""
 
@@ -256,17 +256,21 @@ SQL["chunks_of_pages"] = """WITH s AS (SELECT url, unnest([page_id, page_id * 7]
     SELECT DISTINCT p.page_id AS of_page, d.doc_id FROM pages p JOIN d ON p.url = d.url OR p.page_id = d.page_id"""
 
 
+_PAGES_N = "(SELECT count(*) * 6 // 5 + 1 FROM pages)"
+
+
 @query
 def chunk_page_metadata(spark, sf):
     pages = C.html_to_text(I.pages(spark, sf)).withColumn("domain", U.host_of(F.col("url")))
+    # More page numbers than there are pages, so some chunks have no page.
     docs = I.chunks(spark, sf).select(
-        "doc_id", (F.col("doc_id") % 300).alias("page_id"), T.nullif_blank(F.col("title")).alias("title"))
+        "doc_id", (F.col("doc_id") % (pages.count() * 6 // 5 + 1)).alias("page_id"), T.nullif_blank(F.col("title")).alias("title"))
     return C.with_page_metadata(docs, pages).select("doc_id", "page_id", "url", "title", "domain")
 
 
 SQL["chunk_page_metadata"] = f"""WITH p AS (SELECT page_id, url, {TITLE} AS page_title, regexp_replace({HOST}, '^www\\.', '') AS domain FROM pages)
-    SELECT doc_id, doc_id % 300 AS page_id, url, coalesce(nullif(title, ''), page_title) AS title, p.domain
-    FROM ({I.CHUNKS}) c LEFT JOIN p ON doc_id % 300 = p.page_id"""
+    SELECT doc_id, doc_id % {_PAGES_N} AS page_id, url, coalesce(nullif(title, ''), page_title) AS title, p.domain
+    FROM ({I.CHUNKS}) c LEFT JOIN p ON doc_id % {_PAGES_N} = p.page_id"""
 
 
 # --- platform pages built from the documents -----------------------------------------
@@ -449,7 +453,7 @@ SQL["heading_sections"] = f"""SELECT page_id, chunk_pos, text, target_url AS hea
 @query
 def packed_paragraphs(spark, sf):
     """Pages without headings: paragraphs are packed to twice the minimum length."""
-    item = F.concat(F.lit("<p>"), esc(F.substring(T.collapse_space(F.col("text")), 1, 130)), F.lit("</p>"))
+    item = F.concat(F.lit("<p>"), esc(T.collapse_space(F.col("text"))), F.lit("</p>"))
     pages = platform_pages(spark, sf, item, '<html><body><div id="content">', "</div></body></html>", "https://plain.example.org/")
     return X.extract_chunks(pages, include_ads=True, strategy="regex").select("page_id", "chunk_pos", "text")
 
@@ -505,7 +509,7 @@ def site_results(spark, sf):
 _WORDS = " OR ".join(f"contains(lower(text), {lit(w)})" for w in V.AD_TEXT_WORDS)
 SQL["blocked_ads"] = f"""SELECT page_id, count(DISTINCT xpath) AS ads_hidden
     FROM ({_platform_sql("text", "NULL", "nr", "", "other")}) WHERE {_WORDS} GROUP BY page_id"""
-_PARA = trim(f"substr({flat('text')}, 1, 130)")
+_PARA = flat("text")
 SQL["packed_paragraphs"] = f"""WITH RECURSIVE p AS (SELECT doc_id // 10 AS page_id, t AS text, {u16('t')} AS n,
       row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) AS i FROM (SELECT doc_id, {_PARA} AS t FROM ({I.CHUNKS})) WHERE t <> ''),
     r AS (SELECT page_id, i, n AS chars, 0 AS g FROM p WHERE i = 1 UNION ALL

@@ -276,12 +276,12 @@ SQL["merge_props"] = """SELECT user_id AS id, event_type AS field, arg_max(props
 @query
 def lookup_fingerprint(spark, sf):
     """Documents by the fingerprint of their first line, the first of each."""
-    docs = I.documents(spark, sf).select(F.col("doc_id").alias("id"), T.first_line(F.col("text"), 200).alias("url"), F.lit("").alias("title"))
+    docs = I.documents(spark, sf).select(F.col("doc_id").alias("id"), T.first_line(F.col("text")).alias("url"), F.lit("").alias("title"))
     marked = D.with_fingerprint(docs)
     return D.lookup_fingerprint(marked, marked).select("id")
 
 
-SQL["lookup_fingerprint"] = f"""WITH d AS (SELECT doc_id AS id, substr({flat("split_part(text, chr(10), 1)")}, 1, 200) AS line FROM documents)
+SQL["lookup_fingerprint"] = f"""WITH d AS (SELECT doc_id AS id, {flat("split_part(text, chr(10), 1)")} AS line FROM documents)
     SELECT min(id) AS id FROM d GROUP BY line"""
 
 
@@ -387,8 +387,8 @@ def _replies(spark, sf):
 def model_replies(spark, sf):
     """Replies read for two modules that differ in defaults and flags."""
     replies = _replies(spark, sf).where("reply is not null")
-    both = M.parse_model_replies(replies, "biasDetector", ["doc_id"], max_explanation=200).unionByName(
-        M.parse_model_replies(replies, "clickUnbait", ["doc_id"], max_explanation=200))
+    both = M.parse_model_replies(replies, "biasDetector", ["doc_id"]).unionByName(
+        M.parse_model_replies(replies, "clickUnbait", ["doc_id"]))
     return both.select(
         "doc_id", "module", F.round("problem_score", 6).alias("problem_score"), F.round("confidence", 6).alias("confidence"),
         joined("flags").alias("flags"), "explanation", F.col("metadata")["biasDirection"].alias("direction"))
@@ -406,7 +406,7 @@ SQL["model_replies"] = f"""WITH r AS (SELECT doc_id, {_SQL_REPLY} AS reply FROM
       CASE WHEN module = 'clickUnbait' THEN concat(CASE WHEN doc_id % 9 = 0 THEN 'loaded,x' ELSE '' END,
           CASE WHEN v >= 0.4 THEN CASE WHEN doc_id % 9 = 0 THEN ',clickbait' ELSE 'clickbait' END ELSE '' END)
         WHEN doc_id % 9 = 0 THEN 'loaded,x' WHEN doc_id % 9 IN (5, 6) AND v > 0.45 THEN 'local_zero_shot' ELSE '' END AS flags,
-      CASE WHEN doc_id % 9 = 0 THEN 'because' WHEN doc_id % 9 = 1 THEN 'Analysis completed' WHEN doc_id % 9 NOT IN (5, 6) THEN substr(reply, 1, 200)
+      CASE WHEN doc_id % 9 = 0 THEN 'because' WHEN doc_id % 9 = 1 THEN 'Analysis completed' WHEN doc_id % 9 NOT IN (5, 6) THEN reply
         WHEN module = 'clickUnbait' THEN CASE WHEN v >= 0.4 THEN 'Headline looks like clickbait (withholding or sensational framing).' ELSE 'Headline appears straightforward.' END
         WHEN v < 0.2 THEN {lit(_LOW)} ELSE concat(CASE WHEN v < 0.5 THEN {lit(_MID[0] + 'neutral' + _MID[1])} ELSE {lit(_HIGH[0] + 'neutral' + _HIGH[1])} END,
           CASE WHEN v > 0.45 THEN 'local_zero_shot' ELSE '' END, CASE WHEN v < 0.5 THEN {lit(_MID[2])} ELSE {lit(_HIGH[2])} END) END AS explanation,
@@ -492,11 +492,10 @@ SQL["model_scorer"] = f"""SELECT doc_id, CASE WHEN length({_PROMPT}) > 2000 THEN
 
 @query
 def model_text(spark, sf):
-    return I.documents(spark, sf).select("doc_id", F.md5(M.model_text(F.col("text"), V.MODEL_TEXT_CHARS)).alias("text_md5"))
+    return I.documents(spark, sf).select("doc_id", F.md5(M.model_text(F.col("text"))).alias("text_md5"))
 
 
-SQL["model_text"] = """SELECT doc_id, md5(concat(substr(text, 1, 1200), CASE WHEN length(text) > 1200 THEN '…' ELSE '' END)) AS text_md5
-    FROM documents"""
+SQL["model_text"] = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents"
 
 
 @query

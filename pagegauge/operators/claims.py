@@ -295,19 +295,23 @@ def _accuracy_row(score, confidence, flags, explanation, metadata) -> list[Colum
 
 
 def fact_check_report(claims: DataFrame, fact_checks: DataFrame, key: list[str]) -> DataFrame:
-    """Per claim and fact check: rating, publisher, title and link of the first
-    review; one row saying so for a claim without fact checks."""
+    """Per distinct claim and fact check of it: rating, publisher, title and link of the first
+    review; one row saying so for a claim without fact checks. A claim stands at its first place
+    (in the order of key and claim_pos) with n_claims, how often it is made: n places of a claim with n
+    checks give n rows, not n times n."""
     checks = fact_checks.select(
         normalize_claim(F.col("text")).alias("claim_key"), "fact_id",
         F.get("reviews", F.lit(0)).alias("review"),
     )
-    keyed = claims.withColumn("claim_key", normalize_claim(F.col("claim")))
-    joined = salted_join(keyed, checks, ["claim_key"])
+    at = F.struct(*key, "claim_pos")
+    keyed = claims.groupBy(normalize_claim(F.col("claim")).alias("claim_key")).agg(
+        F.min(at).alias("at"), F.min_by("claim", at).alias("claim"), F.count(F.lit(1)).alias("n_claims"))
+    joined = salted_join(keyed.select("at.*", "claim", "n_claims", "claim_key"), checks, ["claim_key"])
     found = F.col("fact_id").isNotNull()
     review = F.col("review")
     rating = F.coalesce(T.nullif_blank(review["textual_rating"]), F.lit("Unknown"))
     return joined.select(
-        *key, "claim_pos",
+        *key, "claim_pos", "n_claims",
         T.truncate(F.col("claim"), 150, "...").alias("claim"),
         "fact_id",
         F.when(found, rating).otherwise("none found").alias("rating"),
