@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches, with_fields
 
 SPACE = "▁"
-#: Entries a worker remembers of words and of pairs before it starts anew: bounds memory, changes no result.
-REMEMBERED = 200_000
+#: Entries a worker remembers of words and of pairs in either of two generations: what is met again moves to the young one, and
+#: when that is full the old one goes. Bounds memory, changes no result.
+REMEMBERED = 150_000
 #: Longer words are encoded without being remembered.
 LONGEST_REMEMBERED = 48
 #: The worker's last encoder by the id of its vocabulary's broadcast: later tasks of the worker use what it remembers.
@@ -57,7 +58,9 @@ class Encoder:
             for p, k in zip(pieces, kinds)
         ]
         self.apart: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        # Of a chunk: its ids as bytes of four each, and what they decode to.
+        self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.known_before: dict[str, tuple[bytes, bytes]] = {}
         self.automaton = ahocorasick.Automaton()
         for p in self.score:
             if self.merged(p) == [p]:
@@ -106,27 +109,33 @@ class Encoder:
             i -= len(piece)
         return [x for ids in reversed(out) for x in ids]
 
-    def encode(self, text: str) -> list[int]:
-        """The ids of a text, the end id last; of an empty text the end id alone."""
-        ids: list[int] = []
-        if text:
-            known = self.known
-            for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)):
-                got = known.get(chunk)
-                if got is None:
-                    got = self.encode_chunk(chunk)
-                    if len(chunk) <= LONGEST_REMEMBERED:
-                        if len(known) >= REMEMBERED:
-                            known.clear()
-                        known[chunk] = got
-                ids += got
-        ids.append(self.end)
-        return ids
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: without the space put in front, bytes put together again."""
-        raw = b"".join(map(self.raw.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+    def chunk_result(self, chunk: str) -> tuple[bytes, bytes]:
+        """A chunk's ids and what they decode to, remembered from earlier texts if it is short."""
+        got = self.known_before.get(chunk)
+        if got is None:
+            ids = self.encode_chunk(chunk)
+            got = np.array(ids, np.int32).tobytes(), b"".join(map(self.raw.__getitem__, ids))
+        if len(chunk) <= LONGEST_REMEMBERED:
+            if len(self.known) >= REMEMBERED:
+                self.known, self.known_before = {}, self.known
+            self.known[chunk] = got
+        return got
+
+    def encode(self, text: str) -> tuple[bytes, str]:
+        """The ids of a text as bytes of four each, the end id last, and the text they decode to: without the space put in
+        front, bytes put together again. Of an empty text the end id alone."""
+        end = np.array([self.end], np.int32).tobytes()
+        if not text:
+            return end, ""
+        known, found = self.known, []
+        for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)):
+            got = known.get(chunk)
+            if got is None:
+                got = self.chunk_result(chunk)
+                known = self.known
+            found.append(got)
+        raw = b"".join([r for _, r in found])
+        return b"".join([i for i, _ in found]) + end, (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
 def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
@@ -148,11 +157,11 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
             _ready[sent_id] = Encoder(sent.value)
         encoder = _ready[sent_id]
         for batch in slices(batches, text):
-            ids = [encoder.encode(x or "") for x in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
-            flat = np.fromiter((x for row in ids for x in row), np.int32, count=ends[-1])
+            done = [encoder.encode(x or "") for x in batch.column(text).to_pylist()]
+            ends = np.cumsum([0, *(len(i) // 4 for i, _ in done)], dtype=np.int32)
+            flat = np.frombuffer(b"".join([i for i, _ in done]), np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(ends, flat), pa.array(map(encoder.decode, ids), pa.string())],
+                [*batch.columns, pa.ListArray.from_arrays(ends, flat), pa.array([d for _, d in done], pa.string())],
                 names=[*kept, "ids", "decoded"],
             )
 
