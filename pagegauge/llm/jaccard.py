@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices, small_batches
+from .common import discard, saved, slices, small_batches
 from .components import connected
 from .decontaminate import grams
 
@@ -253,20 +253,27 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, text: str
     sets = saved(texts.mapInArrow(to_sets, "doc_id long, n long, name binary, first array<long>"), "sets")
     reps = saved(sets.where("n > 0 and doc_id is not null").groupBy("name").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("first").alias("first")), "reps")
+    # The first tokens are in reps now; of the rest of sets the result needs little.
+    narrow = saved(sets.select("doc_id", "n", "name"), "rows")
+    names = saved(reps.select("name", "rep"), "names")
+    discard(sets)
     links = similar(texts, reps, n, percent)
     # A document in several rows joins the nodes of its texts.
     found = connected(links)
-    named = reps.select("name", "rep").join(found, F.col("rep") == F.col("node"), "left").select(
+    discard(links)
+    named = names.join(found, F.col("rep") == F.col("node"), "left").select(
         "name", F.coalesce("component", "rep").alias("component"))
-    rows = sets.select("doc_id", "n", "name").join(named, "name", "left")
+    rows = narrow.join(named, "name", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def similar(texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) between representatives that connect whatever similar sets connect."""
+    """Links (a, b) between representatives that connect whatever similar sets connect: a saved table. Deletes reps, as
+    what follows needs its postings only."""
     postings = reps.select(F.explode("first").alias("token"), "rep", "n")
     shared = postings.groupBy("token").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).where("lead <> other").drop("other")
     postings = saved(postings.join(shared, "token"), "postings")
+    discard(reps)
 
     # A set with a link shares so many first tokens at least with some other set; its family is the lead that most of them have.
     by_lead = postings.groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("least"), F.max("n").alias("n"))
@@ -278,12 +285,14 @@ def similar(texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFram
 
     # First each group by itself and against the hub group of its family: pairs grow with the sets.
     members = saved(grouped(active.withColumn("component", F.col("rep")), "family"), "members")
-    groups = saved(packed(texts, members, n), "groups").withColumn("hub", F.concat(F.substring_index("gid", "/", 1), F.lit("/0")))
+    stored = saved(packed(texts, members, n), "groups")
+    groups = stored.withColumn("hub", F.concat(F.substring_index("gid", "/", 1), F.lit("/0")))
     own = groups.select(F.col("sets").alias("left"), F.lit(None).cast(groups.schema["sets"].dataType).alias("right"))
     several = groups.where("parts > 1")
     hubs = several.where("gid = hub").select("hub", F.col("sets").alias("right"))
     crossed = several.where("gid <> hub").join(hubs, "hub").select(F.col("sets").alias("left"), "right")
     links = saved(opened(own, percent).unionByName(opened(crossed, percent)), "hub_links")
+    discard(stored)
 
     # Then the matrix: what is not connected yet, in groups of one component where it has many members in a family.
     # The sets of a family that was one group (alone) have been compared already.
@@ -291,14 +300,17 @@ def similar(texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFram
     alone = (F.col("parts") == 1).alias("alone")
     now = members.select("rep", "n", "least", "family", alone).join(found, F.col("rep") == F.col("node"), "left")
     now = saved(now.select("rep", "n", "least", "family", "alone", F.coalesce("component", "rep").alias("component")), "now")
+    discard(members, found, active)
     size = now.groupBy("family", "component").count()
-    now = now.join(size, ["family", "component"]).withColumn("own", F.when(F.col("count") >= OWN_GROUPS, F.col("component")))
-    members = saved(grouped(now, "family", "own"), "members")
+    sized = now.join(size, ["family", "component"]).withColumn("own", F.when(F.col("count") >= OWN_GROUPS, F.col("component")))
+    members = saved(grouped(sized, "family", "own"), "members")
+    discard(now)
     about = members.groupBy("gid").agg(
         F.min("least").alias("low"), F.max("n").alias("high"), F.min("component").alias("first"), F.max("component").alias("last"),
         F.min("family").alias("family"), F.min("alone").alias("alone"))
     about = saved(about, "about")
     cells = saved(postings.select("token", "rep").join(members.select("rep", "gid"), "rep").select("token", "rep", "gid"), "cells")
+    discard(postings)
     matrix = cells.select("token", "gid").distinct().join(about, "gid")
     x, y = matrix.alias("x"), matrix.alias("y")
     differ = (F.col("x.first") != F.col("x.last")) | (F.col("y.first") != F.col("y.last")) | (F.col("x.first") != F.col("y.first"))
@@ -319,10 +331,13 @@ def similar(texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFram
     mixed = about.where("first <> last and not alone").select("gid").join(members, "gid").select(
         "gid", F.lit(None).cast("string").alias("other"), F.lit(True).alias("is_left"), "rep", "component")
     chosen = saved(chosen.select("gid", "other", "is_left", "rep", "component").unionByName(mixed), "chosen")
+    discard(cells, pairs, members, about)
     held = whole(texts, chosen.select("rep").distinct(), n)
     rows = chosen.join(held, "rep").repartition("gid", "other").dropDuplicates(["gid", "other", "is_left", "rep", "name"])
     one = F.struct("rep", "component", "tokens")
     rows = rows.groupBy("gid", "other").agg(
         F.collect_list(F.when(F.col("is_left"), one)).alias("left"), F.collect_list(F.when(~F.col("is_left"), one)).alias("right"))
     rows = rows.where("other is null or (size(left) > 0 and size(right) > 0)")
-    return links.unionByName(saved(opened(rows, percent), "matrix_links"))
+    found = saved(links.unionByName(opened(rows, percent)), "all_links")
+    discard(chosen, links)
+    return found
