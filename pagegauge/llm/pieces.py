@@ -23,7 +23,7 @@ from .common import slices, small_batches, with_fields
 SPACE = "▁"
 #: Entries a worker remembers of words and of pairs in either of two generations: what is met again moves to the young one, and
 #: when that is full the old one goes. Bounds memory, changes no result.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Longer words are encoded without being remembered.
 LONGEST_REMEMBERED = 48
 #: The worker's last encoder by the id of its vocabulary's broadcast: later tasks of the worker use what it remembers.
