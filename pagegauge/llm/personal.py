@@ -143,8 +143,8 @@ def find_personal(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     Kinds email, ip, card and phone are what the formats match (leftmost, not overlapping within a kind, failing matches
     dropped); kind context is what follows a confident pattern and is none of those itself. Order: start, then kind as
     listed. Null and empty texts have no spans. Repeated rows get the same spans; a null id is an id; an empty table
-    gives an empty one. A column named spans is replaced; columns whose names begin with an underscore are left alone
-    unless they are named _text, _base or _new.
+    gives an empty one. A column named spans is replaced; all others, whatever their names, travel in one struct beside
+    the columns that the search adds.
 
     Spans by format need no shuffle. What is shuffled are identifiers with a pattern, and finally the few found spans.
     """
@@ -159,10 +159,13 @@ def find_personal(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     if new.count() <= SENT_ROWS:
         new = F.broadcast(new)
     # Joined below the expressions: constraints that the optimiser derives for a join double with each of them.
-    on = F.col(f"d.{doc_id}").eqNullSafe(F.col("n.key")) & (F.xxhash64(F.coalesce(f"d.{text}", F.lit(""))) == F.col("n.text_hash"))
-    joined = docs.select(*kept).alias("d").join(new.alias("n"), on, "left").select("d.*", "n._new")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("_row"))
+    hashed = F.xxhash64(F.coalesce(f"_row.`{text}`", F.lit("")))
+    on = F.col(f"_row.`{doc_id}`").eqNullSafe(F.col("key")) & (hashed == F.col("text_hash"))
+    joined = rows.join(new, on, "left").select("_row", "_new")
     spans = F.array_sort(F.concat("_base", F.coalesce("_new", F.expr("slice(_base, 1, 0)"))))
-    return with_base(joined, text).select(*kept, F.transform(spans, lambda s: F.struct(s.kind, s.start, s.end)).alias("spans"))
+    marked = with_base(joined, f"_row.`{text}`").select("_row", F.transform(spans, lambda s: F.struct(s.kind, s.start, s.end)).alias("spans"))
+    return marked.select("_row.*", "spans")
 
 
 def masked(text: str, spans: str) -> Column:

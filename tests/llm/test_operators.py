@@ -145,6 +145,14 @@ def test_personal(spark):
     assert personal.find_personal(empty(spark)).count() == 0
 
 
+def test_personal_beside_any_columns(spark):
+    names = ["m_email", "f_card", "s_phone", "c_ip", "d_ip", "m_id", "key", "t", "_text", "_base", "_new", "_row", "text_hash", "a.b"]
+    rows = docs(spark, "write to a@b.cc", None, "", "write to a@b.cc").withColumns({n: F.lit(n) for n in names})
+    got = personal.find_personal(rows).orderBy("doc_id").collect()
+    assert [[(s.kind, s.start, s.end) for s in r.spans] for r in got] == [[("email", 9, 15)], [], [], [("email", 9, 15)]]
+    assert all(r[n] == n for r in got for n in names) and [r.text for r in got] == ["write to a@b.cc", None, "", "write to a@b.cc"]
+
+
 # --- decontamination -------------------------------------------------------------------------
 
 def test_decontaminate(spark):
