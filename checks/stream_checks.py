@@ -67,6 +67,36 @@ SQL["stream_feedback"] = f"""WITH k AS (SELECT fingerprint, min(chunk_id) AS chu
     FROM ({FB}) LEFT JOIN k ON chunk_fingerprint = fingerprint"""
 
 
+RESENT = 1_000_000_000_000
+
+
+@query
+def stream_resend(spark, sf):
+    """All feedback in three batches, then after a restart all of it again, a week later, beside as much new feedback."""
+    base = work_dir(spark, "stream_resend")
+    first = I.feedback(spark, sf)
+    later = first.withColumn("created", F.col("created") + F.expr("interval 7 days"))
+    fresh = later.withColumn("feedback_id", F.col("feedback_id") + RESENT)
+
+    def run():
+        source = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        J.feedback_stream(source, lambda: _known_chunks(spark, sf), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+
+    first.repartition(3, "feedback_id").write.parquet(f"{base}/in")
+    run()
+    later.unionByName(fresh).repartition(2, "feedback_id").write.mode("append").parquet(f"{base}/in")
+    run()
+    read = lambda name: spark.read.option("basePath", f"{base}/out/{name}").parquet(f"{base}/out/{name}").select(
+        "feedback_id", F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created"), F.lit(name).alias("outcome"))
+    return read("accepted").unionByName(read("rejected"))
+
+
+SQL["stream_resend"] = f"""WITH f AS (SELECT * FROM ({FB}) UNION ALL
+      SELECT * REPLACE (feedback_id + {RESENT} AS feedback_id, created + INTERVAL 7 DAY AS created) FROM ({FB}))
+    SELECT feedback_id, strftime(created, '%Y-%m-%d %H:%M:%S') AS created,
+      CASE WHEN {REASON} IS NULL THEN 'accepted' ELSE 'rejected' END AS outcome FROM f"""
+
+
 @query
 def stream_feedback_tally(spark, sf):
     """Daily votes; a day is reported once the newest event is an hour past it."""

@@ -11,7 +11,8 @@ from checks.queries import query
 from pagegauge import fixed_values as V
 from pagegauge.functions import text as T
 from pagegauge.functions.joins import latest_by
-from pagegauge.operators import chunks as H, feedback as B, models as M, search as Q, settings as G, store as D
+from pagegauge.operators import chunks as H, feedback as B, models as M, rollup as R, scorers as S, search as Q, settings as G, store as D
+from pagegauge.operators.topics import topics as topics_of
 
 # --- settings -----------------------------------------------------------------
 # Customers serve as users' per-site switches: a site and a module by key.
@@ -551,3 +552,81 @@ SQL["conversation_toxicity"] = f"""WITH t AS (SELECT conv_id, turn, lower(concat
       FROM (SELECT *, conv_id * 31 + turn AS doc_id FROM conversations)), s AS (SELECT conv_id, turn, least(0::DOUBLE + {_TOX}, 1::DOUBLE) AS v FROM t)
     SELECT conv_id, round(max(v), 6) AS worst, first(turn ORDER BY v DESC, turn) AS worst_turn, count(*) AS n FROM s GROUP BY conv_id"""
 SQL["filter_pages"] = f"""SELECT page_id FROM pages WHERE contains(lower(url), 'er') OR contains(lower({TITLE}), 'er')"""
+
+# --- topics, errors -----------------------------------------------------------------
+
+#: topic, term, weight. Some terms belong to two topics, and some are in nearly every text.
+TOPIC_LEXICON = [
+    ("politics", "progressive", 2.0), ("politics", "liberal", 2.0), ("politics", "conservative", 2.0), ("politics", "Republican", 2.0),
+    ("economy", "market", 2.5), ("economy", "inequality", 1.25), ("economy", "returns", 1.0), ("money", "money", 2.0), ("money", "rich", 2.0),
+    ("money", "returns", 1.5), ("security", "password", 2.0), ("security", "account", 1.0), ("security", "verify", 1.0),
+    ("health", "doctors", 2.0), ("health", "weird", 0.5), ("insults", "idiot", 1.5), ("insults", "stupid", 1.5), ("threats", "hurt", 2.0),
+    ("threats", "regret", 2.0), ("science", "experts", 2.0), ("science", "hoax", 1.0), ("advertising", "sponsored", 2.0),
+    ("advertising", "click", 1.5), ("advertising", "limited", 1.5), ("news", "news", 1.75), ("news", "happened", 1.5),
+    ("english", "the", 0.05), ("english", "and", 0.05), ("french", "les", 0.05), ("french", "des", 0.05), ("french", "é", 0.01)]
+LEAST_TOPIC = 0.5
+
+
+@query
+def topics_by_lexicon(spark, sf):
+    """The weightiest topic of each whole text, if any weighs enough."""
+    lexicon = spark.createDataFrame(TOPIC_LEXICON, "topic string, term string, weight double")
+    return topics_of(I.chunks(spark, sf), lexicon, ["doc_id"], LEAST_TOPIC).select("doc_id", "topic", F.round("weight", 6).alias("weight"))
+
+
+_TERMS = ", ".join(f"({lit(t)}, {lit(w.lower())}, {x}::DECIMAL(18, 6))" for t, w, x in TOPIC_LEXICON)
+SQL["topics_by_lexicon"] = f"""WITH l(topic, term, weight) AS (VALUES {_TERMS}),
+    w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS term FROM ({I.CHUNKS})),
+    s AS (SELECT doc_id, topic, sum(weight) AS weight FROM w JOIN l USING (term) GROUP BY ALL HAVING sum(weight) >= {LEAST_TOPIC}),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, topic) = 1)
+    SELECT DISTINCT d.doc_id, topic, round(weight::DOUBLE, 6) AS weight FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id"""
+
+# A length as its source declares it: missing for one document in seven, wrong for another.
+DECLARED = """CASE doc_id % 7 WHEN 3 THEN 'n/a' WHEN 5 THEN cast(n_chars + 40 AS string) ELSE cast(n_chars AS string) END"""
+
+
+def _length_rules(view):
+    declared = F.col("declared").try_cast("long")
+    return [("wrong_length", 0.4, declared != F.length(view.text)), ("long_text", 0.3, declared > 600)]
+
+
+LENGTH_SCORER = S.Scorer("declaredLength", "accuracy", _length_rules, lambda score, flags: F.lit(0.9),
+                         lambda score, flags, hits: F.array_join(flags, " and "), strict=True)
+
+
+def _declared(spark, sf):
+    return I.documents(spark, sf).select("doc_id", "source", "text", F.expr(DECLARED).alias("declared"))
+
+
+@query
+def scorer_errors(spark, sf):
+    """A scorer that fails on one document in seven gives error rows there, the other module's rows are whole."""
+    scores = S.score_all(_declared(spark, sf), [LENGTH_SCORER, "biasDetector"], ["doc_id"])
+    return S.complete_scores(scores, ["doc_id"]).select(
+        "doc_id", "module", F.round("problem_score", 6).alias("problem_score"), "confidence", F.array_join("flags", ", ").alias("flags"), "error")
+
+
+_DECLARED = f"""d AS (SELECT doc_id, source, length(coalesce(text, '')) AS n, lower(coalesce(text, '')) AS l, coalesce(text, '') AS text,
+    TRY_CAST({DECLARED.replace('AS string', 'AS VARCHAR')} AS BIGINT) AS declared FROM documents),
+    s AS (SELECT doc_id, source, CASE WHEN declared IS NOT NULL THEN if(declared <> n, 0.4::DOUBLE, 0) + if(declared > 600, 0.3::DOUBLE, 0) END AS score,
+      concat_ws(', ', if(declared <> n, 'wrong_length', NULL), if(declared > 600, 'long_text', NULL)) AS flags FROM d)"""
+SQL["scorer_errors"] = f"""WITH {_DECLARED},
+    b AS (SELECT doc_id, {' + '.join(f'(CASE WHEN {c} THEN {w}::DOUBLE ELSE 0::DOUBLE END)' for _, w, c in RULES['biasDetector'])} AS score,
+      concat_ws(', ', {', '.join(f'CASE WHEN {c} THEN {lit(f)} END' for f, _, c in RULES['biasDetector'])}) AS flags FROM d)
+    SELECT doc_id, 'declaredLength' AS module, round(coalesce(score, 0), 6) AS problem_score, if(score IS NULL, 0, 0.9::DOUBLE) AS confidence,
+      coalesce(flags, '') AS flags, if(score IS NULL, 'wrong_length: no result', NULL) AS error FROM s
+    UNION ALL SELECT doc_id, 'biasDetector', round(least(score, 1), 6), {V.BIAS_CONFIDENCE}::DOUBLE, flags, NULL FROM b"""
+
+
+@query
+def scorer_error_means(spark, sf):
+    """Means per source leave error rows out, in the long table and in the array of a chunk alike."""
+    rows = _declared(spark, sf)
+    long = R.summarize_page_modules(S.score_all(rows, [LENGTH_SCORER], ["doc_id", "source"]), ["source"], ["doc_id"])
+    chunk = R.summarize_chunk_arrays(S.with_scores(rows, [LENGTH_SCORER, "biasDetector"]), ["doc_id", "source"])
+    sure = chunk.groupBy("source").agg(F.count_if(F.col("confidence") == F.lit(V.BIAS_CONFIDENCE)).alias("n_failed"), F.count("*").alias("n_all"))
+    return long.select("source", F.round(F.col("problem_score") + 1e-10, 6).alias("problem_score"), "n_chunks").join(sure, "source", "full")
+
+
+SQL["scorer_error_means"] = f"""WITH {_DECLARED} SELECT source, round(avg(score) + 1e-10, 6) AS problem_score, nullif(count(score), 0) AS n_chunks,
+    count(*) FILTER (score IS NULL) AS n_failed, count(*) AS n_all FROM s GROUP BY source"""

@@ -10,12 +10,36 @@ def default_salts(df: DataFrame) -> int:
     return max(8, min(64, partitions // 32))
 
 
+#: Counters in a task's sketch of frequent keys, at least.
+TRACKED = 10_000
+
+
+def hot_keys(keys: DataFrame, on: list[str]) -> DataFrame:
+    """Hashes (`key_hash`) of the keys that own more rows than an even share of a
+    shuffle task: as many as there are shuffle tasks, at most.
+
+    One pass over the key columns: each task fills a sketch of frequent items of
+    fixed size, and the sketches meet in one row. Where the sketch names a key too
+    many or too few, that costs balance and never a row.
+    """
+    tasks = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tracked = min(1_000_000, max(TRACKED, 16 * tasks))
+    top = F.call_function("approx_top_k", F.xxhash64(*on), F.lit(min(tasks, tracked)), F.lit(tracked))
+    found = keys.agg(top.alias("top"), F.count(F.lit(1)).alias("n")).select("n", F.explode("top").alias("t"))
+    return found.where(F.col("t.count") * tasks > F.col("n")).select(F.col("t.item").alias("key_hash"))
+
+
 def salted_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int | None = None
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", salts: int | None = None, sketch: bool = False
 ) -> DataFrame:
     """Equi-join whose left rows of one key spread over `salts` tasks.
 
-    `right` should be narrow: each of its rows is repeated `salts` times. If
+    With `sketch`, only the hot keys of the left side are spread, and only their
+    right rows are repeated; the keys of the left side are read once more for it
+    (see hot_keys). Otherwise, and for streams, all keys are spread.
+
+    `right` should be narrow: each of its rows, or with `sketch` each row of a hot
+    key, is repeated `salts` times. If
     Spark's own size estimate lets it broadcast the right side, no row of the
     left side moves at all; otherwise a hot key is split instead of filling
     one task, and adaptive execution splits what is still too large.  Only
@@ -29,8 +53,17 @@ def salted_join(
     plain = [f.name for f in left.schema.fields if f.dataType.typeName() in
              ("long", "integer", "string", "timestamp", "double", "date", "short")]
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in plain]), F.lit(salts)).cast("int")
-    spread = left.withColumn("_salt", salt)
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    every = F.sequence(F.lit(0), F.lit(salts - 1))
+    # Equal keys of different types have different hashes.
+    alike = all(left.schema[c].dataType == right.schema[c].dataType for c in on)
+    if sketch and alike and not left.isStreaming:
+        hot = F.broadcast(hot_keys(left.select(*on), on).withColumn("_hot", F.lit(True)))  # one row a shuffle task, at most
+        marked = lambda df: df.withColumn("key_hash", F.xxhash64(*on)).join(hot, "key_hash", "left").drop("key_hash")
+        spread = marked(left).withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+        copies = marked(right).withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))).drop("_hot")
+    else:
+        spread = left.withColumn("_salt", salt)
+        copies = right.withColumn("_salt", F.explode(every))
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 

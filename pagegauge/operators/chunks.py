@@ -176,11 +176,15 @@ def with_preview(scores: DataFrame, chunks: DataFrame, key: list[str]) -> DataFr
     return joined.withColumn("text_preview", F.coalesce("text_preview", F.lit("")))
 
 
-def with_page_metadata(chunks: DataFrame, pages: DataFrame, on: str = "page_id") -> DataFrame:
-    """Fill url, title, domain, author and description of chunks from their page."""
+def with_page_metadata(chunks: DataFrame, pages: DataFrame, on: str = "page_id", sketch: bool = True) -> DataFrame:
+    """Fill url, title, domain, author and description of chunks from their page.
+
+    The ids of `chunks` are read once more to find pages with very many chunks;
+    without `sketch`, the pages are repeated for every chunk's salt instead.
+    """
     fields = [f for f in ("url", "title", "domain", "author", "description") if f in pages.columns]
     narrow = pages.select(on, *[F.col(f).alias(f"_page_{f}") for f in fields])
-    joined = salted_join(chunks, narrow, [on])
+    joined = salted_join(chunks, narrow, [on], sketch=sketch)
     filled = {
         f: F.coalesce(F.col(f), F.col(f"_page_{f}")) if f in chunks.columns else F.col(f"_page_{f}")
         for f in fields
@@ -188,7 +192,7 @@ def with_page_metadata(chunks: DataFrame, pages: DataFrame, on: str = "page_id")
     return joined.withColumns(filled).drop(*[f"_page_{f}" for f in fields])
 
 
-def chunks_of_pages(pages: DataFrame, chunks: DataFrame, chunk_key: list[str]) -> DataFrame:
+def chunks_of_pages(pages: DataFrame, chunks: DataFrame, chunk_key: list[str], sketch: bool = True) -> DataFrame:
     """Chunks of each page by page id or by URL: (page_id, chunk key), each pair once.
 
     Two equi-joins and a distinct; one join on "id or url" would compare every
@@ -196,9 +200,9 @@ def chunks_of_pages(pages: DataFrame, chunks: DataFrame, chunk_key: list[str]) -
     """
     ids = pages.select("page_id")
     urls = pages.select(F.col("page_id").alias("of_page"), "url").where("url is not null")
-    by_id = salted_join(chunks.select("page_id", *[c for c in chunk_key if c != "page_id"]), ids, ["page_id"], "inner")
+    by_id = salted_join(chunks.select("page_id", *[c for c in chunk_key if c != "page_id"]), ids, ["page_id"], "inner", sketch=sketch)
     by_id = by_id.withColumn("of_page", F.col("page_id"))
-    by_url = salted_join(chunks.select("url", *chunk_key), urls, ["url"], "inner").drop("url")
+    by_url = salted_join(chunks.select("url", *chunk_key), urls, ["url"], "inner", sketch=sketch).drop("url")
     columns = ["of_page", *chunk_key]
     return by_id.select(*columns).unionByName(by_url.select(*columns)).distinct()
 

@@ -106,10 +106,11 @@ def destinations(pages: DataFrame) -> DataFrame:
     return first_by(rows, ["dest_key"], ["dest_page_id"])
 
 
-def join_destinations(chunks: DataFrame, pages: DataFrame) -> DataFrame:
-    """Left join of chunks with column dest_url to the page it names."""
+def join_destinations(chunks: DataFrame, pages: DataFrame, sketch: bool = True) -> DataFrame:
+    """Left join of chunks with column dest_url to the page it names. With `sketch`,
+    only pages that very many chunks point to are repeated (see salted_join)."""
     keyed = chunks.withColumn("dest_key", U.url_key(F.col("dest_url")))
-    return salted_join(keyed, destinations(pages), ["dest_key"]).drop("dest_key")
+    return salted_join(keyed, destinations(pages), ["dest_key"], sketch=sketch).drop("dest_key")
 
 
 def unravel_clickbait(

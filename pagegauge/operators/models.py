@@ -68,19 +68,28 @@ def model_replies(prompts: DataFrame, load: Callable[[], Callable[[list[str]], l
     """Run the user's model over the prompts: key, reply, error.
 
     load() is called once per Python worker and returns a function from a list of
-    prompts to a list of replies. A failing batch gives rows with an error.
+    prompts to a list of replies. Where it fails on a batch, each prompt is tried by
+    itself, so that only the prompts that fail get an error.
     """
     none = F.lit(None).cast("string")
     schema = prompts.select(*key, none.alias("reply"), none.alias("error")).schema
 
     def run(batches: Iterator) -> Iterator:
         model = load()
+
+        def one(prompt: str) -> tuple[str | None, str | None]:
+            try:
+                return model([prompt])[0], None
+            except Exception as problem:  # noqa: BLE001 - becomes a row, the scores fall back
+                return None, str(problem)
+
         for batch in batches:
             out = batch[key].copy()
             try:
                 out["reply"], out["error"] = model(batch["prompt"].tolist()), None
-            except Exception as problem:  # noqa: BLE001 - becomes a row, the scores fall back
-                out["reply"], out["error"] = None, str(problem)
+            except Exception:  # noqa: BLE001 - each prompt's own error becomes a row
+                tried = [one(p) for p in batch["prompt"]]
+                out["reply"], out["error"] = [r for r, _ in tried], [e for _, e in tried]
             yield out
 
     return prompts.select(*key, "prompt").mapInPandas(run, schema)

@@ -93,7 +93,10 @@ def summarize_chunks(scores: DataFrame, key: list[str]) -> DataFrame:
 
 def summarize_chunk_arrays(chunks: DataFrame, key: list[str], scores: str = "scores") -> DataFrame:
     """The same summary for chunks that still hold their scores as an array: no shuffle."""
-    summary = chunks.select(*key, summary_of(F.col(scores)).alias("s")).select(*key, "s.*")
+    items = F.col(scores)
+    if "error" in chunks.schema[scores].dataType.elementType.names:
+        items = F.filter(items, lambda a: a["error"].isNull())
+    summary = chunks.select(*key, summary_of(items).alias("s")).select(*key, "s.*")
     return with_summary_text(summary)
 
 

@@ -47,6 +47,9 @@ class Scorer:
     extra_flags: Callable[[str], list[tuple[str, str]]] = lambda score: []
     # Weights without a flag: (weight, condition on the hits and the chunk).
     bonus: Callable[[ChunkView, dict], list[tuple[float, Column]]] = lambda view, hits: []
+    # A strict scorer fails on a chunk for which a condition is null: write conditions with
+    # try_ functions (try_cast, try_divide, try_to_timestamp, ...) over columns of the user's.
+    strict: bool = False
 
 
 SCORERS: dict[str, Scorer] = {}
@@ -294,6 +297,11 @@ def with_scores(
     """Add array column `into` with one struct per module; nothing is shuffled.
 
     Reads columns text, title, domain and links; absent ones count as empty.
+
+    With a strict scorer among the modules, the structs get a field `error`. Where
+    one of its conditions is null, error names the first such rule, and score,
+    confidence, explanation and metadata are null and flags empty; roll-ups leave
+    such rows out. Rules of other scorers count as not met where they are null.
     """
     wanted = list(SCORERS) if modules is None else modules
     scorers = [m if isinstance(m, Scorer) else SCORERS[m] for m in wanted]
@@ -315,7 +323,7 @@ def with_scores(
     for s in scorers:
         for flag, weight, cond in s.rules(view):
             name = f"_{s.module}_{flag}"
-            conditions.append(F.coalesce(cond, F.lit(False)).alias(name))
+            conditions.append((cond if s.strict else F.coalesce(cond, F.lit(False))).alias(name))
             names.setdefault(s.module, []).append((flag, weight, name))
     hit = prepared.select("*", *conditions)
 
@@ -327,7 +335,12 @@ def with_scores(
         hits = {flag: F.col(name) for flag, _, name in names[s.module]}
         for weight, cond in s.bonus(view, hits):
             total = total + F.when(cond, weight).otherwise(0.0)
-        scored.append(F.least(total, F.lit(1.0)).alias(f"_{s.module}_score"))
+        total = F.least(total, F.lit(1.0))
+        if s.strict:
+            failed = [F.when(F.col(name).isNull(), F.lit(f"{flag}: no result")) for flag, _, name in names[s.module]]
+            scored.append(F.coalesce(*failed).alias(f"_{s.module}_error"))
+            total = F.when(F.expr(" and ".join(f"{name} is not null" for _, _, name in names[s.module])), total)
+        scored.append(total.alias(f"_{s.module}_score"))
     totals = hit.select("*", *scored)
 
     flags = []
@@ -335,21 +348,27 @@ def with_scores(
         own = [f"if({name}, '{flag}', '')" for flag, _, name in names[s.module]]
         own += [f"if({cond}, '{flag}', '')" for cond, flag in s.extra_flags(f"_{s.module}_score")]
         # array_remove rather than a lambda filter keeps the projection in codegen.
-        flags.append(F.expr(f"array_remove(array({', '.join(own)}), '')").alias(f"_{s.module}_flags"))
+        own = f"array_remove(array({', '.join(own)}), '')"
+        if s.strict:
+            own = f"if(_{s.module}_error is null, {own}, cast(array() as array<string>))"
+        flags.append(F.expr(own).alias(f"_{s.module}_flags"))
     flagged = totals.select("*", *flags)
 
-    structs = []
+    structs, errors = [], any(s.strict for s in scorers)
     for s in scorers:
         score, flags = F.col(f"_{s.module}_score"), F.col(f"_{s.module}_flags")
         hits = {flag: F.col(name) for flag, _, name in names[s.module]}
+        error = F.col(f"_{s.module}_error") if s.strict else F.lit(None).cast("string")
+        worked = (lambda c: F.when(error.isNull(), c)) if s.strict else (lambda c: c)
         structs.append(F.struct(
             F.lit(s.module).alias("module"),
             F.lit(s.aspect).alias("aspect"),
             score.alias("problem_score"),
-            s.confidence(score, flags).alias("confidence"),
+            worked(s.confidence(score, flags)).alias("confidence"),
             flags.alias("flags"),
-            s.explanation(score, flags, hits).alias("explanation"),
-            s.metadata(hits).alias("metadata"),
+            worked(s.explanation(score, flags, hits)).alias("explanation"),
+            worked(s.metadata(hits)).alias("metadata"),
+            *([error.alias("error")] if errors else []),
         ))
     return flagged.select(*keep, F.array(*structs).alias(into))
 

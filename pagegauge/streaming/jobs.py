@@ -25,8 +25,17 @@ def analyze_stream(pages: DataFrame) -> DataFrame:
     return with_scores(content).select("page_id", "chunk_pos", F.inline_outer("scores"))
 
 
-def once_each(feedback: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop rows sent again: the same feedback_id within the delay."""
+def once_each(feedback: DataFrame, delay: str | None = None) -> DataFrame:
+    """Drop rows sent again: the same feedback_id at any time, or within the delay.
+
+    Without a delay the ledger of ids is the state of the stream: partitioned by the
+    hash of the id, asked only for the ids of a batch, compacted and restored by
+    Spark. It keeps every id, so run such a stream with RocksDB state
+    (spark.sql.streaming.stateStore.providerClass), which holds it on disk. No row is
+    too late. With a delay, ids are forgotten and late rows are dropped.
+    """
+    if delay is None:
+        return feedback.dropDuplicates(["feedback_id"])
     return feedback.withWatermark("created", delay).dropDuplicatesWithinWatermark(["feedback_id"])
 
 
@@ -80,10 +89,12 @@ def change_log_sink(out: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def feedback_stream(feedback: DataFrame, chunks: Callable[[], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Validate, link and store feedback from a stream; each feedback_id once."""
+def feedback_stream(
+    feedback: DataFrame, chunks: Callable[[], DataFrame], out: str, checkpoint: str, delay: str | None = None
+) -> StreamingQuery:
+    """Validate, link and store feedback from a stream; each feedback_id once (see once_each)."""
     return (
-        once_each(feedback).writeStream.foreachBatch(feedback_sink(chunks, out))
+        once_each(feedback, delay).writeStream.foreachBatch(feedback_sink(chunks, out))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagegauge.operators import scorers as S
+from pagegauge.operators import rollup as R, scorers as S, topics as T
 
 
 def scores(spark, text, title="", module=None, **more):
@@ -95,3 +95,38 @@ def test_errors_do_not_count(spark):
     summary = R.summarize_chunks(df, ["doc_id"]).first()
     assert summary.problem_score == 0.8 and summary.overall_risk == "very-high" and len(summary.flags) == 1
     assert R.nutrition_label(df.where("module = 'clickUnbait'"), ["doc_id"]).first().label == "No Data"
+
+
+# --- errors, topics -----------------------------------------------------------------
+
+def test_failing_rows_carry_an_error(spark):
+    share = lambda v: F.try_divide(F.col("hits"), F.col("total"))
+    strict = S.Scorer("share", "bias", lambda v: [("many", 0.5, share(v) > 0.5), ("dated", 0.3, F.try_to_timestamp(F.col("day")).isNotNull() | F.col("day").isNull())],
+                      lambda score, flags: F.lit(0.8), lambda score, flags, hits: F.array_join(flags, ","), strict=True)
+    rows = [(0, "x", 3, 4, "2024-01-01"), (1, "x", 1, 0, "2024-01-01"), (2, "x", 1, 4, "no day"), (3, None, None, 4, None), (4, "", 4, 4, "2024-13-01")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hits int, total int, day string")
+    got = {(r.doc_id, r.module): r for r in S.score_all(df, [strict, "biasDetector"]).collect()}
+    assert [got[i, "share"].error for i in range(5)] == [None, "many: no result", None, "many: no result", None]
+    assert [got[i, "share"].problem_score for i in range(5)] == [0.8, None, 0.0, None, 0.5]
+    assert got[1, "share"].flags == [] and got[1, "share"].confidence is None and got[0, "share"].flags == ["many", "dated"]
+    assert all(got[i, "biasDetector"].error is None and got[i, "biasDetector"].problem_score == 0 for i in range(5))
+    long = R.summarize_chunks(S.score_all(df, [strict, "biasDetector"]), ["doc_id"]).orderBy("doc_id").collect()
+    arrays = R.summarize_chunk_arrays(S.with_scores(df, [strict, "biasDetector"]), ["doc_id"]).orderBy("doc_id").collect()
+    assert [r.problem_score for r in long] == [r.problem_score for r in arrays] == [0.4, 0.0, 0.0, 0.0, 0.25]
+    module = R.summarize_page_modules(S.score_all(df.withColumn("p", F.lit(1)), [strict], ["p", "doc_id"]), ["p"], ["doc_id"]).first()
+    assert module.n_chunks == 3 and module.problem_score == pytest.approx(1.3 / 3)
+    filled = S.complete_scores(S.score_all(df, [strict]), ["doc_id"]).where("error is not null").collect()
+    assert len(filled) == 2 and all(r.problem_score == 0 and r.confidence == 0 for r in filled)
+    assert "error" not in S.score(df, "biasDetector").columns
+
+
+def test_topics(spark):
+    lexicon = spark.createDataFrame([("sea", "Boat", 1.0), ("sea", "wave", 0.5), ("air", "plane", 1.0), ("air", "wave", 0.5), (None, "boat", 9.0), ("zero", None, 1.0)],
+                                    "topic string, term string, weight double")
+    texts = ["A boat, a BOAT; a plane", "wave", "boat-plane", "nothing", None, "", "boats", "plane " * 30_000 + "boat", "wave wave"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumns({"topic_": F.lit("mine"), "weight": F.lit(1)})
+    got = {r.doc_id: (r.topic, r.weight) for r in T.topics(df, lexicon, ["doc_id"], 0.75).collect()}
+    assert got == {0: ("sea", 2.0), 1: (None, None), 2: ("air", 1.0), 3: (None, None), 4: (None, None), 5: (None, None), 6: (None, None),
+                   7: ("air", 30_000.0), 8: ("air", 1.0)}
+    assert T.topics(df, lexicon.limit(0), ["doc_id"]).where("topic is null").count() == 9
+    assert T.topics(df.limit(0), lexicon, ["doc_id"]).count() == 0

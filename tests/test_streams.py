@@ -58,6 +58,18 @@ def test_feedback_resent_after_restart(spark, tmp_path):
     assert [r.fingerprint for r in read("stubs").collect()] == ["new"]
 
 
+def test_feedback_resent_after_days(spark, tmp_path):
+    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    chunks = lambda: spark.createDataFrame([(4, "f")], "chunk_id long, fingerprint string")
+    day = 24 * 60
+    for i, rows in enumerate([[vote(1, 0), vote(2, 1)], [vote(3, 9 * day)], [vote(1, 0), vote(2, 16 * day), vote(4, 0), vote(3, 16 * day), vote(4, 0)]]):
+        put(spark, src, str(i), rows, FEEDBACK_SCHEMA)
+        J.feedback_stream(source(spark, src, FEEDBACK_SCHEMA), chunks, out, cp).awaitTermination()
+    read = spark.read.parquet(f"{out}/accepted").collect()
+    # Vote 4 is nine days late and counts; votes 1 to 3 came again.
+    assert sorted((r.feedback_id, r.created) for r in read) == [(1, at(0)), (2, at(1)), (3, at(9 * day)), (4, at(0))]
+
+
 def test_late_votes_are_dropped_and_minds_changed(spark, tmp_path):
     src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
     put(spark, src, "1", [vote(1, 0), vote(2, 5, applies=False), vote(3, 9, user="v")], FEEDBACK_SCHEMA)

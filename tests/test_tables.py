@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pagegauge.operators import feedback as B, models as M, rollup as R, search as Q, settings as G, store as D
 from pagegauge.functions import text as T
-from pagegauge.functions.joins import salted_join
+from pagegauge.functions.joins import hot_keys, salted_join
 
 # --- search -----------------------------------------------------------------------
 
@@ -252,6 +252,33 @@ def test_salted_join_equals_plain(spark):
         salted_join(left, right, ["k"], "full")
 
 
+def test_only_hot_keys_are_repeated(spark):
+    host = F.when(F.col("id") % 2 == 0, "hot").when(F.col("id") % 50 == 1, F.lit(None)).otherwise(F.concat(F.lit("h"), F.col("id")))
+    left = spark.range(4000).select(host.alias("host"), "id")
+    right = left.select("host").distinct().select("host", F.length("host").alias("v"))
+    hashes = [r[0] for r in hot_keys(left, ["host"]).collect()]
+    assert hashes == [spark.range(1).select(F.xxhash64(F.lit("hot"))).first()[0]]
+    assert hot_keys(left.limit(0), ["host"]).count() == 0
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a, b = salted_join(left, right, ["host"], how, 8, sketch=True), left.join(right, "host", how)
+        assert sorted(map(repr, a.select(*b.columns).collect())) == sorted(map(repr, b.collect()))
+    # Keys of different types would have different hashes; no row is lost.
+    whole = salted_join(left.selectExpr("cast(id % 3 as int) as k", "id"), spark.range(3).withColumnRenamed("id", "k"), ["k"], "inner", sketch=True)
+    assert whole.count() == 4000
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        met = salted_join(left, right, ["host"], "inner", 8, sketch=True).withColumn("task", F.spark_partition_id())
+        tasks = met.where("host = 'hot'").select("task").distinct().count()
+        plain = left.join(right, "host").withColumn("task", F.spark_partition_id()).where("host = 'hot'").select("task").distinct().count()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert plain == 1 and tasks > 2
+
+
 # --- models ---------------------------------------------------------------------
 
 
@@ -278,6 +305,20 @@ def test_failing_model_falls_back(spark):
     assert row.metadata["profanity"] == "1"
 
 
+def test_one_bad_prompt_spoils_no_other(spark):
+    docs = spark.createDataFrame([(i, "poison" if i == 3 else "damn") for i in range(6)], "doc_id int, text string").coalesce(1)
+
+    def load():
+        def run(prompts):
+            if any("poison" in p for p in prompts):
+                raise ValueError("bad prompt")
+            return ["score: 0.5"] * len(prompts)
+        return run
+
+    replies = M.model_replies(M.build_prompts(docs, "defuseRagebait", ["doc_id"]), load, ["doc_id"]).collect()
+    assert {r.doc_id: (r.reply, r.error) for r in replies} == {i: (None, "bad prompt") if i == 3 else ("score: 0.5", None) for i in range(6)}
+
+
 def test_models_get_and_give_whole_texts(spark):
     long, urls = "word " * 1000 + "end", [f"https://a{i}.example.org/" for i in range(9)]
     docs = spark.createDataFrame([(1, long, [(u, "") for u in urls])], "doc_id int, text string, links array<struct<url:string,text:string>>")
