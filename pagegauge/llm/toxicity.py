@@ -165,12 +165,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, ma
             rows = []
             for text in batch.column("text").to_pylist():
                 folded = fold(text)
-                hits = []
-                for start, end, word in matches(machine, folded)[:64 * MOST_PER_WORD]:
+                # All hits of a text; of equal ones (word and neighbours) no more than MOST_PER_WORD can count.
+                hits: Counter = Counter()
+                for start, end, word in matches(machine, folded):
                     before = re.search(r"[^\W_]+[ \n]$", folded[max(0, start - 30):start])
                     after = re.match(r"[ \n][^\W_]{1,30}(?![^\W_])", folded[end:end + 32])
-                    hits.append([word, (before[0] if before else "") + word, word + (after[0] if after else "")])
-                rows.append((words_in(folded), hits))
+                    hits[word, (before[0] if before else "") + word, word + (after[0] if after else "")] += 1
+                rows.append((words_in(folded), [list(h) for h, n in hits.items() for _ in range(min(n, MOST_PER_WORD))]))
             yield pa.RecordBatch.from_arrays([
                 batch.column("label"), pa.array([r[0] for r in rows], pa.int64()),
                 pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.string()))),

@@ -51,6 +51,13 @@ def test_toxicity(spark):
     assert toxicity.learn_lexicon(empty(spark), labels.limit(0)).weights == {}
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rows = [(i, "scum " * 500 + f"idiot number {i}" if i % 4 == 0 else f"plain words number {i}") for i in range(400)]
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(400)], "doc_id long, quality int, toxic int")
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert lexicon.weights.keys() >= {"scum", "idiot"}
+
+
 def test_quality(spark):
     rows = [(i, ("word and other words here " * 5) if i % 3 else "BUY!! NOW!! %%% " * 9) for i in range(300)]
     labels = [(i, int(i % 3 > 0), int(i % 6 == 1)) for i in range(300)]
@@ -199,7 +206,7 @@ def test_passages(spark):
     assert passages.repeated_passages(empty(spark)).count() == 0
 
 
-def test_passages_held_twice(spark):
+def test_equal_passages_held_twice(spark):
     rng = random.Random(63)
     fresh = lambda n: fresh_words(rng, n)
     shared, line = fresh(60), fresh(12)
@@ -207,7 +214,8 @@ def test_passages_held_twice(spark):
     got = passages.repeated_passages(docs(spark, *[" ".join(t) for t in texts])).collect()
     assert {(r.start, r.end, r.source_id, r.source_start) for r in got if r.doc_id == 1} == {(10, 70, 0, 82), (150, 210, 0, 82), (217, 277, 0, 82)}
     places = {p for r in got if r.doc_id == 3 for p in range(r.start, r.end)}
-    assert places == {*range(5, 485), *range(494, 566)}
+    # The nine words between lie inside one passage of similarity 0.8 or more.
+    assert places == {*range(5, 566)}
 
 
 def fresh_words(rng, n):
