@@ -21,9 +21,11 @@ from pyspark.sql import functions as F
 from .common import slices, small_batches, with_fields
 
 SPACE = "▁"
-#: Entries a worker remembers of words and of pairs in either of two generations: what is met again moves to the young one, and
-#: when that is full the old one goes. Bounds memory, changes no result.
+#: Words that a worker remembers in either of two generations: what is met again moves to the young one, and when that is
+#: full the old one goes. Bounds memory, changes no result.
 REMEMBERED = 250_000
+#: Pairs of tokens that a worker remembers before it starts anew (some 50 bytes each); changes no result.
+REMEMBERED_PAIRS = 1_000_000
 #: Longer words are encoded without being remembered.
 LONGEST_REMEMBERED = 48
 #: The worker's last encoder by the id of its vocabulary's broadcast: later tasks of the worker use what it remembers.
@@ -50,21 +52,22 @@ class Encoder:
     def __init__(self, vocabulary: dict) -> None:
         pieces, kinds = vocabulary["pieces"], vocabulary["kinds"]
         self.score = {p: s for p, s, k in zip(pieces, vocabulary["scores"], kinds) if k == "piece"}
-        self.ids = {p: [i] for i, (p, k) in enumerate(zip(pieces, kinds)) if k == "piece"}
-        self.byte_ids = {int(p[1:-1], 16): i for i, (p, k) in enumerate(zip(pieces, kinds)) if k == "byte"}
+        # Of a piece: its id as four bytes, and what it decodes to.
+        self.token = {p: (np.int32(i).tobytes(), p.replace(SPACE, " ").encode()) for i, (p, k) in enumerate(zip(pieces, kinds)) if k == "piece"}
+        self.byte_ids = {int(p[1:-1], 16): np.int32(i).tobytes() for i, (p, k) in enumerate(zip(pieces, kinds)) if k == "byte"}
         self.end = vocabulary["end"]
-        self.raw = [
-            p.replace(SPACE, " ").encode() if k == "piece" else bytes([int(p[1:-1], 16)]) if k == "byte" else b""
-            for p, k in zip(pieces, kinds)
-        ]
-        self.apart: dict[tuple[str, str], bool] = {}
+        # Of a piece: the tokens that were seen before it, and whether the two stay apart. How many pairs there are.
+        self.apart: list[dict[str, bool]] = []
+        self.pairs = 0
         # Of a chunk: its ids as bytes of four each, and what they decode to.
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.known_before: dict[str, tuple[bytes, bytes]] = {}
         self.automaton = ahocorasick.Automaton()
+        # Every prefix has one last token: where no longer piece is it, it is the last character, which needs no match.
         for p in self.score:
-            if self.merged(p) == [p]:
-                self.automaton.add_word(p, p)
+            if len(p) > 1 and self.merged(p) == [p]:
+                self.apart.append({})
+                self.automaton.add_word(p, (p, len(p), self.apart[-1]))
         self.automaton.make_automaton()
         # A space inside a piece only ever stands at its front, so a text can be cut before each run of spaces.
         cut = all(SPACE not in p.lstrip(SPACE) for p in self.score)
@@ -83,38 +86,50 @@ class Encoder:
                 return parts
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
 
-    def stays_apart(self, left: str, right: str) -> bool:
-        key = (left, right)
-        if key not in self.apart:
-            if len(self.apart) >= REMEMBERED:
-                self.apart.clear()
-            self.apart[key] = self.merged(left + right) == [left, right]
-        return self.apart[key]
-
-    def encode_chunk(self, text: str) -> list[int]:
-        last: list[str] = [""] * (len(text) + 1)
-        for end, piece in self.automaton.iter(text):
-            if not last[end + 1]:
-                before = last[end + 1 - len(piece)] if len(piece) <= end else ""
-                # A prefix that ends in a character without a match has that character as its last token.
-                if len(piece) <= end and not before:
-                    before = last[end + 1 - len(piece)] = text[end - len(piece)]
-                if not before or self.stays_apart(before, piece):
-                    last[end + 1] = piece
-        out: list[list[int]] = []
-        i = len(text)
-        while i:
-            piece = last[i] or text[i - 1]
-            out.append(self.ids.get(piece) or [self.byte_ids[b] for b in piece.encode()])
+    def stays_apart(self, left: str, right: str, known: dict[str, bool]) -> bool:
+        """Whether the two stay apart, remembered among the pairs of the right one."""
+        if self.pairs >= REMEMBERED_PAIRS:
+            for own in self.apart:
+                own.clear()
+            self.pairs = 0
+        self.pairs += 1
+        known[left] = found = self.merged(left + right) == [left, right]
+        return found
+
+    def spelled(self, character: str) -> tuple[bytes, bytes]:
+        """A character that is no piece, as its bytes."""
+        raw = character.encode()
+        return b"".join([self.byte_ids[b] for b in raw]), raw
+
+    def encode_chunk(self, text: str) -> tuple[bytes, bytes]:
+        """The ids of a chunk as bytes of four each, and what they decode to."""
+        last: list[str] = [""] * len(text)
+        for end, (piece, size, apart) in self.automaton.iter(text):
+            if not last[end]:
+                before = end - size
+                if before >= 0:
+                    left = last[before] or text[before]
+                    stays = apart.get(left)
+                    if stays is None:
+                        stays = self.stays_apart(left, piece, apart)
+                    if stays:
+                        last[end] = piece
+                else:
+                    last[end] = piece
+        out: list[tuple[bytes, bytes]] = []
+        i, token = len(text) - 1, self.token
+        while i >= 0:
+            piece = last[i] or text[i]
+            out.append(token.get(piece) or self.spelled(piece))
             i -= len(piece)
-        return [x for ids in reversed(out) for x in ids]
+        out.reverse()
+        return b"".join([ids for ids, _ in out]), b"".join([raw for _, raw in out])
 
     def chunk_result(self, chunk: str) -> tuple[bytes, bytes]:
         """A chunk's ids and what they decode to, remembered from earlier texts if it is short."""
         got = self.known_before.get(chunk)
         if got is None:
-            ids = self.encode_chunk(chunk)
-            got = np.array(ids, np.int32).tobytes(), b"".join(map(self.raw.__getitem__, ids))
+            got = self.encode_chunk(chunk)
         if len(chunk) <= LONGEST_REMEMBERED:
             if len(self.known) >= REMEMBERED:
                 self.known, self.known_before = {}, self.known
