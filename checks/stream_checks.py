@@ -10,11 +10,12 @@ from checks.oracle import SQL, lit
 from checks.page_checks import ARTICLE_TEXT
 from checks.oracle import BASE, RULES, u16  # noqa: F401
 from checks.queries import query
-from checks.table_checks import FB, OKAY, REASON, _KNOWN, _known_chunks
+from checks.table_checks import FB, OKAY, REASON, _KNOWN, _known_chunks, change_tables
 from pagegauge import fixed_values as V
 from pagegauge.operators.settings import shipped_rules  # noqa: F401
 from pagegauge.sources.tables import work_dir
 from pagegauge.streaming import jobs as J
+from pagegauge.streaming.changes import ChangeTable, change_stream
 
 
 def stream(spark, sf, name):
@@ -126,13 +127,22 @@ SQL["stream_new_ads"] = "SELECT DISTINCT user_id AS page_id, concat('/html/body/
 
 @query
 def stream_page_state(spark, sf):
-    """Views load a page, purchases complete it, other events are score updates."""
+    """Views load a page, purchases complete it, other events are score updates; in three batches, one third of the time
+    each, with a restart before each. No state is freed in that time."""
     kind = F.when(F.col("event_type") == "view", "load").when(F.col("event_type") == "purchase", "complete").otherwise("update")
-    events = stream(spark, sf, "events").select(
+    events = I.table(spark, sf, "events").select(
         F.col("user_id").alias("page_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"),
         (F.col("value") / 50).alias("score"))
-    states = J.newest_rows(finish(spark, J.page_state_stream(events), "stream_page_state", "update"), ["page_id"])
-    return states.select(
+    base = work_dir(spark, "stream_page_state")
+    first, last = events.select(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    part = F.floor((F.unix_micros("ts") - F.lit(first)) * 3 / F.lit(last - first + 1))
+    for i in range(3):
+        events.where(part == i).write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        J.page_summary_stream(source, f"{base}/summaries", f"{base}/checkpoint").awaitTermination()
+        states = J.page_state_stream(J.read_summaries(spark, f"{base}/summaries"), keep_ms=10 ** 12, idle_ms=10 ** 12)
+        found = J.run_available(states, f"{base}/states", f"{base}/states_checkpoint", "update", rocksdb=True)
+    return J.newest_rows(found, ["page_id"]).select(
         "page_id", "status", "neutralised", "n_updates", F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"))
 
 
@@ -171,3 +181,21 @@ def stream_config(spark, sf):
 
 
 SQL["stream_config"] = "SELECT page_id, page_id % 2 = 0 AS off_by_default FROM pages"
+
+
+@query
+def stream_changes(spark, sf):
+    """Orders change stored customers, in four batches that hold all times each and are merged by twos, then a batch that took
+    effect is handed over again."""
+    base, log = change_tables(spark, sf)
+    home = work_dir(spark, "stream_changes")
+    table = ChangeTable(f"{home}/table", ("id",), buckets=8, every=2)
+    table.create(base, log.schema["ts"].dataType)
+    log.repartition(4, "ts").write.parquet(f"{home}/in")
+    source = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    change_stream(source, table, f"{home}/checkpoint").awaitTermination()
+    table.sink()(log, 0)
+    return table.read(spark)
+
+
+SQL["stream_changes"] = SQL["apply_changes"]

@@ -224,8 +224,7 @@ SQL["list_view"] = f"""SELECT doc_id AS id, '-' AS url, coalesce(nullif(title, '
 OP = "CASE WHEN o_orderkey % 11 = 0 THEN 'delete' WHEN o_orderkey % 5 = 0 THEN 'insert' ELSE 'update' END"
 
 
-@query
-def apply_changes(spark, sf):
+def change_tables(spark, sf):
     base = I.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("note"))
     log = I.table(spark, sf, "orders").select(
@@ -233,7 +232,12 @@ def apply_changes(spark, sf):
         F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("new "), F.col("o_custkey").cast("string"))).alias("name"),
         F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).alias("amount"),
         F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderpriority")).alias("note"))
-    return D.apply_changes(base, log, ["id"])
+    return base, log
+
+
+@query
+def apply_changes(spark, sf):
+    return D.apply_changes(*change_tables(spark, sf), ["id"])
 
 
 _FIELDS = {"name": "CASE WHEN o_orderkey % 5 = 0 THEN concat('new ', o_custkey) END",

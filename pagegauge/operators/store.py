@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as ST
+from pyspark.sql import Column, DataFrame, functions as F, types as ST
 
 from pagegauge.functions.joins import first_by
 from pagegauge.functions.text import fingerprint
@@ -58,31 +58,51 @@ def apply_changes(
     a key with very many changes does not fill a task. `updated` is the time of
     the last change, null for untouched base rows.
     """
-    fields = [c for c in base.columns if c not in key and c != "updated"]
-    at = lambda rank, time: F.struct(F.lit(rank).alias("r"), time.alias("t"))
-    start = base.select(*key, *fields, F.lit("insert").alias("_op"), at(0, F.lit(None).cast(changes.schema[seq].dataType)).alias("_at"))
-    log = changes.select(
-        *key, *[F.col(f) if f in changes.columns else F.lit(None).cast(base.schema[f].dataType).alias(f) for f in fields],
-        F.col(op).alias("_op"), at(1, F.col(seq)).alias("_at"),
-    )
-    every = start.unionByName(log)
-    resets = F.col("_op").isin("insert", "delete")
-    reset_at = F.when(resets, F.col("_at"))
-    aggs = [
-        F.max(reset_at).alias("_reset"),
-        F.max_by(F.when(resets, F.col("_op")), reset_at).alias("_last"),
-        F.max(F.col("_at")).alias("_end"),
-    ]
-    for f in fields:
-        carried = F.col(f).isNotNull() & (F.col("_op") != "delete")
-        when = F.when(carried, F.col("_at"))
-        aggs += [F.max_by(F.when(carried, F.col(f)), when).alias(f), F.max(when).alias(f"_at_{f}")]
-    merged = every.groupBy(*key).agg(*aggs).where("_last = 'insert'")
-    return merged.select(
-        *key,
-        *[F.when(F.col(f"_at_{f}") >= F.col("_reset"), F.col(f)).alias(f) for f in fields],
-        F.col("_end.t").alias("updated"),
-    )
+    fields = item_fields(base, key)
+    return current_items(merge_states(base_states(base, key, changes.schema[seq].dataType).unionByName(
+        log_states(changes, base.schema, key, seq, op)), key, fields), key, fields)
+
+
+def item_fields(base: DataFrame, key: list[str]) -> list[str]:
+    """Fields of an item that changes can carry."""
+    return [c for c in base.columns if c not in key and c != "updated"]
+
+
+def _states(rows: DataFrame, key: list[str], fields: list[str], at: Column, op: Column) -> DataFrame:
+    resets = op.isin("insert", "delete")
+    carried = lambda f: F.col(f).isNotNull() & (op != "delete")
+    return rows.select(
+        *key, F.when(resets, at).alias("_reset"), F.when(resets, op).alias("_last"), at.alias("_end"),
+        *[F.when(carried(f), F.col(f)).alias(f) for f in fields], *[F.when(carried(f), at).alias(f"_at_{f}") for f in fields])
+
+
+def base_states(base: DataFrame, key: list[str], seq_type: ST.DataType) -> DataFrame:
+    """What the rows of a table say about their items: inserted before every change."""
+    at = F.struct(F.lit(0).alias("r"), F.lit(None).cast(seq_type).alias("t"))
+    return _states(base, key, item_fields(base, key), at, F.lit("insert"))
+
+
+def log_states(changes: DataFrame, base: ST.StructType, key: list[str], seq: str = "ts", op: str = "op") -> DataFrame:
+    """What the rows of a change log say about their items; `base` is the schema of the table."""
+    fields = [c for c in base.names if c not in key and c != "updated"]
+    rows = changes.select(
+        *key, *[F.col(f) if f in changes.columns else F.lit(None).cast(base[f].dataType).alias(f) for f in fields],
+        F.col(op).alias("_op"), F.struct(F.lit(1).alias("r"), F.col(seq).alias("t")).alias("_at"))
+    return _states(rows, key, fields, F.col("_at"), F.col("_op"))
+
+
+def merge_states(states: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """One state per item. States of parts of a log merge to the state of the whole log, in any order and grouping."""
+    aggs = [F.max("_reset").alias("_reset"), F.max_by("_last", "_reset").alias("_last"), F.max("_end").alias("_end")]
+    aggs += [F.max_by(f, f"_at_{f}").alias(f) for f in fields]
+    return states.groupBy(*key).agg(*aggs, *[F.max(f"_at_{f}").alias(f"_at_{f}") for f in fields])
+
+
+def current_items(states: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
+    """The items that exist, with the fields set since their last insert, and the time of their last change."""
+    return states.where("_last = 'insert'").select(
+        *key, *[F.when(F.col(f"_at_{f}") >= F.col("_reset"), F.col(f)).alias(f) for f in fields],
+        F.col("_end.t").alias("updated"))
 
 
 def merge_props(base: DataFrame, changes: DataFrame, key: list[str], seq: str = "ts") -> DataFrame:

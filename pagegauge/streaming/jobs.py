@@ -5,11 +5,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from pagegauge.fixed_values import NEUTRALISED_THRESHOLD
 from pagegauge.operators.chunks import partition_ads
@@ -81,14 +80,6 @@ def newest_rows(states: DataFrame, key: list[str]) -> DataFrame:
     return states.groupBy(*key).agg(F.max_by(F.struct(*rows), "batch_id").alias("_row")).select("_row.*")
 
 
-def change_log_sink(out: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function that keeps a change log, one folder per batch, so that a
-    batch run again replaces itself. store.apply_changes over the log gives the table."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-    return write
-
-
 def feedback_stream(
     feedback: DataFrame, chunks: Callable[[], DataFrame], out: str, checkpoint: str, delay: str | None = None
 ) -> StreamingQuery:
@@ -134,74 +125,134 @@ def with_config(read_bundles: Callable[[], DataFrame], bundle_id: str,
 
 # --- per-page state ------------------------------------------------------------
 
+PAGE_SUMMARY = ("page_id long, batch long, newest timestamp, loaded boolean, since timestamp, completed boolean, "
+                "neutralised long, n_updates long")
 PAGE_STATE = "page_id long, status string, neutralised long, n_updates long, since timestamp"
-KEPT_STATE = "status string, neutralised long, n_updates long, since_us long"
+KEPT_STATE = "status string, neutralised long, n_updates long, since timestamp, batch long, until long"
 KEEP_MS = 60_000
 # A page without a completion is forgotten a day after its newest event.
 IDLE_MS = 86_400_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
+def page_summaries(events: DataFrame) -> DataFrame:
+    """What the events of a batch do to each page, as one row: only aggregates by page, so no page's events are
+    gathered, however many they are.
 
-def _page_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """New state of one page after the events of a micro-batch; only the running
-    state is kept between batches, never the events."""
-    if state.hasTimedOut:
-        state.remove()
-        return
-    status, hits, updates, since = state.get if state.exists else ("idle", 0, 0, 0)
-    # A micro-batch is bounded by the source's limits per trigger; four small columns are held.
-    events = pd.concat(batches, ignore_index=True).sort_values(["ts", "event_id"], ignore_index=True)
-    newest = events["ts"].iloc[-1].value // 1_000_000
-    loads = events.index[events["kind"] == "load"]
-    if len(loads):
-        events = events.loc[loads[-1]:]
-        status, hits, updates, since = "analyzing", 0, 0, events["ts"].iloc[0].value // 1000
-    if status == "completed":
-        events = events.iloc[:0]
-    done = events["kind"].eq("complete").to_numpy()
-    if done.any():
-        events = events.iloc[: int(done.argmax())]
-        status = "completed"
-    counted = events[events["kind"].eq("update")]
-    hits += int((counted["score"] >= NEUTRALISED_THRESHOLD).sum())
-    updates += len(counted)
-    state.update((status, hits, updates, int(since)))
-    # Every call clears the time-out, so every call sets it anew.
-    keep = KEEP_MS if status == "completed" else IDLE_MS
-    state.setTimeoutTimestamp(max(newest + keep, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame({
-        "page_id": [key[0]], "status": [status], "neutralised": [hits], "n_updates": [updates],
-        "since": [pd.Timestamp(since, unit="us") if since else None],
-    })
-
-
-def page_state_stream(events: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Status of each page: a load starts it anew, updates count the chunks at or
-    above the threshold, completion ends it. The state is dropped in event time: a minute after the newest event
-    of a completed page, a day after that of any other.
-
-    Events: page_id, event_id, ts, kind (load, update, complete), score. One row
-    comes out per page and micro-batch.
+    A load starts a page anew, so events before the newest load have no effect; nor have those after the first
+    completion that follows. Events of equal time go by event_id.
     """
-    timed = events.select("page_id", "event_id", "ts", "kind", "score").withWatermark("ts", delay)
-    return timed.groupBy("page_id").applyInPandasWithState(
-        _page_state, PAGE_STATE, KEPT_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    timed = events.select("page_id", "kind", "score", F.struct("ts", "event_id").alias("at"))
+    starts = timed.groupBy("page_id").agg(
+        F.max("at.ts").alias("newest"), F.max(F.when(F.col("kind") == "load", F.col("at"))).alias("start"))
+    same = F.col("e.page_id").eqNullSafe(F.col("s.page_id"))
+    live = timed.alias("e").join(starts.alias("s"), same).where("s.start IS NULL OR e.at >= s.start").select("e.*", "newest", "start")
+    stops = live.groupBy("page_id").agg(F.min(F.when(F.col("kind") == "complete", F.col("at"))).alias("stop"))
+    counted = (F.col("kind") == "update") & (F.col("t.stop").isNull() | (F.col("e.at") < F.col("t.stop")))
+    return live.alias("e").join(stops.alias("t"), F.col("e.page_id").eqNullSafe(F.col("t.page_id"))).groupBy("e.page_id").agg(
+        F.max("newest").alias("newest"), F.max("start.ts").alias("since"), F.max("t.stop").isNotNull().alias("completed"),
+        F.count_if(counted & (F.col("score") >= NEUTRALISED_THRESHOLD)).alias("neutralised"),
+        F.count_if(counted).alias("n_updates")).withColumn("loaded", F.col("since").isNotNull())
+
+
+def page_summary_stream(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Summaries of every micro-batch under `out`, for page_state_stream. Events: page_id, event_id, ts, kind (load,
+    update, complete), score. A batch that is run again replaces its folder."""
+    order = [f.split()[0] for f in PAGE_SUMMARY.split(", ")]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = page_summaries(batch).withColumn("batch", F.lit(batch_id).cast("long"))
+        rows.select(*order).write.mode("overwrite").parquet(f"{out}/batch-{batch_id}")
+
+    return (events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def read_summaries(spark: SparkSession, out: str) -> DataFrame:
+    """The summaries under `out` as a stream."""
+    return spark.readStream.schema(PAGE_SUMMARY).parquet(f"{out}/batch-*")
+
+
+class PageState(StatefulProcessor):
+    """Folds summaries of a page into its state; a timer frees the state."""
+
+    def __init__(self, keep_ms: int, idle_ms: int) -> None:
+        self.keep_ms, self.idle_ms = keep_ms, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.page = handle.getValueState("page", KEPT_STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        status, hits, updates, since, batch, until = self.page.get() if self.page.exists() else ("idle", 0, 0, None, -1, None)
+        newest = None
+        # One row per micro-batch of events; one that was folded already came again.
+        for r in sorted(rows, key=lambda r: r.batch):
+            if r.batch <= batch:
+                continue
+            batch, newest = r.batch, r.newest if newest is None else max(newest, r.newest)
+            if r.loaded:
+                status, hits, updates, since = "analyzing", 0, 0, r.since
+            elif status == "completed":
+                continue
+            hits, updates = hits + r.neutralised, updates + r.n_updates
+            if r.completed:
+                status = "completed"
+        if newest is None:
+            return
+        if until is not None:
+            self.handle.deleteTimer(until)
+        keep = self.keep_ms if status == "completed" else self.idle_ms
+        until = max(int(newest.timestamp() * 1000) + keep, timerValues.getCurrentWatermarkInMs() + 1)
+        self.handle.registerTimer(until)
+        self.page.update((status, hits, updates, since, batch, until))
+        yield Row(page_id=key[0], status=status, neutralised=hits, n_updates=updates, since=since)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        self.page.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def page_state_stream(summaries: DataFrame, delay: str = "10 minutes", keep_ms: int = KEEP_MS, idle_ms: int = IDLE_MS) -> DataFrame:
+    """Status of each page: a load starts it anew, updates count the chunks at or above the threshold, completion ends
+    it. Batches count in their order. The state is freed by a timer in event time: keep_ms after the newest event of a
+    completed page, idle_ms after that of any other. A summary is late when the newest event in it is.
+
+    One row comes out per page and micro-batch. Needs RocksDB state: run_available(..., rocksdb=True).
+    """
+    return summaries.withWatermark("newest", delay).groupBy("page_id").transformWithState(
+        PageState(keep_ms, idle_ms), PAGE_STATE, "update", "eventtime")
 
 
 # --- running -----------------------------------------------------------------------
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process what is there, write it as parquet and read it back."""
+def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append", rocksdb: bool = False) -> DataFrame:
+    """Process what is there, write it as parquet and read it back. With `rocksdb` this query's state is held there,
+    whatever the session names for others."""
     spark: SparkSession = stream.sparkSession
-    if mode == "append":
-        query = (
-            stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-            .outputMode("append").trigger(availableNow=True).start())
-    else:
-        def write(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
-        query = (
-            stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-            .outputMode(mode).trigger(availableNow=True).start())
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    if rocksdb:
+        spark.conf.set(setting, ROCKSDB)
+    try:
+        if mode == "append":
+            query = (
+                stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+                .outputMode("append").trigger(availableNow=True).start())
+        else:
+            def write(batch: DataFrame, batch_id: int) -> None:
+                batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+            query = (
+                stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+                .outputMode(mode).trigger(availableNow=True).start())
+    finally:
+        if rocksdb and before is None:
+            spark.conf.unset(setting)
+        elif rocksdb:
+            spark.conf.set(setting, before)
     query.awaitTermination()
     if query.exception() is not None:
         raise query.exception()

@@ -1,10 +1,13 @@
 """Streams over files that arrive one after the other, with restarts."""
 
 import datetime as dt
+import random
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as ST
 
+from pagegauge.operators import store as D
 from pagegauge.streaming import jobs as J
+from pagegauge.streaming.changes import ChangeTable
 from pagegauge.operators.feedback import FEEDBACK_SCHEMA
 
 T0 = dt.datetime(2024, 1, 1, 12)
@@ -25,19 +28,99 @@ def source(spark, path, schema):
 EVENTS = "event_id long, page_id long, ts timestamp, kind string, score double"
 
 
+def page_states(spark, path, **kept):
+    """The newest state of each page after what has arrived under path/in."""
+    J.page_summary_stream(source(spark, f"{path}/in", EVENTS), f"{path}/sums", f"{path}/cp").awaitTermination()
+    states = J.page_state_stream(J.read_summaries(spark, f"{path}/sums"), **kept)
+    found = J.run_available(states, f"{path}/out", f"{path}/cp2", "update", rocksdb=True)
+    return {r.page_id: (r.status, r.neutralised, r.n_updates) for r in J.newest_rows(found, ["page_id"]).collect()}
+
+
 def test_page_state_over_batches(spark, tmp_path):
-    src, out, cp = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    src = str(tmp_path / "in")
     put(spark, src, "1", [(1, 7, at(0), "load", None), (3, 7, at(2), "update", 0.1), (2, 7, at(1), "update", 0.9), (9, 8, at(0), "update", 0.5)], EVENTS)
-    run = lambda: J.run_available(J.page_state_stream(source(spark, src, EVENTS)), out, cp, "update")
-    first = {r.page_id: (r.status, r.neutralised, r.n_updates) for r in run().collect()}
-    assert first == {7: ("analyzing", 1, 2), 8: ("idle", 1, 1)}
+    assert page_states(spark, tmp_path) == {7: ("analyzing", 1, 2), 8: ("idle", 1, 1)}
     # A restart goes on from the checkpoint: new events only, old state kept.
     put(spark, src, "2", [(4, 7, at(3), "update", 0.4), (5, 7, at(4), "complete", None), (6, 7, at(5), "update", 1.0)], EVENTS)
-    after = [r for r in J.newest_rows(run(), ["page_id"]).collect() if r.page_id == 7]
-    assert [(r.status, r.neutralised, r.n_updates) for r in after] == [("completed", 2, 3)]
+    assert page_states(spark, tmp_path)[7] == ("completed", 2, 3)
     # A reload starts over.
     put(spark, src, "3", [(7, 7, at(6), "load", None), (8, 7, at(7), "update", 0.1)], EVENTS)
-    assert [(r.status, r.neutralised, r.n_updates) for r in J.newest_rows(run(), ["page_id"]).collect() if r.page_id == 7] == [("analyzing", 0, 1)]
+    assert page_states(spark, tmp_path)[7] == ("analyzing", 0, 1)
+
+
+def test_page_state_is_freed(spark, tmp_path):
+    src, kept = str(tmp_path / "in"), {"keep_ms": 60_000, "idle_ms": 3_600_000}
+    put(spark, src, "1", [(1, 7, at(0), "load", None), (2, 7, at(1), "complete", None), (3, 8, at(1), "update", 0.9), (4, 9, at(1), "update", 0.9)], EVENTS)
+    page_states(spark, tmp_path, **kept)
+    # The newest event moves the watermark past the hour of pages 8 and 9 and the minute of page 7.
+    put(spark, src, "2", [(5, 1, at(200), "update", 0.1)], EVENTS)
+    page_states(spark, tmp_path, **kept)
+    # All begin anew, though page 7 had been completed, and page 8 had an update.
+    put(spark, src, "3", [(6, 7, at(201), "update", 0.9), (7, 8, at(201), "update", 0.1)], EVENTS)
+    after = page_states(spark, tmp_path, **kept)
+    assert after[7] == ("idle", 1, 1) and after[8] == ("idle", 0, 1) and after[9] == ("idle", 1, 1)
+
+
+def test_page_summaries_against_plain_python(spark):
+    rnd = random.Random(5)
+    rows = [(i, rnd.randrange(6) or None, at(rnd.randrange(30)), rnd.choice(["load", "update", "update", "update", "complete", None]), rnd.choice([None, 0.1, 0.4, 0.9]))
+            for i in range(400)]
+    want = {}
+    for page in {r[1] for r in rows}:
+        loaded, done, hits, n = False, False, 0, 0
+        for r in sorted((r for r in rows if r[1] == page), key=lambda r: (r[2], r[0])):
+            if r[3] == "load":
+                loaded, done, hits, n = True, False, 0, 0
+            elif r[3] == "complete":
+                done = True
+            elif r[3] == "update" and not done:
+                n, hits = n + 1, hits + (r[4] is not None and r[4] >= 0.4)
+        want[page] = (loaded, done, hits, n)
+    got = J.page_summaries(spark.createDataFrame(rows, EVENTS)).collect()
+    assert {r.page_id: (r.loaded, r.completed, r.neutralised, r.n_updates) for r in got} == want
+    assert J.page_summaries(spark.createDataFrame([], EVENTS)).count() == 0
+
+
+CHANGES = "id long, op string, ts long, name string, n int"
+
+
+def test_changes_over_batches(spark, tmp_path):
+    rnd = random.Random(3)
+    base = spark.createDataFrame([(i, f"b{i}", i) for i in range(20)], "id long, name string, n int")
+    log = [(rnd.choice([None, *range(30)]), rnd.choice(["insert", "update", "update", "delete"]), t, rnd.choice([None, f"v{t}"]), rnd.choice([None, t]))
+           for t in range(300)]
+    rnd.shuffle(log)
+    table = ChangeTable(str(tmp_path / "t"), ("id",), buckets=4, every=3)
+    table.create(base, ST.LongType())
+    rows = lambda df: sorted(map(tuple, df.select("id", "name", "n", "updated").collect()), key=str)
+    assert rows(table.read(spark)) == sorted(((i, f"b{i}", i, None) for i in range(20)), key=str)
+    sink, parts = table.sink(), [log[i::7] for i in range(7)]
+    for i, part in enumerate(parts):
+        batch = spark.createDataFrame(part, CHANGES)
+        sink(batch, i)
+        want = D.apply_changes(base, spark.createDataFrame([r for p in parts[:i + 1] for r in p], CHANGES), ["id"])
+        assert rows(table.read(spark)) == rows(want)
+        # Run again, it changes nothing.
+        sink(batch, i)
+        assert rows(table.read(spark)) == rows(want)
+    # Two merges in seven batches, and one batch of log left to read.
+    assert sorted(p.name for p in (tmp_path / "t" / "snapshot").iterdir()) == ["version=-1", "version=2", "version=5"]
+
+
+def test_a_batch_without_manifest_has_no_effect(spark, tmp_path):
+    base = spark.createDataFrame([], "id long, name string, n int")
+    table = ChangeTable(str(tmp_path / "t"), ("id",), buckets=4, every=1)
+    table.create(base, ST.LongType())
+    assert table.read(spark).count() == 0
+    table.sink()(spark.createDataFrame([(1, "insert", 1, "a", 1), (2, "insert", 1, "b", 2)], CHANGES), 0)
+    # A batch that was ended after its snapshot, before its manifest.
+    (tmp_path / "t" / "snapshot" / "version=1").mkdir()
+    assert [r.id for r in table.read(spark).orderBy("id").collect()] == [1, 2]
+    table.sink()(spark.createDataFrame([(1, "delete", 2, None, None)], CHANGES), 1)
+    assert [r.id for r in table.read(spark).collect()] == [2]
+    # Untouched buckets stay at their version; an empty batch touches none.
+    table.sink()(spark.createDataFrame([], CHANGES), 2)
+    assert [r.id for r in table.read(spark).collect()] == [2]
 
 
 def vote(i, minute, applies=True, user="u", fp="f", aspect="bias"):
