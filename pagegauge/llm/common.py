@@ -45,9 +45,14 @@ def discard(*tables: DataFrame) -> None:
         jvm = t.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(t.stored_at)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        free(tables[0].sparkSession)
+
+
+def free(spark: SparkSession) -> None:
+    """Let Spark free the shuffle files of finished steps."""
     gc.collect()
-    for t in tables[:1]:
-        t.sparkSession._jvm.System.gc()
+    spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, saved, slices, small_batches
+from .common import discard, free, saved, slices, small_batches
 from .components import connected
 from .decontaminate import grams
 
@@ -34,6 +35,8 @@ RUN, LOCAL, FREQUENT = 1_000_000, 8, 1 << 17
 REMEMBERED = 200_000
 #: Bits that tell which documents a set is wanted of (4 MB at most, however many they are); changes no result.
 MARKS = 1 << 25
+#: Slices of the tokens that are exchanged one after the other, so that the shuffle files of one are on disk at a time.
+SLICES = 4
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _known: dict[bytes, int] = {}
 
@@ -235,29 +238,30 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, text: str
     small_batches(docs.sparkSession)
     frequent, counts = frequent_tokens(docs, text, n)
     sent = docs.sparkSession.sparkContext.broadcast((frequent, counts))
+    slices_of_first = [f"first_{i}" for i in range(SLICES)]
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, many = sent.value
         for batch in slices(batches, "text"):
-            sizes, names, firsts = [], [], []
+            sizes, names, firsts = [], [], [[] for _ in range(SLICES)]
             for x in batch.column("text").to_pylist():
                 own = shingles(x, n)
                 sizes.append(len(own))
                 names.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                firsts.append(first_tokens(own, percent, often, many).view(np.int64))
+                first = first_tokens(own, percent, often, many)
+                for i in range(SLICES):
+                    firsts[i].append(first[first % SLICES == i].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(firsts, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "name", "first"])
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), *(pa.array(f, pa.list_(pa.int64())) for f in firsts)],
+                names=["doc_id", "n", "name", *slices_of_first])
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sets = saved(texts.mapInArrow(to_sets, "doc_id long, n long, name binary, first array<long>"), "sets")
-    reps = saved(sets.where("n > 0 and doc_id is not null").groupBy("name").agg(
-        F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.any_value("first").alias("first")), "reps")
-    # The first tokens are in reps now; of the rest of sets the result needs little.
+    sets = saved(texts.mapInArrow(to_sets, "doc_id long, n long, name binary, " + ", ".join(f"{c} array<long>" for c in slices_of_first)), "sets")
+    names = saved(sets.where("n > 0 and doc_id is not null").groupBy("name").agg(
+        F.min("doc_id").alias("rep"), F.max("n").alias("n")), "names")
+    # Of sets the result needs little, once the postings are made.
     narrow = saved(sets.select("doc_id", "n", "name"), "rows")
-    names = saved(reps.select("name", "rep"), "names")
-    discard(sets)
-    links = similar(texts, reps, n, percent)
+    links = similar(texts, sets, names, n, percent)
     # A document in several rows joins the nodes of its texts.
     found = connected(links)
     discard(links)
@@ -267,13 +271,18 @@ def jaccard_components(docs: DataFrame, n: int = 4, percent: int = 85, text: str
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def similar(texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links (a, b) between representatives that connect whatever similar sets connect: a saved table. Deletes reps, as
+def similar(texts: DataFrame, sets: DataFrame, names: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) between representatives that connect whatever similar sets connect: a saved table. Deletes sets, as
     what follows needs its postings only."""
-    postings = reps.select(F.explode("first").alias("token"), "rep", "n")
-    shared = postings.groupBy("token").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).where("lead <> other").drop("other")
-    postings = saved(postings.join(shared, "token"), "postings")
-    discard(reps)
+    parts = []
+    for i in range(SLICES):
+        one = sets.groupBy("name", F.col("doc_id").alias("rep")).agg(F.any_value(f"first_{i}").alias("first")).join(names, ["name", "rep"])
+        own = one.select(F.explode("first").alias("token"), "rep", "n")
+        shared = own.groupBy("token").agg(F.min("rep").alias("lead"), F.max("rep").alias("other")).where("lead <> other").drop("other")
+        parts.append(saved(own.join(shared, "token"), "postings"))
+        free(sets.sparkSession)
+    postings = reduce(DataFrame.unionByName, parts)
+    discard(sets)
 
     # A set with a link shares so many first tokens at least with some other set; its family is the lead that most of them have.
     by_lead = postings.groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("shared"), F.min("n").alias("least"), F.max("n").alias("n"))
@@ -310,7 +319,7 @@ def similar(texts: DataFrame, reps: DataFrame, n: int, percent: int) -> DataFram
         F.min("family").alias("family"), F.min("alone").alias("alone"))
     about = saved(about, "about")
     cells = saved(postings.select("token", "rep").join(members.select("rep", "gid"), "rep").select("token", "rep", "gid"), "cells")
-    discard(postings)
+    discard(*parts)
     matrix = cells.select("token", "gid").distinct().join(about, "gid")
     x, y = matrix.alias("x"), matrix.alias("y")
     differ = (F.col("x.first") != F.col("x.last")) | (F.col("y.first") != F.col("y.last")) | (F.col("x.first") != F.col("y.first"))
