@@ -36,5 +36,16 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id: list(r.ids) for r in kept[4]} == {i: library.encode(r.text or "", add_eos=True) for i, r in texts.items()}
 
 
+def test_near_copies_with_repeated_ids(spark):
+    a, b, d = (" ".join(f"{c}{i}" for i in range(40)) for c in "abd")
+    rows = [(1, a, 1), (2, a, 1), (3, b, 1), (3, d, 1), (3, d, 1), (3, a, 1), (None, a, 1), (5, None, 1), (5, "", 1), (6, None, None), (6, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
+    kept = corpus_pipeline.near_copies_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    # Texts of one id are judged apart: only the copy of document 1 goes; equal rows are one; null ids stay.
+    want = [(1, a), (3, b), (3, d), (None, a), (5, None), (5, ""), (6, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+
+
 def test_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
