@@ -26,15 +26,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near copies, once; rows with a null id stay."""
-    groups = jaccard.jaccard_components(docs, SHINGLE, PERCENT)
-    found = saved(groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("component_id").alias("group")), "groups")
-    copies, again = found.where("doc_id <> group").select("doc_id"), found.where("doc_id = group and n > 1").select("doc_id")
-    kept = docs.join(copies, "doc_id", "left_anti")
+    """Keep the smallest doc_id of each group of near copies, once; rows with a null id stay.
+
+    Where one doc_id stands in rows of different texts, each text is judged by itself: one of them (the smallest hash)
+    goes by the doc_id, the others by numbers beyond it, so they stay unless they copy another document. Rows equal in
+    doc_id and text are one.
+    """
+    digest = F.xxhash64("text")
+    again = saved(docs.where("doc_id is not null").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(digest).alias("least")).where("n > 1").select("doc_id", "least"), "again")
+    if again.isEmpty():
+        node, numbered = F.col("doc_id"), docs.select("doc_id", "text", F.struct("*").alias("row"))
+    else:
+        other = F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2)
+        node = F.when(F.col("least").isNull() | (digest == F.col("least")), F.col("doc_id")).otherwise(other)
+        rows = docs.select("doc_id", "text", F.struct("*").alias("row"))
+        numbered = rows.join(again, "doc_id", "left")
+    nodes = numbered.select(node.cast("long").alias("node"), "text", "row")
+    groups = saved(jaccard.jaccard_components(nodes, SHINGLE, PERCENT, doc_id="node"), "groups")
+    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("node")).distinct()
+    kept = nodes.join(copies, "node", "left_anti")
     if not again.isEmpty():
-        once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(once)
-    return kept.select(*docs.columns)
+        more = again.select(F.col("doc_id").alias("id"))
+        many = kept.join(more, F.col("row.doc_id") == F.col("id"), "left_semi").dropDuplicates(["node"])
+        kept = kept.join(more, F.col("row.doc_id") == F.col("id"), "left_anti").unionByName(many)
+    return kept.select("row.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
