@@ -20,7 +20,8 @@ from pagegauge.streaming.changes import ChangeTable, change_stream
 
 def stream(spark, sf, name):
     schema = I.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    # A pattern names one file as well as a folder of files.
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}.parquet}}")
 
 
 def finish(spark, df, name, mode="append"):

@@ -191,3 +191,12 @@ def test_config_is_read_per_batch(spark, tmp_path):
         run(spark.range(1), i)
     assert seen == [1, 1]
     assert F is not None
+
+
+def test_streams_read_a_table_of_several_files(spark, tmp_path):
+    from checks.stream_checks import stream_config
+    pages = spark.createDataFrame([(i, f"https://h{i}.example.org/") for i in range(12)], "page_id long, url string")
+    pages.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.range(3).selectExpr("cast(id as int) as r_regionkey").write.parquet(f"{tmp_path}/region.parquet")
+    rows = stream_config(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.off_by_default) for r in rows) == [(i, i % 2 == 0) for i in range(12)]
