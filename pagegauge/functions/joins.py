@@ -51,7 +51,7 @@ def salted_join(
         raise ValueError(f"a {how} join cannot be salted on the left")
     # Structs and maps cannot all be hashed, so the salt comes from plain columns.
     plain = [f.name for f in left.schema.fields if f.dataType.typeName() in
-             ("long", "integer", "string", "timestamp", "double", "date", "short")]
+             ("long", "integer", "string", "binary", "timestamp", "double", "date", "short")]
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in plain]), F.lit(salts)).cast("int")
     every = F.sequence(F.lit(0), F.lit(salts - 1))
     # Equal keys of different types have different hashes.

@@ -189,3 +189,26 @@ def test_title_target(spark):
     assert pick(["zzz"], "The title", ["x", "So: the title"]) == ("heading", 1)
     assert pick(["no", "some long link"], "The title", ["x"]) == ("link", 1)
     assert pick(["no"], "The title") is None
+
+
+def test_exact_matches_repeat_no_verdict(spark):
+    known = facts(spark, ("Water is a liquid thing", ["true"]), ("Ice is a solid thing", ["false"]))
+    found = spark.createDataFrame([(i, 0, "water is  a liquid thing" if i % 3 else "steam") for i in range(60)], "doc_id long, claim_pos int, claim string")
+    matched = C.match_fact_checks(found, known)
+    assert "explode([0,1" not in matched._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.fact_id, r.rating) for r in matched.collect()) == [(i, 0 if i % 3 else None, 1.0 if i % 3 else None) for i in range(60)]
+    report = C.fact_check_report(found, known, ["doc_id"])
+    assert "explode([0,1" not in report._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.n_claims, r.rating) for r in report.collect()) == [(20, "none found"), (40, "true")]
+
+
+def test_texts_of_unknown_words_are_not_posted(spark):
+    known = spark.createDataFrame([("a b c d",)], "claim_key string")
+    asked = spark.createDataFrame([("a b c x",), ("a b u v x y",)], "claim_key string")
+    words = lambda df: df.select(
+        F.unhex(F.md5("claim_key")).alias("id"), C.word_set(F.col("claim_key")).alias("held")).select(
+        "id", F.size("held").alias("n"), C.word_signature("held").alias("signature"), F.explode("held").alias("word"))
+    ranks = words(known).groupBy("word").agg(F.count("*").alias("freq"))
+    posted = C.prefix_postings(words(asked), ranks, 0.6).collect()
+    assert [(r.n, r.pos, r.word) for r in posted] == [(4, 2, "a")]
+    assert [(r.claim_key, r.similarity) for r in C.similar_texts(asked, known, 0.6).collect()] == [("a b c x", 0.6)]

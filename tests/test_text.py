@@ -1,3 +1,5 @@
+import random
+
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -88,3 +90,12 @@ def test_urls(spark):
     assert one(spark, U.same_page(F.lit("https://a.org/x?1"), F.lit("https://A.org/x#2"))) is True
     assert one(spark, U.is_platform_host(F.lit("https://m.facebook.com/"))) is True
     assert one(spark, U.is_platform_host(F.lit("https://notfacebook.com/"))) is False
+
+
+def test_collapse_space_equals_replacing_every_run(spark):
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(["a", "b", " ", " ", "\n", "\t", "\u00a0", "\u3000", "\ufeff"], k=rng.randrange(12))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = T.js_trim(F.regexp_replace("t", T.SPACE_CLASS + "+", " "))
+    assert df.where(T.collapse_space(F.col("t")) != plain).count() == 0
+    assert " " not in T.SPACE_RUN.split("]")[0]  # a single space is left as it is
