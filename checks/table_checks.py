@@ -162,29 +162,48 @@ def search_prop(spark, sf):
 SQL["search_prop"] = "SELECT event_id FROM events WHERE event_type = 'click' AND props->>'$.k' = '7'"
 
 
+WHOLE = 1_000_000_000_000
+
+
 @query
 def saved_searches(spark, sf):
-    """Saved searches matched against all documents: part names ask for any of their words, whole texts of documents for all
-    of theirs in their language."""
+    """Saved searches matched against all documents. The first two words of part names and of texts are sought with English,
+    any of them (even ids) or all; of whole part names any word is sought, of whole texts all words in their language."""
+    docs, parts = I.chunks(spark, sf), I.table(spark, sf, "part")
+    names = parts.select(F.col("p_partkey").alias("query_id"), F.split(F.lower("p_name"), " ").alias("w"))
+    words = docs.select((F.col("doc_id") + 1_000_000).alias("query_id"), F.split(F.lower(T.collapse_space(F.col("text"))), " ").alias("w"))
+    op = F.when(F.col("query_id") % 2 == 0, " OR ").otherwise(" AND ")
+    two = F.transform(F.slice("w", 1, 2), lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
+    heads = names.unionByName(words).select(
+        "query_id", F.concat_ws("", F.get(two, F.lit(0)), op, F.get(two, F.lit(1)), op, F.lit("lang:en")).alias("query"))
     clean = lambda c: F.array_remove(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), "")
-    docs = I.chunks(spark, sf)
-    any_of = I.table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.array_join(clean(F.col("p_name")), " OR ").alias("query"))
+    any_of = parts.select((F.col("p_partkey") + WHOLE).alias("query_id"), F.array_join(clean(F.col("p_name")), " OR ").alias("query"))
     all_of = docs.select(
-        (F.col("doc_id") + 1_000_000).alias("query_id"),
+        (F.col("doc_id") + 2 * WHOLE).alias("query_id"),
         F.concat_ws(" AND ", clean(F.col("text")), F.concat(F.lit("lang:"), "lang")).alias("query"))
-    hits = Q.match_saved_searches(docs, any_of.unionByName(all_of), ["doc_id"], "text", ["lang"])
-    return hits.groupBy("query_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+    hits = Q.match_saved_searches(docs, heads.unionByName(any_of).unionByName(all_of), ["doc_id"], "text", ["lang"], totals=True)
+    return hits.groupBy("query_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
 
 
+_BAG = "list_distinct(list_append(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), concat('lang:', lang)))"
+_CLEANED = "regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]', '', 'g')"
 _WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"
-SQL["saved_searches"] = f"""WITH bags AS (
-      SELECT doc_id, list_append({_WORDS.format('text')}, concat('lang:', lang)) AS bag FROM ({I.CHUNKS})),
+SQL["saved_searches"] = f"""WITH docs AS ({I.CHUNKS}),
+    q AS (SELECT p_partkey AS query_id, string_split(lower(p_name), ' ') AS w FROM part
+      UNION ALL SELECT doc_id + 1000000, string_split(lower({flat('text')}), ' ') FROM docs),
+    t AS (SELECT query_id, list_distinct(list_filter([{_CLEANED.format("coalesce(w[1], '')")}, {_CLEANED.format("coalesce(w[2], '')")}, 'lang:en'],
+      lambda x: x <> '')) AS terms FROM q),
+    bag AS (SELECT doc_id, unnest({_BAG}) AS word FROM docs),
+    heads AS (SELECT query_id, doc_id, count(*) AS n, any_value(len(terms)) AS n_terms FROM (SELECT query_id, terms, unnest(terms) AS word FROM t) u
+      JOIN bag USING (word) GROUP BY query_id, doc_id),
+    bags AS (SELECT doc_id, list_append({_WORDS.format('text')}, concat('lang:', lang)) AS bag FROM docs),
     posted AS (SELECT doc_id, unnest(bag) AS word FROM bags),
     often AS (SELECT word, count(*) AS n FROM posted GROUP BY word),
     rarest AS (SELECT doc_id, arg_min(word, (n, word)) AS word FROM posted JOIN often USING (word) GROUP BY doc_id),
     hit AS (
-      SELECT DISTINCT doc_id, p_partkey AS query_id FROM (SELECT p_partkey, unnest({_WORDS.format('p_name')}) AS word FROM part) JOIN posted USING (word)
-      UNION ALL SELECT b.doc_id, q.doc_id + 1000000 FROM rarest r JOIN posted p ON p.word = r.word JOIN bags q ON q.doc_id = r.doc_id
+      SELECT doc_id, query_id FROM heads WHERE query_id % 2 = 0 OR n = n_terms
+      UNION ALL SELECT DISTINCT doc_id, p_partkey + {WHOLE} FROM (SELECT p_partkey, unnest({_WORDS.format('p_name')}) AS word FROM part) JOIN posted USING (word)
+      UNION ALL SELECT b.doc_id, q.doc_id + {2 * WHOLE} FROM rarest r JOIN posted p ON p.word = r.word JOIN bags q ON q.doc_id = r.doc_id
         JOIN bags b ON b.doc_id = p.doc_id WHERE list_has_all(b.bag, q.bag))
     SELECT query_id, count(*) AS n, min(doc_id) AS first FROM hit GROUP BY query_id"""
 

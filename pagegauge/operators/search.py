@@ -6,7 +6,9 @@ Column, so Spark sees an ordinary filter.
 
 from __future__ import annotations
 
+import itertools
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagegauge.functions import text as T
 from pagegauge.functions.joins import salted_join
+from pagegauge.sources.tables import work_dir
 
 _TOKEN = re.compile(r'\(|\)|[A-Za-z_0-9]+:"[^"]*"|"[^"]*"|[^\s()]+')
 _PROP = re.compile(r"([A-Za-z_0-9]+):(.+)", re.S)
@@ -194,41 +197,123 @@ def word_bag(text: str = "text", props: list[str] | None = None) -> Column:
     return F.array_distinct(F.concat(words, F.array(*pairs)) if pairs else words)
 
 
-def search_anchors(terms: DataFrame, frequency: DataFrame) -> DataFrame:
-    """Where a search looks for chunks: query_id, op, n_terms, word. An AND search has its rarest term (ties: the smallest) as
-    its only anchor, and none if some term is in no chunk; an OR search has all its terms that occur.
+#: Pieces of searches that one pass over the chunks looks for, and terms of a piece that the pass itself tests.
+PIECES, TERMS = 200_000, 4
+#: Words in a smaller share of the chunks are all equally rare.
+OFTEN = 0.001
 
-    frequency: word, n (the chunks that hold a word).
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _set_id(op: Column | str, numbers: Column | str) -> Column:
+    return F.unhex(F.md5(F.concat_ws(" ", op, F.col(numbers).cast("array<string>") if isinstance(numbers, str) else numbers.cast("array<string>"))))
+
+
+def search_pieces(searches: DataFrame, often: DataFrame) -> DataFrame:
+    """Searches as pieces that no chunk meets two of: search, piece, anchor, size, need, avoid, more_need, more_avoid.
+
+    An AND search is one piece, found by its rarest term (anchor), the others needed. An OR search is a piece per term:
+    chunks that hold it and none of the more frequent ones. Pieces of equal terms have one name, whichever search has them.
+    need and avoid hold the TERMS most selective terms, the rest is in more_*; size is how many terms a chunk needs.
+
+    searches: search, op, numbers (of terms). often: number, n (the chunks that hold a word).
     """
-    each = terms.select("query_id", "op", F.size("terms").alias("n_terms"), F.explode("terms").alias("word")).join(frequency, "word")
-    rarest = each.where("op = 'AND'").groupBy("query_id", "op", "n_terms").agg(
-        F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "word")).alias("rarest")).where("met = n_terms")
-    return each.where("op = 'OR'").select("query_id", "op", "n_terms", "word").unionByName(
-        rarest.select("query_id", "op", "n_terms", F.col("rarest.word").alias("word")))
+    counted = searches.select("search", "op", F.explode("numbers").alias("number")).join(F.broadcast(often), "number", "left")
+    ranked = counted.groupBy("search", "op").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "number"))).alias("r"))
+    terms, none = F.col("terms"), F.array().cast("array<bigint>")
+    rest = lambda i: F.slice("terms", i + F.lit(2), F.size("terms"))
+    name = lambda anchor, avoid: _set_id(F.concat(F.lit("OR "), anchor.cast("string")), F.sort_array(avoid))
+    one = F.array(F.struct(F.col("search").alias("piece"), F.get("terms", F.lit(0)).alias("anchor"), rest(F.lit(0)).alias("need"), none.alias("avoid")))
+    each = F.transform("terms", lambda t, i: F.struct(
+        name(t, rest(i)).alias("piece"), t.alias("anchor"), none.alias("need"), F.reverse(rest(i)).alias("avoid")))
+    parts = ranked.select("search", "op", F.col("r.number").alias("terms")).select(
+        "search", F.inline(F.when(F.col("op") == "AND", one).otherwise(each)))
+    first, later = lambda c: F.slice(c, 1, TERMS), lambda c: F.slice(c, F.lit(TERMS + 1), F.size(c))
+    return parts.select(
+        "search", "piece", "anchor", (F.size("need") + 1).alias("size"), first("need").alias("need"), first("avoid").alias("avoid"),
+        later("need").alias("more_need"), later("avoid").alias("more_avoid"))
 
 
 def match_saved_searches(
-    chunks: DataFrame, queries: DataFrame, key: list[str], text: str = "text", props: list[str] | None = None
+    chunks: DataFrame, queries: DataFrame, key: list[str], text: str = "text", props: list[str] | None = None, totals: bool = False
 ) -> DataFrame:
-    """Which saved searches match which chunks: (key, query_id). Keys tell chunks apart.
+    """Which saved searches match which chunks: (key, query_id). Keys tell chunks apart. With `totals`, how many chunks a
+    search matches and the first of them: (query_id, n, first), without listing the pairs; first is a struct if the key
+    has several columns.
 
     queries: query_id, query (flat AND/OR of whole words and key:value terms).
-    An inverted index of the chunks' words is met by each AND search at one posting list only, that of its rarest
-    term, and by an OR search at those of its terms. A chunk that an AND search of several terms meets there is then
-    looked up for the others. So a frequent term costs nothing as long as a search has a rarer one, and what the join
-    gives grows with the chunks that hold a search's rarest term.
+    Equal searches are one, and searches are cut into pieces that no chunk meets two of (search_pieces), many of which
+    searches share. Chunks are not shuffled: their words, as 64-bit numbers that are made sure to differ, meet PIECES
+    pieces at a time, which look a chunk's other words up in the row at hand. A frequent term costs nothing as long as a
+    search has a rarer one. Only the few chunks that pass for a piece of more than TERMS other terms, and are not equal to
+    it, are joined with its other terms. The tables between the steps are written to a work folder.
     """
-    terms = search_terms(queries)
-    bags = chunks.select(*key, word_bag(text, props).alias("bag"))
-    # Only words that some search asks for are posted; they are few columns wide, and counted per task first.
-    asked = terms.select(F.explode("terms").alias("word")).distinct()
-    postings = bags.select(*key, F.explode("bag").alias("word")).join(asked, "word", "left_semi")
-    anchors = search_anchors(terms, postings.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    met = salted_join(postings, anchors, ["word"], "inner")
-    sure = "op = 'OR' or n_terms = 1"
-    found = met.where(sure).select(*key, "query_id").distinct()
-
-    others = terms.where("op = 'AND'").select("query_id", "terms")
-    verified = met.where(f"not ({sure})").select(*key, "query_id").join(others, "query_id").join(bags, key).where(
-        F.size(F.array_except("terms", "bag")) == 0)
-    return found.unionByName(verified.select(*key, "query_id"))
+    spark, home = chunks.sparkSession, work_dir(chunks.sparkSession, "saved_searches")
+    words = chunks.select(*key, word_bag(text, props).alias("words"))
+    asked = search_terms(queries)
+    heard = words.select(F.explode("words").alias("word"), F.lit(1).alias("n")).unionByName(
+        asked.select(F.explode("terms").alias("word"), F.lit(0).alias("n")))
+    for seed in itertools.count():
+        number = lambda w: F.xxhash64(F.lit(seed), w)  # noqa: B023, E731
+        bags = words.select(*key, F.transform("words", number).alias("bag")).select(
+            F.monotonically_increasing_id().alias("row"), *key, "bag", _set_id(F.lit("AND"), F.sort_array("bag")).alias("own"))
+        bags = _kept(bags, f"{home}/bags{seed}")
+        other = F.xxhash64(F.lit(-1 - seed), "word")
+        counted = heard.select(number(F.col("word")).alias("number"), other.alias("other"), "n").groupBy("number").agg(
+            F.sum("n").alias("n"), (F.min("other") != F.max("other")).alias("shared"))
+        often = _kept(counted.where(F.col("shared") | (F.col("n") > bags.count() * OFTEN)), f"{home}/often{seed}")
+        if often.where("shared").isEmpty():
+            break
+    repeated = lambda: not bags.groupBy(*key).count().where("count > 1").isEmpty()
+    if again := repeated():
+        bags = _kept(bags.dropDuplicates([*key, "own"]), f"{home}/once")
+        again = repeated()
+
+    sets = asked.select("query_id", "op", F.sort_array(F.transform("terms", number)).alias("numbers"))
+    sets = sets.withColumn("op", F.when(F.size("numbers") == 1, "AND").otherwise(F.col("op"))).withColumn("search", _set_id("op", "numbers"))
+    parts = _kept(search_pieces(sets.select("search", "op", "numbers").dropDuplicates(["search"]), often.select("number", "n")), f"{home}/pieces")
+    members = sets.select("query_id", "search").distinct()
+
+    listed = not totals or again
+    least = F.min(key[0]) if len(key) == 1 else F.min(F.struct(*key))
+    found = lambda met: met.groupBy("piece").agg(F.count(F.lit(1)).alias("n"), least.alias("first"))
+    known = lambda c, i: F.array_contains("bag", F.get(c, F.lit(i)))  # null: there is no such term
+    passes = reduce(lambda a, b: a & b, [
+        *(F.coalesce(~known("avoid", i), F.lit(True)) for i in range(TERMS)), *(F.coalesce(known("need", i), F.lit(True)) for i in range(TERMS))])
+    open_piece = (F.size("more_need") > 0) | (F.size("more_avoid") > 0)
+    places = bags.select("row", *key, "bag", "own", F.explode("bag").alias("anchor"))
+
+    def met(wanted: Column, name: str, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        some = parts.where(wanted)
+        blocks = -(-some.agg(F.approx_count_distinct("piece")).first()[0] // PIECES)
+        for b in range(blocks):
+            block = some.where(F.pmod(F.xxhash64("piece"), F.lit(blocks)) == b).select(
+                "piece", "anchor", "size", "need", "avoid").dropDuplicates(["piece"])
+            rows = use(places.join(F.broadcast(block), "anchor").where(passes & (F.size("bag") >= F.col("size"))))
+            rows.write.parquet(f"{home}/{name}/{b}")
+        schema = use(places.join(some, "anchor")).schema
+        return spark.read.schema(schema).parquet(*[f"{home}/{name}/{b}" for b in range(blocks)]) if blocks else spark.createDataFrame([], schema)
+
+    pairs = lambda rows: rows.select(*key, "piece")
+    sure = met(~open_piece, "sure", pairs if listed else found)
+    likely = met(open_piece, "likely", lambda rows: rows.select("row", *key, "piece", (F.col("own") == F.col("piece")).alias("equal")))
+    more = parts.where(open_piece).select("piece", "more_need", "more_avoid").dropDuplicates(["piece"])
+    tested = likely.where("not equal").join(more, "piece").join(bags.select("row", "bag"), "row").where(
+        (F.size(F.array_except("more_need", "bag")) == 0) & ~F.arrays_overlap("more_avoid", "bag"))
+    rest = pairs(likely.where("equal")).unionByName(pairs(tested))
+
+    owners = parts.select("search", "piece")
+    if listed:
+        hits = salted_join(sure.unionByName(rest), owners, ["piece"], "inner").drop("piece")
+        hits = salted_join(hits, members, ["search"], "inner").select(*key, "query_id")
+        if not again:
+            return hits
+        hits = hits.distinct()
+        return hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), least.alias("first")) if totals else hits
+    by_search = salted_join(owners, sure.unionByName(found(rest)), ["piece"], "inner").groupBy("search").agg(
+        F.sum("n").alias("n"), F.min("first").alias("first"))
+    return salted_join(members, by_search, ["search"], "inner").select("query_id", "n", "first")

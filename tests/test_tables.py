@@ -328,3 +328,33 @@ def test_models_get_and_give_whole_texts(spark):
     said = lambda **cut: M.parse_model_replies(docs.select("doc_id", docs.text.alias("reply")), "biasDetector", ["doc_id"], **cut).first().explanation
     assert said() == long and said(max_explanation=200) == long[:200]
     assert docs.select(T.first_line(docs.text)).first()[0] == long
+
+
+def test_saved_search_totals_equal_pairs(spark, monkeypatch):
+    monkeypatch.setattr(Q, "PIECES", 20)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(25)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, weights=range(1, 26), k=rng.randrange(0, 14))), rng.choice(["en", "de"])) for i in range(120)],
+                                 "doc_id long, text string, lang string")
+    docs = docs.unionByName(docs.where("doc_id < 10"))  # rows sent twice
+    searches = [(i, rng.choice([" AND ", " OR "]).join(rng.choices([*words, "lang:en"], k=rng.randrange(1, 9)))) for i in range(150)]
+    queries = spark.createDataFrame(searches, "query_id int, query string")
+    pairs = Q.match_saved_searches(docs, queries, ["doc_id"], "text", ["lang"]).collect()
+    totals = Q.match_saved_searches(docs, queries, ["doc_id"], "text", ["lang"], totals=True).collect()
+    want = {}
+    for r in pairs:
+        want.setdefault(r.query_id, []).append(r.doc_id)
+    assert all(len(v) == len(set(v)) for v in want.values())
+    assert {r.query_id: (r.n, r["first"]) for r in totals} == {q: (len(v), min(v)) for q, v in want.items()}
+
+
+def test_saved_searches_keep_any_and_all_of_the_first_words(spark, tmp_path):
+    from checks.table_checks import WHOLE, saved_searches
+    spark.createDataFrame([(0, "Alpha beta gamma", "en", "s"), (1, "alpha beta delta", "de", "s"), (22, "zeta beta", "en", "s"), (33, "zeta eta", "de", "s")],
+                          "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "zeta thing")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.query_id: (r.n, r["first"]) for r in saved_searches(spark, str(tmp_path)).collect()}
+    # Even ids: any of two words or English; odd ids: both words and English.
+    assert {k: v for k, v in got.items() if k < WHOLE} == {1_000_000: (3, 0), 1_000_001: (1, 0), 1_000_022: (4, 0)}
+    assert {k: v for k, v in got.items() if k >= WHOLE}[WHOLE + 1] == (2, 22)
+    assert {k - 2 * WHOLE for k in got if k >= 2 * WHOLE} >= {0, 1, 22, 33}
