@@ -79,15 +79,20 @@ def stream_resend(spark, sf):
     first = I.feedback(spark, sf)
     later = first.withColumn("created", F.col("created") + F.expr("interval 7 days"))
     fresh = later.withColumn("feedback_id", F.col("feedback_id") + RESENT)
-
-    def run():
-        source = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    # A batch is many files, as many tasks write and read it: a multiple of both numbers of batches.
+    tasks = 6 * -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 6)
+    files = 0
+
+    def run(rows, batches):
+        nonlocal files
+        rows.repartition(tasks, "feedback_id").write.mode("append").parquet(f"{base}/in")
+        written = len(spark.read.parquet(f"{base}/in").inputFiles())
+        source = spark.readStream.schema(first.schema).option("maxFilesPerTrigger", max(1, -(-(written - files) // batches))).parquet(f"{base}/in")
         J.feedback_stream(source, lambda: _known_chunks(spark, sf), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+        files = written
 
-    first.repartition(3, "feedback_id").write.parquet(f"{base}/in")
-    run()
-    later.unionByName(fresh).repartition(2, "feedback_id").write.mode("append").parquet(f"{base}/in")
-    run()
+    run(first, 3)
+    run(later.unionByName(fresh), 2)
     read = lambda name: spark.read.option("basePath", f"{base}/out/{name}").parquet(f"{base}/out/{name}").select(
         "feedback_id", F.date_format("created", "yyyy-MM-dd HH:mm:ss").alias("created"), F.lit(name).alias("outcome"))
     return read("accepted").unionByName(read("rejected"))
