@@ -200,3 +200,11 @@ def test_streams_read_a_table_of_several_files(spark, tmp_path):
     spark.range(3).selectExpr("cast(id as int) as r_regionkey").write.parquet(f"{tmp_path}/region.parquet")
     rows = stream_config(spark, str(tmp_path)).collect()
     assert sorted((r.page_id, r.off_by_default) for r in rows) == [(i, i % 2 == 0) for i in range(12)]
+
+
+def test_resent_feedback_comes_in_many_files(spark, sf, tmp_path, monkeypatch):
+    from checks import stream_checks
+    monkeypatch.setattr(stream_checks, "work_dir", lambda spark, name: f"{tmp_path}/{name}")
+    assert stream_checks.stream_resend(spark, sf).count() == 2 * spark.read.parquet(f"{sf}/events.parquet").count()
+    home = tmp_path / "stream_resend"
+    assert len(list((home / "in").glob("part-*.parquet"))) > 5 and len(list((home / "out/accepted").glob("batch_id=*"))) == 5
