@@ -15,21 +15,24 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, with_fields
+from .common import alone, memory, slices, small_batches, with_fields
 
 SPACE = "▁"
 #: Words that a worker remembers in either of two generations: what is met again moves to the young one, and when that is
 #: full the old one goes. Bounds memory, changes no result.
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 #: Pairs of tokens that a worker remembers before it starts anew (some 50 bytes each); changes no result.
-REMEMBERED_PAIRS = 1_000_000
+REMEMBERED_PAIRS = 300_000
+#: Bytes of text that are encoded and handed over at a time (one text at least).
+SLICE = 1 << 20
 #: Longer words are encoded without being remembered.
 LONGEST_REMEMBERED = 48
 #: The worker's last encoder by the id of its vocabulary's broadcast: later tasks of the worker use what it remembers.
-_ready: dict[int, Encoder] = {}
+_ready: dict[int, Encoder] = memory()
 
 
 def read_vocabulary(path: str) -> dict:
@@ -52,16 +55,18 @@ class Encoder:
     def __init__(self, vocabulary: dict) -> None:
         pieces, kinds = vocabulary["pieces"], vocabulary["kinds"]
         self.score = {p: s for p, s, k in zip(pieces, vocabulary["scores"], kinds) if k == "piece"}
-        # Of a piece: its id as four bytes, and what it decodes to.
-        self.token = {p: (np.int32(i).tobytes(), p.replace(SPACE, " ").encode()) for i, (p, k) in enumerate(zip(pieces, kinds)) if k == "piece"}
+        # Of a piece: its id as four bytes. Of an id: the bytes that it decodes to.
+        self.token = {p: np.int32(i).tobytes() for i, (p, k) in enumerate(zip(pieces, kinds)) if k == "piece"}
+        self.raw = pa.array([
+            p.replace(SPACE, " ").encode() if k == "piece" else bytes([int(p[1:-1], 16)]) if k == "byte" else b"" for p, k in zip(pieces, kinds)], pa.binary())
         self.byte_ids = {int(p[1:-1], 16): np.int32(i).tobytes() for i, (p, k) in enumerate(zip(pieces, kinds)) if k == "byte"}
         self.end = vocabulary["end"]
         # Of a piece: the tokens that were seen before it, and whether the two stay apart. How many pairs there are.
         self.apart: list[dict[str, bool]] = []
         self.pairs = 0
-        # Of a chunk: its ids as bytes of four each, and what they decode to.
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-        self.known_before: dict[str, tuple[bytes, bytes]] = {}
+        # Of a chunk: its ids as bytes of four each.
+        self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         self.automaton = ahocorasick.Automaton()
         # Every prefix has one last token: where no longer piece is it, it is the last character, which needs no match.
         for p in self.score:
@@ -96,13 +101,12 @@ class Encoder:
         known[left] = found = self.merged(left + right) == [left, right]
         return found
 
-    def spelled(self, character: str) -> tuple[bytes, bytes]:
-        """A character that is no piece, as its bytes."""
-        raw = character.encode()
-        return b"".join([self.byte_ids[b] for b in raw]), raw
+    def spelled(self, character: str) -> bytes:
+        """The ids of the bytes of a character that is no piece."""
+        return b"".join([self.byte_ids[b] for b in character.encode()])
 
-    def encode_chunk(self, text: str) -> tuple[bytes, bytes]:
-        """The ids of a chunk as bytes of four each, and what they decode to."""
+    def encode_chunk(self, text: str) -> bytes:
+        """The ids of a chunk as bytes of four each."""
         last: list[str] = [""] * len(text)
         for end, (piece, size, apart) in self.automaton.iter(text):
             if not last[end]:
@@ -116,17 +120,17 @@ class Encoder:
                         last[end] = piece
                 else:
                     last[end] = piece
-        out: list[tuple[bytes, bytes]] = []
+        out: list[bytes] = []
         i, token = len(text) - 1, self.token
         while i >= 0:
             piece = last[i] or text[i]
             out.append(token.get(piece) or self.spelled(piece))
             i -= len(piece)
         out.reverse()
-        return b"".join([ids for ids, _ in out]), b"".join([raw for _, raw in out])
+        return b"".join(out)
 
-    def chunk_result(self, chunk: str) -> tuple[bytes, bytes]:
-        """A chunk's ids and what they decode to, remembered from earlier texts if it is short."""
+    def chunk_result(self, chunk: str) -> bytes:
+        """A chunk's ids, remembered from earlier texts if it is short."""
         got = self.known_before.get(chunk)
         if got is None:
             got = self.encode_chunk(chunk)
@@ -136,21 +140,36 @@ class Encoder:
             self.known[chunk] = got
         return got
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """The ids of a text as bytes of four each, the end id last, and the text they decode to: without the space put in
-        front, bytes put together again. Of an empty text the end id alone."""
-        end = np.array([self.end], np.int32).tobytes()
-        if not text:
-            return end, ""
-        known, found = self.known, []
-        for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)):
-            got = known.get(chunk)
-            if got is None:
-                got = self.chunk_result(chunk)
-                known = self.known
-            found.append(got)
-        raw = b"".join([r for _, r in found])
-        return b"".join([i for i, _ in found]) + end, (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as bytes of four each, the end id last. Of an empty text the end id alone."""
+        found = []
+        if text:
+            known = self.known
+            for chunk in self.chunk.findall(SPACE + text.replace(" ", SPACE)):
+                got = known.get(chunk)
+                if got is None:
+                    got = self.chunk_result(chunk)
+                    known = self.known
+                found.append(got)
+        found.append(np.int32(self.end).tobytes())
+        return b"".join(found)
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """What the ids of several texts decode to, each text's from one end to the next: without the space put in front, bytes
+        put together again."""
+        raw = self.raw.take(pa.array(ids))
+        at = np.frombuffer(raw.buffers()[1], np.int32)[ends].tolist()
+        whole = raw.buffers()[2].to_pybytes() if at[-1] else b""
+        return [whole[a + (whole[a:a + 1] == b" " and a < b):b].decode("utf-8", "replace") for a, b in zip(at, at[1:])]
+
+
+def encoder_of(number: int, sent: Broadcast) -> Encoder:
+    """The worker's only encoder: that of this vocabulary, made by the first task that asks."""
+    alone(_ready)
+    if number not in _ready:
+        _ready.clear()
+        _ready[number] = Encoder(sent.value)
+    return _ready[number]
 
 
 def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
@@ -167,16 +186,13 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text") -> DataFr
     schema = with_fields(docs.select(*kept), "ids array<int>, decoded string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if sent_id not in _ready:
-            _ready.clear()
-            _ready[sent_id] = Encoder(sent.value)
-        encoder = _ready[sent_id]
-        for batch in slices(batches, text):
+        encoder = encoder_of(sent_id, sent)
+        for batch in slices(batches, text, SLICE):
             done = [encoder.encode(x or "") for x in batch.column(text).to_pylist()]
-            ends = np.cumsum([0, *(len(i) // 4 for i, _ in done)], dtype=np.int32)
-            flat = np.frombuffer(b"".join([i for i, _ in done]), np.int32)
+            ends = np.cumsum([0, *(len(i) // 4 for i in done)], dtype=np.int32)
+            flat = np.frombuffer(b"".join(done), np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.ListArray.from_arrays(ends, flat), pa.array([d for _, d in done], pa.string())],
+                [*batch.columns, pa.ListArray.from_arrays(ends, flat), pa.array(encoder.decode(flat, ends), pa.string())],
                 names=[*kept, "ids", "decoded"],
             )
 

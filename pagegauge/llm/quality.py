@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices, small_batches, with_fields
+from .common import memory, saved, slices, small_batches, with_fields
 from .toxicity import labelled_sample
 
 BUCKETS = 1 << 16
@@ -24,7 +24,7 @@ BUCKETS = 1 << 16
 REMEMBERED = 100_000
 _RUNS = re.compile(r"(.)\1+")
 _SHAPE = {**{c: "a" for c in range(97, 123)}, **{c: "A" for c in range(65, 91)}, **{c: "0" for c in range(48, 58)}}
-_known: dict[str, tuple[int, int, int]] = {}
+_known: dict[str, tuple[int, int, int]] = memory()
 
 
 def shape_of(word: str) -> str:

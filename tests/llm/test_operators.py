@@ -337,6 +337,25 @@ def test_components(spark):
 
 # --- tokens, chats ------------------------------------------------------------------------------------
 
+def test_a_worker_keeps_one_encoder_and_nothing_of_other_operators(spark):
+    texts = [f"word{i} and \u2581 \u6f22\U0001f600 " * 9 for i in range(40)] + ["", None, " x"]
+    # One worker, two tasks after each other: the second finds the first one's encoder, and what another operator left is gone.
+    encoded = pieces.encode_texts(docs(spark, *texts).coalesce(1), MODEL)
+    assert encoded.count() == len(texts)
+    jaccard._known[b"word"] = 1
+    vocabulary = spark.sparkContext.broadcast(pieces.read_vocabulary(MODEL))
+    first = pieces.encoder_of(7, vocabulary)
+    assert pieces.encoder_of(7, vocabulary) is first and not jaccard._known
+    assert pieces.encoder_of(8, vocabulary) is not first and list(pieces._ready) == [8]
+    pieces._ready.clear()
+    # The task asks the module's own function, not a copy that ends with the task.
+    assert "_ready" not in {name for c in pieces.encode_texts.__code__.co_consts if hasattr(c, "co_names") for name in c.co_names}
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for r in encoded.collect():
+        ids = library.encode(r.text or "", add_eos=True)
+        assert (list(r.ids), r.decoded) == (ids, library.decode(ids))
+
+
 def test_pieces(spark):
     rng = random.Random(9)
     texts = ["".join(rng.choice("ab  e▁théß \n\t\x00�你\U0001f600ction12") for _ in range(rng.randint(0, 60))) for _ in range(2000)]
