@@ -1,5 +1,6 @@
 """Each corpus operator against plain Python, with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import os
 import random
 import re
 from collections import defaultdict
@@ -10,7 +11,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from pagegauge.llm import chat, decontaminate, jaccard, passages, personal, pieces, quality, secrets, topk, toxicity
+from pagegauge.llm import chat, common, decontaminate, jaccard, passages, personal, pieces, quality, secrets, topk, toxicity
 from pagegauge.llm.components import connected
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -222,6 +223,28 @@ def fresh_words(rng, n):
     return [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
 
 
+def test_passages_align_the_words_of_a_slice_at_a_time(spark, monkeypatch):
+    written, there = [], []
+
+    def saved(df, name, *by):
+        table = common.saved(df, name, *by)
+        written.append((name, table.stored_at))
+        there.append({n for n, at in written if os.path.exists(at.removeprefix("file:").replace("///", "/"))})
+        return table
+
+    monkeypatch.setattr(passages, "saved", saved)
+    shared = [[f"s{k}x{i}" for i in range(70)] for k in range(12)]
+    texts = [" ".join(s) for s in shared] + [" ".join([f"a{k}y{i}" for i in range(20)] + s) for k, s in enumerate(shared)]
+    got = passages.repeated_passages(docs(spark, *texts))
+    # Names and seeds are gone when words are aligned, and words and chains when the result is returned.
+    names = [n for n, _ in written]
+    assert [n for n in names if n.startswith("found_")] == [f"found_{i}" for i in range(passages.SLICES)]
+    assert not there[names.index("found_0")] & {"names", "held"}
+    assert not any(os.path.exists(at.removeprefix("file:").replace("///", "/")) for n, at in written if n in ("chains", "blocks"))
+    ids = sorted(r.doc_id for r in docs(spark, *texts).select("doc_id").collect())
+    assert {(r.doc_id, r.source_id, r.start, r.end) for r in got.collect()} == {(ids[12 + k], ids[k], 20, 90) for k in range(12)}
+
+
 def test_passages_beside_documents_that_hold_parts(spark):
     rng = random.Random(61)
     fresh = lambda n: fresh_words(rng, n)
