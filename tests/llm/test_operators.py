@@ -348,6 +348,28 @@ def test_jaccard_two_texts(spark):
     assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
 
 
+def test_jaccard_holds_the_groups_of_a_slice_at_a_time(spark, monkeypatch):
+    """Token sets are stored for one slice of the families at a time, and postings are dealt out by token once."""
+    stored, exchanges = [], []
+
+    def saved(df, name, *by):
+        if name == "postings":
+            exchanges.append(df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(token"))
+        if name == "groups":
+            assert not any(os.path.exists(p) for p in stored)
+        table = common.saved(df, name, *by)
+        if name == "groups":
+            stored.append(re.sub("^file:/*", "/", table.stored_at))
+            assert os.path.exists(stored[-1])
+        return table
+
+    monkeypatch.setattr(jaccard, "saved", saved)
+    texts = [" ".join(f"w{i % 20}x{j}" for j in range(40)) + (" end" if i >= 20 else "") for i in range(40)]
+    got = jaccard.jaccard_components(docs(spark, *texts)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i % 20) for i in range(40)]
+    assert len(stored) == jaccard.GROUP_SLICES > 1 and exchanges == [1] * jaccard.SLICES
+
+
 def test_jaccard_empty(spark):
     assert jaccard.jaccard_components(empty(spark)).count() == 0
 
