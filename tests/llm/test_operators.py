@@ -245,6 +245,29 @@ def test_passages_align_the_words_of_a_slice_at_a_time(spark, monkeypatch):
     assert {(r.doc_id, r.source_id, r.start, r.end) for r in got.collect()} == {(ids[12 + k], ids[k], 20, 90) for k in range(12)}
 
 
+def test_passages_exchange_the_seeds_of_a_slice_at_a_time(spark, monkeypatch):
+    """A slice of the stored seeds is gone when the next one is exchanged; copies are left out all the same."""
+    path, names = [], []
+
+    def saved(df, name, *by):
+        if name == "held":
+            left = {d for d in os.listdir(path[0]) if d.startswith("slice=")}
+            assert not left & {f"slice={i}" for i in range(names.count("held"))}
+        names.append(name)
+        table = common.saved(df, name, *by)
+        if name == "seeds":
+            path.append(re.sub("^file:/*", "/", table.stored_at))
+        return table
+
+    monkeypatch.setattr(passages, "saved", saved)
+    monkeypatch.setattr(jaccard, "MARKS", 1 << 16)
+    shared = [f"s{i}" for i in range(120)]
+    texts = [" ".join([f"a{i}x{j}" for j in range(30)] + shared + [f"b{i}x{j}" for j in range(30)]) for i in range(3)]
+    got = passages.repeated_passages(docs(spark, *texts, texts[1])).collect()
+    assert sorted((r.doc_id, r.start, r.end, r.source_id, r.source_start) for r in got) == [(1, 30, 150, 0, 30), (2, 30, 150, 0, 30), (3, 0, 180, 1, 0)]
+    assert names.count("held") == passages.SEED_SLICES > 1
+
+
 def test_passages_beside_documents_that_hold_parts(spark):
     rng = random.Random(61)
     fresh = lambda n: fresh_words(rng, n)
