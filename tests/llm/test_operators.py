@@ -268,6 +268,47 @@ def test_passages_exchange_the_seeds_of_a_slice_at_a_time(spark, monkeypatch):
     assert names.count("held") == passages.SEED_SLICES > 1
 
 
+def test_passages_read_no_words_around_hopeless_chains(spark, monkeypatch):
+    """Short phrases that two texts share make chains, but no words are read again for them."""
+    tables = {}
+
+    def saved(df, name, *by):
+        tables[name] = common.saved(df, name, *by)
+        if name == "blocks":
+            tables["read"] = {r.of for r in tables[name].select("of").collect()}
+        return tables[name]
+
+    monkeypatch.setattr(passages, "saved", saved)
+    rng = random.Random(65)
+    lines = [fresh_words(rng, 9) for _ in range(4)]
+    shared = fresh_words(rng, 60)
+    texts = [fresh_words(rng, 30) + [w for i, x in enumerate(lines) for w in x + fresh_words(rng, 15 + i + k)] for k in range(6)]
+    texts += [texts[0][:20] + shared + fresh_words(rng, 9), fresh_words(rng, 9) + [w if i % 9 else "x" for i, w in enumerate(shared)]]
+    got = passages.repeated_passages(docs(spark, *[" ".join(t) for t in texts])).collect()
+    assert [(r.doc_id, r.source_id) for r in got] == [(7, 6)]
+    assert tables["read"] == {6, 7}
+
+
+def test_hopeless_chains_hold_no_passage():
+    rng = random.Random(66)
+    seen = set()
+    for _ in range(300):
+        words = rng.choice([5, 50, 10 ** 6])
+        rate = rng.choice([0, 0.1, 0.2, 0.3, 0.6])
+        a = np.array([rng.randrange(words) for _ in range(rng.choice([30, 80, 150]))], np.uint32) * np.uint32(2654435761)
+        b = np.array([rng.randrange(words) for _ in range(rng.randrange(70))] + [
+            w for v in a.tolist() for w in ([v], [], [rng.randrange(10 ** 6)])[0 if rng.random() >= rate else rng.randrange(3)]], np.uint32)
+        points = {(i, j) for i in range(len(a) - 3) for j in range(len(b) - 3) if (a[i:i + 4] == b[j:j + 4]).all() and rng.random() < 0.5}
+        for chain in passages.chains(*zip(*points)) if len(points) > 1 else ():
+            x, y = map(list, zip(*chain))
+            low = [w.astype(np.uint8)[max(0, c[0] - passages.REACH):c[-1] + passages.GRAM + passages.REACH].tobytes() for w, c in ((a, x), (b, y))]
+            good = bool(list(passages.alike(chain, a, b, 0, 0)))
+            likely = passages.hopeful([x], [y], *[[r] for r in low])[0]
+            assert likely or not good
+            seen.add((likely, good))
+    assert {(True, True), (False, False)} <= seen
+
+
 def test_passages_beside_documents_that_hold_parts(spark):
     rng = random.Random(61)
     fresh = lambda n: fresh_words(rng, n)
