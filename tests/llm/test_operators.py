@@ -322,6 +322,24 @@ def test_passages_beside_documents_that_hold_parts(spark):
     assert wanted <= {(r.doc_id, r.source_id) for r in got if r.similarity == 1}
 
 
+def test_changed_passages_whose_seeds_all_lead_elsewhere(spark, monkeypatch):
+    rng = random.Random(66)
+    fresh = lambda n: fresh_words(rng, n)
+    texts, wanted = [], set()
+    for step in (9, 10, 12, 15):
+        shared = fresh(60)
+        # Other documents, smaller than the source and between the two, hold all seeds, in too short parts.
+        parts = lambda: [fresh(16) + shared[i:i + 13] + fresh(80) for i in range(0, 57, 10)]  # noqa: B023, E731
+        wanted.add((len(texts) + 13, len(texts) + 6))
+        texts += [*parts(), fresh(20) + shared + fresh(5), *parts(), fresh(8) + [w if i % step else "x" for i, w in enumerate(shared)] + fresh(30)]
+    d = docs(spark, *[" ".join(t) for t in texts])
+    for few in (passages.FEW, 0):
+        monkeypatch.setattr(passages, "FEW", few)  # 0: several blocks of documents
+        monkeypatch.setattr(passages, "BLOCKS", 3)
+        got = {(r.doc_id, r.source_id): r for r in passages.repeated_passages(d).collect()}
+        assert set(got) == wanted and all(r.end - r.start >= 55 and r.similarity >= 0.85 for r in got.values())
+
+
 def test_passages_of_the_promised_similarity(spark):
     rng = random.Random(62)
     texts, wanted = [], set()
