@@ -171,7 +171,7 @@ def saved_searches(spark, sf):
     any of them (even ids) or all; of whole part names any word is sought, of whole texts all words in their language."""
     docs, parts = I.chunks(spark, sf), I.table(spark, sf, "part")
     names = parts.select(F.col("p_partkey").alias("query_id"), F.split(F.lower("p_name"), " ").alias("w"))
-    words = docs.select((F.col("doc_id") + 1_000_000).alias("query_id"), F.split(F.lower(T.collapse_space(F.col("text"))), " ").alias("w"))
+    words = docs.select((F.col("doc_id") + 1_000_000).alias("query_id"), F.split(F.lower(T.collapse_space(F.col("text"))), " ", 3).alias("w"))
     op = F.when(F.col("query_id") % 2 == 0, " OR ").otherwise(" AND ")
     two = F.transform(F.slice("w", 1, 2), lambda x: F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
     heads = names.unionByName(words).select(

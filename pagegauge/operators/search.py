@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagegauge.functions import text as T
@@ -180,14 +183,31 @@ def list_items(
     return listed if limit is None else listed.limit(limit)
 
 
+def _terms(queries: DataFrame) -> DataFrame:
+    # In steps, so that Spark splits a search once.
+    tokens = queries.select("query_id", F.array_remove(F.split("query", " +"), "").alias("tokens"))
+    op = F.when(F.array_contains("tokens", "OR"), "OR").otherwise("AND")
+    return tokens.select("query_id", "tokens", op.alias("op")).select(
+        # Only the operator as written, in capitals, is no search word.
+        "query_id", "op", F.array_distinct(F.transform(F.array_except("tokens", F.array("op")), F.lower)).alias("terms"))
+
+
 def search_terms(queries: DataFrame) -> DataFrame:
     """query_id, op, terms (distinct, lower case) of flat AND/OR searches; those without a term are left out."""
-    tokens = F.array_remove(F.split("query", " +"), "")
-    op = F.when(F.array_contains(tokens, "OR"), "OR").otherwise("AND")
-    return queries.select(
-        # Only the operator as written, in capitals, is no search word.
-        "query_id", op.alias("op"),
-        F.array_distinct(F.transform(F.array_except(tokens, F.array(op)), F.lower)).alias("terms")).where("size(terms) > 0")
+    return _terms(queries).where("size(terms) > 0")
+
+
+def search_anchors(terms: DataFrame, frequency: DataFrame) -> DataFrame:
+    """Where a search looks for chunks: query_id, op, n_terms, word. An AND search has its rarest term (ties: the smallest) as
+    its only anchor, and none if some term is in no chunk; an OR search has all its terms that occur.
+
+    frequency: word, n (the chunks that hold a word).
+    """
+    each = terms.select("query_id", "op", F.size("terms").alias("n_terms"), F.explode("terms").alias("word")).join(frequency, "word")
+    rarest = each.where("op = 'AND'").groupBy("query_id", "op", "n_terms").agg(
+        F.count(F.lit(1)).alias("met"), F.min(F.struct("n", "word")).alias("rarest")).where("met = n_terms")
+    return each.where("op = 'OR'").select("query_id", "op", "n_terms", "word").unionByName(
+        rarest.select("query_id", "op", "n_terms", F.col("rarest.word").alias("word")))
 
 
 def word_bag(text: str = "text", props: list[str] | None = None) -> Column:
@@ -201,6 +221,8 @@ def word_bag(text: str = "text", props: list[str] | None = None) -> Column:
 PIECES, TERMS = 200_000, 4
 #: Words in a smaller share of the chunks are all equally rare.
 OFTEN = 0.001
+#: Chunks whose words are held as bits at a time (a multiple of 64), and pieces that meet them at a time.
+CHUNKS, GROUP = 8_192, 4_096
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
@@ -221,16 +243,30 @@ def search_pieces(searches: DataFrame, often: DataFrame) -> DataFrame:
 
     searches: search, op, numbers (of terms). often: number, n (the chunks that hold a word).
     """
-    counted = searches.select("search", "op", F.explode("numbers").alias("number")).join(F.broadcast(often), "number", "left")
-    ranked = counted.groupBy("search", "op").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "number"))).alias("r"))
+    # At most so many words are in a share of OFTEN of the chunks as 1 / OFTEN chunks hold words.
+    known = often.orderBy("number").toArrow()
+    keys, counts = (np.append(known.column(c).to_numpy(), 0) for c in ("number", "n"))
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("numbers")
+            numbers = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(keys[:-1], numbers)
+            n = np.where((at < len(keys) - 1) & (keys[at] == numbers), counts[at], 0)
+            order = np.lexsort((numbers, n, np.repeat(np.arange(len(sizes)), sizes)))
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                batch.column("search"), batch.column("op"), pa.ListArray.from_arrays(ends, pa.array(numbers[order], pa.int64()))], names=["search", "op", "terms"])
+
+    ranked = searches.select("search", "op", "numbers").mapInArrow(rank, "search binary, op string, terms array<bigint>")
     terms, none = F.col("terms"), F.array().cast("array<bigint>")
     rest = lambda i: F.slice("terms", i + F.lit(2), F.size("terms"))
     name = lambda anchor, avoid: _set_id(F.concat(F.lit("OR "), anchor.cast("string")), F.sort_array(avoid))
     one = F.array(F.struct(F.col("search").alias("piece"), F.get("terms", F.lit(0)).alias("anchor"), rest(F.lit(0)).alias("need"), none.alias("avoid")))
     each = F.transform("terms", lambda t, i: F.struct(
         name(t, rest(i)).alias("piece"), t.alias("anchor"), none.alias("need"), F.reverse(rest(i)).alias("avoid")))
-    parts = ranked.select("search", "op", F.col("r.number").alias("terms")).select(
+    parts = ranked.select(
         "search", F.inline(F.when(F.col("op") == "AND", one).otherwise(each)))
     first, later = lambda c: F.slice(c, 1, TERMS), lambda c: F.slice(c, F.lit(TERMS + 1), F.size(c))
     return parts.select(
@@ -238,6 +274,69 @@ def search_pieces(searches: DataFrame, often: DataFrame) -> DataFrame:
         later("need").alias("more_need"), later("avoid").alias("more_avoid"))
 
 
+def count_pieces(bags: DataFrame, key: list[str], pieces: DataFrame) -> DataFrame:
+    """The chunks that meet each piece, counted some chunks at a time: their first key, piece, n. All terms of a piece are in
+    need and avoid, TERMS at most in each.
+
+    For each term of a piece there is a bit for each chunk, so a pair of chunk and piece costs a few bits.
+    """
+    table = pieces.select(
+        "piece", "anchor", *[F.coalesce(F.get("need", F.lit(i)), "anchor").alias(f"need{i}") for i in range(TERMS)],
+        *[F.coalesce(F.get("avoid", F.lit(i)), "anchor").alias(f"avoid{i}") for i in range(TERMS)], F.size("avoid").alias("n")).orderBy("anchor").toArrow()
+    names = table.column("piece").combine_chunks()
+    terms = np.stack([table.column(i).to_numpy() for i in range(1, 2 + 2 * TERMS)])
+    more = np.arange(TERMS)[:, None] < table.column("n").to_numpy()
+    single = len(key) == 1
+    schema = bags.select(*key, F.lit(b"").alias("piece"), F.lit(0).cast("long").alias("n")).schema
+
+    def meet(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        # As min() has it: a null key is no first one, and nulls in a key of several columns come first.
+        rows = rows.take(pc.sort_indices(rows, [(k, "ascending") for k in key], null_placement="at_end" if single else "at_start")).combine_chunks()
+        bag, width = rows.column("bag").combine_chunks(), CHUNKS // 8
+        numbers = bag.flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(numbers, kind="stable")
+        numbers, at = numbers[order], np.repeat(np.arange(len(bag)), pc.list_value_length(bag).to_numpy(zero_copy_only=False))[order]
+        held = np.append(numbers, 0)[np.minimum(np.searchsorted(numbers, terms[0]), len(numbers))] == terms[0] if len(numbers) else np.zeros(len(names), bool)
+        wanted = np.flatnonzero(held)
+        for i in range(0, len(wanted), GROUP):
+            own = wanted[i:i + GROUP]
+            words, index = np.unique(terms[:, own], return_inverse=True)
+            index = index.reshape(len(terms), len(own))
+            low, high = np.searchsorted(numbers, words, "left"), np.searchsorted(numbers, words, "right")
+            n = high - low
+            of = at[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]
+            cells = np.repeat(np.arange(len(words)), n) * width + (of >> 3)
+            heads = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+            bits = np.zeros((len(words) + 1) * width, np.uint8)
+            bits[cells[heads]] = np.add.reduceat(128 >> (of & 7), heads)
+            bits = bits.reshape(-1, width).view(np.uint64)  # the last row is that of no chunk
+            met = bits[index[0]]
+            for k in range(TERMS):
+                met &= bits[index[1 + k]]
+                met &= ~bits[np.where(more[k, own], index[1 + TERMS + k], len(words))]
+            n = np.bitwise_count(met).sum(axis=1, dtype=np.int64)
+            hit = np.flatnonzero(n)
+            some = met[hit].view(np.uint8)
+            byte = (some != 0).argmax(axis=1)
+            first = byte * 8 + 8 - np.frexp(some[np.arange(len(hit)), byte].astype(np.float32))[1]
+            yield pa.RecordBatch.from_arrays([
+                *(rows.column(k).combine_chunks().take(pa.array(first)) for k in key), names.take(pa.array(own[hit])), pa.array(n[hit])], names=[*key, "piece", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            for i in range(0, batch.num_rows, CHUNKS):
+                part = batch.slice(i, CHUNKS)
+                if sum(b.num_rows for b in held) + part.num_rows > CHUNKS:
+                    yield from meet(pa.Table.from_batches(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from meet(pa.Table.from_batches(held))
+
+    return bags.select(*key, "bag").mapInArrow(count, schema)
+
+
 def match_saved_searches(
     chunks: DataFrame, queries: DataFrame, key: list[str], text: str = "text", props: list[str] | None = None, totals: bool = False
 ) -> DataFrame:
@@ -248,13 +347,15 @@ def match_saved_searches(
     queries: query_id, query (flat AND/OR of whole words and key:value terms).
     Equal searches are one, and searches are cut into pieces that no chunk meets two of (search_pieces), many of which
     searches share. Chunks are not shuffled: their words, as 64-bit numbers that are made sure to differ, meet PIECES
-    pieces at a time, which look a chunk's other words up in the row at hand. A frequent term costs nothing as long as a
+    pieces at a time, which look a chunk's other words up in the row at hand, or with `totals` are counted by bits of the chunks
+    that hold each term (count_pieces). A frequent term costs nothing as long as a
     search has a rarer one. Only the few chunks that pass for a piece of more than TERMS other terms, and are not equal to
     it, are joined with its other terms. The tables between the steps are written to a work folder.
     """
     spark, home = chunks.sparkSession, work_dir(chunks.sparkSession, "saved_searches")
-    words = chunks.select(*key, word_bag(text, props).alias("words"))
-    asked = search_terms(queries)
+    # Both are read several times, and patterns cost most of the work.
+    words = _kept(chunks.select(*key, word_bag(text, props).alias("words")), f"{home}/words")
+    asked = _kept(_terms(queries), f"{home}/asked").where("size(terms) > 0")
     heard = words.select(F.explode("words").alias("word"), F.lit(1).alias("n")).unionByName(
         asked.select(F.explode("terms").alias("word"), F.lit(0).alias("n")))
     for seed in itertools.count():
@@ -275,6 +376,7 @@ def match_saved_searches(
 
     sets = asked.select("query_id", "op", F.sort_array(F.transform("terms", number)).alias("numbers"))
     sets = sets.withColumn("op", F.when(F.size("numbers") == 1, "AND").otherwise(F.col("op"))).withColumn("search", _set_id("op", "numbers"))
+    sets = _kept(sets, f"{home}/sets")
     parts = _kept(search_pieces(sets.select("search", "op", "numbers").dropDuplicates(["search"]), often.select("number", "n")), f"{home}/pieces")
     members = sets.select("query_id", "search").distinct()
 
@@ -287,19 +389,22 @@ def match_saved_searches(
     open_piece = (F.size("more_need") > 0) | (F.size("more_avoid") > 0)
     places = bags.select("row", *key, "bag", "own", F.explode("bag").alias("anchor"))
 
-    def met(wanted: Column, name: str, use: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    def met(wanted: Column, name: str, use: Callable[[DataFrame], DataFrame], counts: bool = False) -> DataFrame:
         some = parts.where(wanted)
         blocks = -(-some.agg(F.approx_count_distinct("piece")).first()[0] // PIECES)
         for b in range(blocks):
             block = some.where(F.pmod(F.xxhash64("piece"), F.lit(blocks)) == b).select(
                 "piece", "anchor", "size", "need", "avoid").dropDuplicates(["piece"])
-            rows = use(places.join(F.broadcast(block), "anchor").where(passes & (F.size("bag") >= F.col("size"))))
+            if counts:
+                rows = count_pieces(bags, key, block).groupBy("piece").agg(F.sum("n").alias("n"), least.alias("first"))
+            else:
+                rows = use(places.join(F.broadcast(block), "anchor").where(passes & (F.size("bag") >= F.col("size"))))
             rows.write.parquet(f"{home}/{name}/{b}")
         schema = use(places.join(some, "anchor")).schema
         return spark.read.schema(schema).parquet(*[f"{home}/{name}/{b}" for b in range(blocks)]) if blocks else spark.createDataFrame([], schema)
 
     pairs = lambda rows: rows.select(*key, "piece")
-    sure = met(~open_piece, "sure", pairs if listed else found)
+    sure = met(~open_piece, "sure", pairs if listed else found, counts=not listed)
     likely = met(open_piece, "likely", lambda rows: rows.select("row", *key, "piece", (F.col("own") == F.col("piece")).alias("equal")))
     more = parts.where(open_piece).select("piece", "more_need", "more_avoid").dropDuplicates(["piece"])
     tested = likely.where("not equal").join(more, "piece").join(bags.select("row", "bag"), "row").where(

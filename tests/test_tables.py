@@ -348,6 +348,37 @@ def test_saved_search_totals_equal_pairs(spark, monkeypatch):
     assert {r.query_id: (r.n, r["first"]) for r in totals} == {q: (len(v), min(v)) for q, v in want.items()}
 
 
+def test_saved_search_totals_are_counted_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(Q, "PIECES", 50)
+    monkeypatch.setattr(Q, "GROUP", 7)
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(20)]
+    texts = [(None if i == 7 else i % 150 - 20, f"k{i % 40}", " ".join(rng.choices(words, weights=range(1, 21), k=rng.randrange(0, 9)))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, part string, text string").repartition(3)
+    searches = [(i, rng.choice([" AND ", " OR "]).join(rng.choices([*words, "absent"], k=rng.randrange(1, 5)))) for i in range(200)]
+    queries = spark.createDataFrame(searches, "query_id int, query string")
+    seen = []
+    monkeypatch.setattr(Q, "count_pieces", lambda *a, own=Q.count_pieces: seen.append(1) or own(*a))
+    once = spark.createDataFrame(texts[:150], "doc_id long, part string, text string").repartition(3)
+    for chunks, key in ((once, ["doc_id"]), (docs, ["doc_id", "part"])):
+        seen.clear()
+        totals = Q.match_saved_searches(chunks, queries, key, totals=True).collect()
+        assert len(seen) > 1  # no pair of chunk and search is made
+        want = {}
+        for r in chunks.collect():
+            held = set(r.text.split())
+            for q, search in searches:
+                terms = set(search.split()) - ({"OR"} if " OR " in search else {"AND"})
+                if terms & held if " OR " in search else terms <= held:
+                    want.setdefault(q, []).append(tuple(r[k] for k in key))
+        least = lambda v: min(v, key=lambda t: [(x is not None, x if x is not None else 0) for x in t])
+        for r in totals:
+            own = want.pop(r.query_id)
+            assert r.n == len(own)
+            assert (r["first"] == min((k for k, in own if k is not None), default=None)) if len(key) == 1 else (tuple(r["first"]) == least(own))
+        assert not want
+
+
 def test_saved_searches_keep_any_and_all_of_the_first_words(spark, tmp_path):
     from checks.table_checks import WHOLE, saved_searches
     spark.createDataFrame([(0, "Alpha beta gamma", "en", "s"), (1, "alpha beta delta", "de", "s"), (22, "zeta beta", "en", "s"), (33, "zeta eta", "de", "s")],
